@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 16 << 20) -
     for b in batches:
         if b.num_rows == 0:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
         begin = held = 0
         for k, n in enumerate(lengths):
             if k > begin and held + n > most:

@@ -50,18 +50,79 @@ def _held(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
+def _ranks(left: np.ndarray, right: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each pair (NONE: they don't merge) and its place in the merge table."""
+    at, hit = _held(model.keys, left.astype(np.int64) * model.size + right)
+    return np.where(hit & (left >= 0) & (right >= 0), model.ranks[at], NONE), at
+
+
+def _chosen(at: np.ndarray, overlaps: np.ndarray, first: np.ndarray, model: PieceModel) -> np.ndarray:
+    """Which of the lowest pairs merge now: every second of those that overlap, or only the first of a sequence."""
+    fresh = np.r_[True, ~overlaps]
+    run = np.cumsum(fresh) - 1
+    every = (np.arange(len(at)) - np.flatnonzero(fresh)[run]) % 2 == 0
+    return np.where(model.at_once[at], every, first)
+
+
+def _long_sequence(symbols: np.ndarray, model: PieceModel) -> np.ndarray:
+    """The same rounds for one long sequence: ranks are kept, and only those beside a merge are looked up again."""
+    symbols = symbols.copy()
+    while True:
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, at = np.full(n, NONE), np.zeros(n, np.int64)
+        rank[:-1], at[:-1] = _ranks(symbols[:-1], symbols[1:], model)
+        alive, left = np.ones(n, bool), n
+        while left > n // 2 and n > 1:
+            least = rank.min()
+            if least == NONE:
+                return symbols[alive]
+            pos = np.flatnonzero(rank == least)
+            first = np.zeros(len(pos), bool)
+            first[0] = True
+            pos = pos[_chosen(at[pos], after[pos[:-1]] == pos[1:], first, model)]
+            gone = after[pos]
+            symbols[pos] = model.merged[at[pos]]
+            rank[gone] = NONE
+            alive[gone] = False
+            left -= len(pos)
+            then = after[gone]
+            after[pos] = then
+            inside = then < n
+            before[then[inside]] = pos[inside]
+            touched = np.r_[pos, before[pos][before[pos] >= 0]]
+            ends = after[touched] >= n
+            rank[touched[ends]] = NONE
+            touched = touched[~ends]
+            rank[touched], at[touched] = _ranks(symbols[touched], symbols[after[touched]], model)
+        symbols = symbols[alive]
+        if n <= 1:
+            return symbols
+
+
+#: Sequences beyond so many symbols are merged one by one.
+LONG = 512
+
+
 def surviving(symbols: np.ndarray, owner: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
     """The symbols that remain after all merges, with the numbers of the sequences that own them (in any order)."""
     done_s, done_o = [], []
+    if len(symbols) > LONG:
+        begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        length = np.diff(np.r_[begin, len(symbols)])
+        for k in np.flatnonzero(length > LONG):
+            left = _long_sequence(symbols[begin[k] : begin[k] + length[k]], model)
+            done_s.append(left)
+            done_o.append(np.full(len(left), owner[begin[k]]))
+        short = np.repeat(length <= LONG, length)
+        symbols, owner = symbols[short], owner[short]
     while len(symbols):
         begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         rank = np.full(len(symbols), NONE)
         at = np.zeros(len(symbols), np.int64)
         if len(symbols) > 1:
-            pair = symbols[:-1].astype(np.int64) * model.size + symbols[1:]
-            at[:-1], hit = _held(model.keys, pair)
-            hit &= (owner[1:] == owner[:-1]) & (symbols[:-1] >= 0) & (symbols[1:] >= 0)
-            rank[:-1][hit] = model.ranks[at[:-1][hit]]
+            rank[:-1], at[:-1] = _ranks(symbols[:-1], symbols[1:], model)
+            rank[:-1][owner[1:] != owner[:-1]] = NONE
         lowest = np.minimum.reduceat(rank, begin)
         length = np.diff(np.r_[begin, len(symbols)])
         ended = np.repeat(lowest == NONE, length)
@@ -69,11 +130,8 @@ def surviving(symbols: np.ndarray, owner: np.ndarray, model: PieceModel) -> tupl
         done_o.append(owner[ended])
         chosen = np.flatnonzero((rank == np.repeat(lowest, length)) & (rank < NONE))
         if len(chosen):
-            fresh = np.r_[True, np.diff(chosen) != 1]  # overlapping occurrences alternate, from the left
-            run = np.cumsum(fresh) - 1
-            every = (np.arange(len(chosen)) - np.flatnonzero(fresh)[run]) % 2 == 0
             first = np.r_[True, owner[chosen][1:] != owner[chosen][:-1]]
-            chosen = chosen[np.where(model.at_once[at[chosen]], every, first)]
+            chosen = chosen[_chosen(at[chosen], np.diff(chosen) == 1, first, model)]
         symbols = symbols.copy()
         symbols[chosen] = model.merged[at[chosen]]
         keep = ~ended

@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.llm.mixing import op9_mixing
+from tagweave.llm.packing import op4_packing
+from tagweave.llm.quality import op10_quality
 from tagweave.llm.token_counts import op3_token_counts
+from tagweave.llm.topk import OP8_SQL, op8_topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op4_packing": op4_packing,
+    "op8_topk_search": op8_topk_search,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
+}
+SQL: dict[str, str] = {
+    "op8_topk_search": OP8_SQL,
 }
-SQL: dict[str, str] = {}

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.llm.common import map_rows, table
@@ -54,7 +55,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
                 part = fresh[k : k + 50_000]
                 cache.update(zip(part, count_tokens(part, model).tolist(), strict=True))
             n = [sum(map(cache.__getitem__, ws)) for ws in split]
-            size = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return map_rows(docs.select(id_col, text_col), run, f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean")
