@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tagweave.llm.lm import op5_lm_scoring
 from tagweave.llm.mixing import op9_mixing
 from tagweave.llm.packing import op4_packing
+from tagweave.llm.pii import op1_pii
 from tagweave.llm.quality import op10_quality
 from tagweave.llm.token_counts import op3_token_counts
 from tagweave.llm.topk import OP8_SQL, op8_topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
+    "op5_lm_scoring": op5_lm_scoring,
     "op8_topk_search": op8_topk_search,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
