@@ -1,0 +1,46 @@
+"""Connected components of a link table by alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tagweave.llm.common import materialize
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """Links (a, b), a < b, after one round: each node hands its larger (or its smaller) neighbours to its least one.
+
+    The least neighbour of a node comes from a partial aggregation and is written before the join, so that a node with
+    very many links is a skewed join, which Spark splits, and never one group.
+    """
+    ends = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    if large:
+        ends = ends.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    least = materialize(ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    met = ends.join(least, "u")
+    if large:
+        out = met.filter("v > u").select("v", "m")
+    else:
+        out = met.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
+    return materialize(out.filter("v <> m").select(F.least("v", "m").alias("a"), F.greatest("v", "m").alias("b")).distinct())
+
+
+def _mark(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of every node in links (a, b); component is the least node that it reaches.
+
+    Loops and repeated links change nothing; an empty table gives no rows. At the end every node but the least of a
+    component has one link, to the least. The rounds needed grow with the logarithm of the longest chain.
+    """
+    links = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = materialize(links)
+    before = None
+    while (now := _mark(links)) != before:
+        before = now
+        links = _star(_star(links, True), False)
+    ends = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    return ends.unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.llm.lm import op5_lm_scoring
+from tagweave.llm.media import op7_media_columns
 from tagweave.llm.mixing import op9_mixing
+from tagweave.llm.neardup import OP2_SQL, op2_near_duplicates
 from tagweave.llm.packing import op4_packing
 from tagweave.llm.pii import op1_pii
 from tagweave.llm.quality import op10_quality
@@ -16,13 +18,16 @@ from tagweave.llm.topk import OP8_SQL, op8_topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
     "op5_lm_scoring": op5_lm_scoring,
+    "op7_media_columns": op7_media_columns,
     "op8_topk_search": op8_topk_search,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {
+    "op2_near_duplicates": OP2_SQL,
     "op8_topk_search": OP8_SQL,
 }
