@@ -13,7 +13,6 @@ import html
 import struct
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import map_rows, materialize, table, texts
+from tagweave.llm.markup import Markup
 
 #: Samples in a row of a stored image, and the unit that payloads are filled up to (24 rows).
 WIDTH, UNIT, FILL = 24, 576, b"\xff"
@@ -33,11 +33,10 @@ MEDIA = {"img": "image", "audio": "audio", "video": "video", "source": "source",
 BLOCKS = set("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 
 
-class _Sequence(HTMLParser):
+class _Sequence(Markup):
     """Collects items in reading order; a figure's caption goes to all media of that figure."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.run: list[str] = []
         self.silent: list[str] = []
@@ -96,7 +95,6 @@ def interleaved(page: str) -> list[dict]:
     """The items of one page, numbered from 0."""
     p = _Sequence()
     p.feed(page)
-    p.close()
     if p.caption is not None:  # a caption that never ends is text
         p.run += p.caption
     p.flush()

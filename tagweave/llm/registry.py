@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tagweave.llm.html_text import op6_html_text
 from tagweave.llm.lm import op5_lm_scoring
 from tagweave.llm.media import op7_media_columns
 from tagweave.llm.mixing import op9_mixing
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_html_text": op6_html_text,
     "op7_media_columns": op7_media_columns,
     "op8_topk_search": op8_topk_search,
     "op9_mixing": op9_mixing,
