@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tagweave.llm.common import map_rows, table, texts
 
 #: Words whose ids a Python worker keeps; it starts anew beyond that, which only costs time.
-CACHE = 700_000
+CACHE = 1_500_000
 #: Words of these characters are their own lower-casing and normal form, character by character; 'C0-'FF without signs.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: Fixed value: how the word tokenizer's file splits lower-case text, for plain characters.
