@@ -70,7 +70,8 @@ def block_top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
     """
     d = max(q.shape[1], x.shape[1])
     q, x = (np.pad(a, ((0, 0), (0, d - a.shape[1]))) for a in (q, x))
-    order = np.lexsort((x_ids, -np.square(x).sum(axis=1)))
+    length_q, length_x = (np.sqrt(np.square(a).sum(axis=1)) for a in (q, x))
+    order = np.lexsort((x_ids, -length_x))
     low = np.iinfo(np.int64).min
     best, rows = np.full((len(q), k), low), np.full((len(q), k), -1, np.int64)
     levels = [s for s in segments if s < d] if d else []
@@ -80,9 +81,9 @@ def block_top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
             mine, cols = slice(a, min(a + TILE[0], len(q))), order[b : b + TILE[1]]
             least = best[mine, -1].astype(np.float64)
             full = rows[mine, -1] >= 0
-            for sq, sx in zip(qs, xs, strict=True):  # coarse to fine; half a unit covers the rounding of the bound
-                bound = sq[mine] @ sx[cols].T
-                reach = bound * (1 + 1e-9) + 0.5 >= np.where(full, least, -np.inf)[:, None]
+            for sq, sx in zip(qs, xs, strict=True):  # coarse to fine; half a unit and a part of the lengths cover rounding
+                bound = sq[mine] @ sx[cols].T + (1e-9 * length_q[mine, None] * length_x[cols] + 0.5)
+                reach = bound >= np.where(full, least, -np.inf)[:, None]
                 cols = cols[reach.any(axis=0)]
                 if not len(cols):
                     break
