@@ -13,6 +13,7 @@ from tagweave.functions import text as tx
 from tagweave.operators import graph, keywords, search, synonyms
 from tagweave.operators.index import Index, query_terms
 from tagweave.plans import store
+from tagweave.plans.scratch import materialize
 from tagweave.sources import files
 from tagweave.streaming.watch import windows
 
@@ -55,6 +56,15 @@ def _prints(spark: SparkSession, sf: str) -> DataFrame:
     return fp.simhash(_docs(spark, sf), mode=MODE)
 
 
+def _edges_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, written once for a plan that reads it often."""
+    return materialize(_edges(spark, sf))
+
+
+def _prints_once(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(_prints(spark, sf))
+
+
 def _as_of() -> F.Column:
     return F.lit(AS_OF).cast("timestamp")
 
@@ -161,18 +171,19 @@ def simhash_bytes_items(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hamming_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return fp.hamming_pairs(_prints(spark, sf))
+    return fp.hamming_pairs(_prints_once(spark, sf))
 
 
 @query
 def fingerprint_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return fp.fingerprint_classes(_prints(spark, sf))
+    return fp.fingerprint_classes(_prints_once(spark, sf))
 
 
 @query
 def similarity_topk(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.broadcast(_prints(spark, sf).filter("doc_id = 0").select(F.col("simhash").alias("q")))
-    rows = _prints(spark, sf).crossJoin(first).select("doc_id", F.round(fp.similarity(F.col("simhash"), F.col("q")), 9).alias("similarity"))
+    prints = _prints_once(spark, sf)
+    first = F.broadcast(prints.filter("doc_id = 0").select(F.col("simhash").alias("q")))
+    rows = prints.crossJoin(first).select("doc_id", F.round(fp.similarity(F.col("simhash"), F.col("q")), 9).alias("similarity"))
     return rows.orderBy(F.col("similarity").desc(), "doc_id").limit(20)
 
 
@@ -226,7 +237,8 @@ def synonym_expand(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return Index.of(_docs(spark, sf)).search(query_terms(spark, QUERY), 50)
+    index = Index.of(_docs(spark, sf))
+    return Index(materialize(index.postings), materialize(index.lengths)).search(query_terms(spark, QUERY), 50)
 
 
 # store
@@ -320,7 +332,7 @@ def _search(spark: SparkSession, sf: str, config: search.SearchConfig) -> DataFr
     config = config.validated().effective()
     tags = ["#" + t for t in query_terms(spark, QUERY)]
     atoms = _atoms(spark, sf).join(_prints(spark, sf).withColumnRenamed("doc_id", "atom_id"), "atom_id")
-    return search.scored(atoms.select("atom_id", "ts", "simhash"), _edges(spark, sf), tags, fp.simhash_of(query_terms(spark, QUERY), spark, MODE), _as_of(), config)
+    return search.scored(atoms.select("atom_id", "ts", "simhash"), _edges_once(spark, sf), tags, fp.simhash_of(query_terms(spark, QUERY), spark, MODE), _as_of(), config)
 
 
 def _star(mode: str, spark: SparkSession, sf: str) -> DataFrame:
@@ -358,12 +370,13 @@ def chat_context(spark: SparkSession, sf: str) -> DataFrame:
 # graph
 
 
-def _seeds(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
-    return _edges(spark, sf).filter(F.col("tag") == "#er").select("atom_id").orderBy("atom_id").limit(k)
+def _seeds(edges: DataFrame, k: int = 5) -> DataFrame:
+    return edges.filter(F.col("tag") == "#er").select("atom_id").orderBy("atom_id").limit(k)
 
 
 def _illuminate(depth: int, spark: SparkSession, sf: str) -> DataFrame:
-    return graph.illuminate(_seeds(spark, sf), _edges(spark, sf), depth, 300)
+    edges = _edges_once(spark, sf)
+    return graph.illuminate(_seeds(edges), edges, depth, 300)
 
 
 QUERIES |= {"illuminate_d1": partial(_illuminate, 1), "illuminate_d2": partial(_illuminate, 2)}
@@ -373,7 +386,8 @@ def _distilled(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     atoms = _atoms(spark, sf).join(_prints(spark, sf).withColumnRenamed("doc_id", "atom_id"), "atom_id")
     short = F.when(F.octet_length("text") < 8, F.md5(F.col("text").cast("binary"))).otherwise("")
     rows = atoms.select("atom_id", "source", "char_start", F.col("text").alias("content"), F.concat(F.col("simhash").cast("string"), F.lit("/"), short).alias("dedup_key"))
-    return graph.distill(_seeds(spark, sf), _edges(spark, sf), rows, 1)
+    edges = _edges_once(spark, sf)
+    return graph.distill(_seeds(edges), edges, materialize(rows), 1)
 
 
 @query
@@ -408,16 +422,16 @@ def order_part_walk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tag_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
-    return synonyms.by_cooccurrence(_edges(spark, sf))
+    return synonyms.by_cooccurrence(_edges_once(spark, sf))
 
 
 @query
 def tag_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return synonyms.by_neighbourhood(_edges(spark, sf))
+    return synonyms.by_neighbourhood(_edges_once(spark, sf))
 
 
 def _by_print(spark: SparkSession, sf: str) -> DataFrame:
-    return synonyms.by_fingerprint(_edges(spark, sf), _prints(spark, sf).withColumnRenamed("doc_id", "atom_id"), 3)
+    return synonyms.by_fingerprint(_edges_once(spark, sf), _prints_once(spark, sf).withColumnRenamed("doc_id", "atom_id"), 3)
 
 
 @query
@@ -426,8 +440,8 @@ def simhash_synonyms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rings(spark: SparkSession, sf: str) -> DataFrame:
-    e = _edges(spark, sf)
-    return synonyms.merged({"cooccurrence": synonyms.by_cooccurrence(e), "neighbourhood": synonyms.by_neighbourhood(e), "fingerprint": _by_print(spark, sf)})
+    e, prints = _edges_once(spark, sf), _prints_once(spark, sf).withColumnRenamed("doc_id", "atom_id")
+    return synonyms.merged({"cooccurrence": synonyms.by_cooccurrence(e), "neighbourhood": synonyms.by_neighbourhood(e), "fingerprint": synonyms.by_fingerprint(e, prints, 3)})
 
 
 @query
