@@ -5,10 +5,11 @@ in a circle: coordinate k is the least p(s(x) - k) over the shingles x. So two p
 a bijective mixer of 32-bit numbers. Groups of ROWS coordinates form bands.
 
 Links. Documents with equal shingle sets form a class, of which only the one with the smallest id goes on. In each
-bucket (one value of one band) every member is compared with the smallest: a star, not all pairs. Components of the
-links that pass the exact test follow. Buckets whose members are not yet in one component are then searched in blocks
-for pairs from different components whose signatures agree often enough; those pairs are tested exactly as well. So no
-link between components is lost that any band shows, and within a component no further link can change it.
+bucket (one value of one band) signatures tell which members may be near each other; edges that span those, less than
+one a member, leave the bucket, and their components are families: every pair that a bucket shows and that signatures
+allow lies in one family. Inside a family the full shingle sets are compared, but for pairs that links found before
+have joined. Families of any size are searched in blocks of bounded size. So no link between components is lost that
+a band shows, and no group emits its pairs.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from tagweave.llm.components import components
 BANDS, ROWS = 32, 5
 #: Elements of which signatures are computed at once: they stay in a core's cache.
 CHUNK = 1 << 15
-#: Members of a bucket that meet in one group, and pairs of one document that are tested in one group.
-BLOCK, SALT = 256, 256
+#: Members of a bucket, and texts of a family, that meet in one group.
+BLOCK, FAMILY = 2048, 512
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _U = np.uint64
 
@@ -118,72 +119,140 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return map_rows(docs, run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+def _merge(labels: np.ndarray, into: int, others: np.ndarray) -> None:
+    labels[np.isin(labels, others)] = into
 
-    Each b's text travels to its a; an a with many pairs is spread over several groups.
+
+def forest(sig: np.ndarray, n: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
+    """Edges that span the components of rows whose signatures agree in `least` coordinates and whose sizes may match."""
+    labels, out = np.arange(len(sig)), []
+    for p in range(len(sig) - 1):
+        q = p + 1 + np.flatnonzero(labels[p + 1 :] != labels[p])
+        q = q[100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p])]
+        q = q[(sig[q] == sig[p]).sum(axis=1) >= least]
+        if len(q):
+            met, first = np.unique(labels[q], return_index=True)
+            out += [(p, x) for x in q[first].tolist()]
+            _merge(labels, labels[p], met)
+    return out
+
+
+def exact_links(sets: list[np.ndarray], sig: np.ndarray, labels: np.ndarray, least: int, percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified links that join all rows which links join, given labels of rows that are joined already.
+
+    Every pair with unlike labels whose sizes and signatures allow it is tested on the full sets, unless links found
+    before have joined it. sides: only pairs of unlike sides are looked at.
     """
-    pairs = materialize(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held = materialize(docs.join(ids, "doc_id", "left_semi"))
-    salts = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts")))
-    left = salts.join(held.withColumnRenamed("doc_id", "a"), "a").select("a", "text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-    right = salted.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b").select(F.col("a").alias("of"), F.col("salt").alias("part"), "b", "other")
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def test(of: pa.Table, others: pa.Table) -> pa.Table:
-        if not of.num_rows or not others.num_rows:
-            return out.empty_table()
-        mine, *theirs = shingle_sets([(t or "").encode() for t in [of.column("text")[0].as_py(), *others.column("other").to_pylist()]], width)
-        a, found = of.column("a")[0].as_py(), []
-        for b, s in zip(others.column("b").to_pylist(), theirs, strict=True):
-            both = len(np.intersect1d(mine, s, assume_unique=True))
-            if 100 * both >= percent * (len(mine) + len(s) - both):
-                found.append(b)
-        return pa.table([pa.array([a] * len(found), pa.int64()), pa.array(found, pa.int64())], schema=out)
-
-    return materialize(left.groupBy("a", "salt").cogroup(right.groupBy("of", "part")).applyInArrow(test, "a long, b long").distinct())
-
-
-def across(members: DataFrame, reps: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs of a bucket's members from different components whose signatures agree in `least` coordinates or more.
-
-    members: (key, rep, comp). Buckets of more than BLOCK members are dealt into blocks, and each pair of blocks is a
-    group; smaller buckets share groups. Only pairs that pass leave a group.
+    labels, out = labels.copy(), []
+    n = np.array([len(s) for s in sets])
+    for p in range(len(sets) - 1):
+        q = p + 1 + np.flatnonzero(labels[p + 1 :] != labels[p])
+        if sides is not None:
+            q = q[sides[q] != sides[p]]
+        q = q[100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p])]
+        for x in q[(sig[q] == sig[p]).sum(axis=1) >= least].tolist():
+            if labels[x] != labels[p]:
+                both = len(np.intersect1d(sets[p], sets[x], assume_unique=True))
+                if 100 * both >= percent * (n[p] + n[x] - both):
+                    out.append((p, x))
+                    _merge(labels, labels[p], labels[x : x + 1])
+    return out
+
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _segments(t: pa.Table, by: tuple[str, ...]) -> Iterator[np.ndarray]:
+    """Row numbers of each group of equal values in `by`."""
+    columns = [t.column(c).to_numpy() for c in by]
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    yield from np.split(order, np.flatnonzero(new)[1:]) if len(order) else ()
+
+
+def _signatures(t: pa.Table) -> np.ndarray:
+    return np.array([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("signature")])
+
+
+def _pairs(rep: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
+    at = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table([pa.array(np.minimum(rep[at[:, 0]], rep[at[:, 1]])), pa.array(np.maximum(rep[at[:, 0]], rep[at[:, 1]]))], schema=PAIRS)
+
+
+def strong(shared: DataFrame, sizes: DataFrame, reps: DataFrame, least: int, percent: int) -> DataFrame:
+    """Edges (a, b) that span, bucket by bucket, the members whose signatures agree in `least` coordinates.
+
+    shared: (key, rep); sizes: (key, m). A bucket of more than BLOCK members is dealt into blocks, and each pair of
+    blocks is a group; smaller buckets share groups. A group emits less than one edge a member and not its pairs.
+    """
+    rows = shared.join(sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key").join(reps.select("rep", "signature", "n_shingles"), "rep")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
+    unit = F.when(F.col("blocks") == 1, F.pmod("key", F.lit(8 * partitions(reps.sparkSession)))).otherwise(F.xxhash64("key", "lo", "hi"))
+
+    def spans(t: pa.Table) -> pa.Table:
+        rep, n, sig = t.column("rep").to_numpy(), t.column("n_shingles").to_numpy(), _signatures(t)
+        return _pairs(rep, [(k[x], k[y]) for k in _segments(t, ("key", "lo", "hi")) for x, y in forest(sig[k], n[k], least, percent)])
+
+    wide = rows.withColumn("unit", unit).select("unit", "key", "lo", "hi", "rep", "n_shingles", "signature")
+    return wide.groupBy("unit").applyInArrow(spans, "a long, b long").distinct()
+
+
+def verified(families: DataFrame, reps: DataFrame, docs: DataFrame, width: int, least: int, percent: int) -> DataFrame:
+    """Exact links (a, b) that join all of a family which links join. families: (node, component) over strong edges.
+
+    Each text travels to its block of its family. First every block is searched by itself. Families of several blocks
+    then meet again: the largest component so far stays in its blocks, and the others' rows, which are few where the
+    family is one group of near copies, go to all blocks; only pairs with one of them are tested.
     """
-    sizes = materialize(members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    rows = members.join(sizes, "key").join(reps.select("rep", "signature", "n_shingles"), "rep")
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    # block i meets every block j: it goes to the groups (i, j) and (j, i), written with the smaller number first
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("j", other).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
-    unit = F.when(F.col("blocks") == 1, F.pmod(F.col("key"), F.lit(8 * partitions(members.sparkSession)))).otherwise(F.xxhash64("key", "lo", "hi"))
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs(t: pa.Table) -> pa.Table:
-        key, lo, hi = (t.column(c).to_numpy() for c in ("key", "lo", "hi"))
-        order = np.lexsort((hi, lo, key))
-        new = np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in (key, lo, hi)], axis=0)] if len(order) else np.zeros(0, bool)
-        cut = np.r_[np.flatnonzero(new), len(order)]
-        rep, comp, n, block = (t.column(c).to_numpy() for c in ("rep", "comp", "n_shingles", "i"))
-        sig = np.array([np.frombuffer(s.as_buffer(), np.uint8) for s in t.column("signature")])
-        a, b = [], []
-        for x, y in zip(cut[:-1], cut[1:], strict=True):
-            k = order[x:y]
-            for p in range(len(k) - 1):
-                q = k[p + 1 :]
-                one = k[p]
-                q = q[(comp[q] != comp[one]) & (100 * np.minimum(n[q], n[one]) >= percent * np.maximum(n[q], n[one]))]
-                if lo[one] != hi[one]:
-                    q = q[block[q] != block[one]]
-                if len(q):
-                    q = q[(sig[q] == sig[one]).sum(axis=1) >= least]
-                    a += np.minimum(rep[q], rep[one]).tolist()
-                    b += np.maximum(rep[q], rep[one]).tolist()
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
-
-    return rows.withColumn("unit", unit).select("unit", "key", "lo", "hi", "i", "rep", "comp", "n_shingles", "signature").groupBy("unit").applyInArrow(pairs, "a long, b long").distinct()
+    spark = reps.sparkSession
+    sizes = materialize(families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("blocks")))
+    named = families.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("family"), "blocks")
+    texts_of = docs.select(F.col("doc_id").alias("rep"), "text").filter("rep IS NOT NULL")
+    held = named.join(texts_of, "rep").join(reps.select("rep", "signature"), "rep")
+    held = materialize(held.withColumn("i", F.pmod(F.xxhash64("rep"), "blocks").cast("int")))
+    units = max(1, math.ceil(held.count() / FAMILY))
+
+    def test(t: pa.Table) -> pa.Table:
+        rep, sig = t.column("rep").to_numpy(), _signatures(t)
+        sets = shingle_sets([(x or "").encode() for x in t.column("text").to_pylist()], width)
+        comp, side = t.column("comp").to_numpy(), t.column("side").to_numpy()
+        found = []
+        for k in _segments(t, ("family", "i", "j")):
+            _, first = np.unique(rep[k], return_index=True)  # rows that repeat an id: one of them
+            k = k[first]
+            sides = side[k] if side[k].any() else None
+            found += [(k[x], k[y]) for x, y in exact_links([sets[q] for q in k], sig[k], comp[k], least, percent, sides)]
+        return _pairs(rep, found)
+
+    columns = ["unit", "family", "i", "j", "rep", "comp", "side", "signature", "text"]
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(units))).otherwise(F.xxhash64("family", "i"))
+    alone = held.withColumn("unit", unit).withColumn("j", F.col("i")).withColumn("comp", F.col("rep")).withColumn("side", F.lit(0))
+    links = materialize(alone.select(*columns).groupBy("unit").applyInArrow(test, "a long, b long"))
+    if held.filter("blocks > 1").isEmpty():
+        return links
+
+    now = materialize(components(links))
+    large = held.filter("blocks > 1").join(now, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+    counts = large.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = materialize(counts.groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("c")).select("family", "main", F.ceil((F.col("m") - F.col("c")) / FAMILY).cast("int").alias("parts")))
+    large = materialize(large.join(main, "family"))
+    # side 0 with 1: every row of block i against the part j of the rows outside the main component
+    body = large.withColumn("side", F.lit(0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts")))).filter("j < parts")
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int")
+    few = large.filter("comp <> main AND parts > 0").withColumn("side", F.lit(1)).withColumn("j", part).drop("i").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.xxhash64("family", "i", "j").alias("unit")
+    both = body.withColumn("unit", unit).select(*columns).unionByName(few.withColumn("unit", unit).select(*columns))
+
+    def meet(t: pa.Table) -> pa.Table:
+        rep, sig, comp, side = t.column("rep").to_numpy(), _signatures(t), t.column("comp").to_numpy(), t.column("side").to_numpy()
+        sets = shingle_sets([(x or "").encode() for x in t.column("text").to_pylist()], width)
+        return _pairs(rep, [(k[x], k[y]) for k in _segments(t, ("family", "i", "j")) for x, y in exact_links([sets[q] for q in k], sig[k], comp[k], least, percent, side[k])])
+
+    return links.unionByName(materialize(both.groupBy("unit").applyInArrow(meet, "a long, b long")))
 
 
 def near_duplicates(
@@ -206,19 +275,12 @@ def near_duplicates(
     reps = materialize(known.join(copied.select("doc_id").distinct(), "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "signature"))
 
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    hubs = materialize(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("key", "hub"))
-    shared = materialize(keyed.join(hubs, "key"))
-    star = shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    star = materialize(star)
-    links = verify(star, flat, width, percent)
-    first = materialize(components(links))
-
-    members = shared.join(first, shared["rep"] == first["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    sizes = materialize(keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high").select("key", "m"))
+    shared = keyed.join(sizes.select("key"), "key", "left_semi")
     coordinates, s = bands * rows, percent / 100
     least = math.floor(s * coordinates - 5 * math.sqrt(coordinates * s * (1 - s)))
-    rest = across(materialize(members), reps, least, percent).join(star, ["a", "b"], "left_anti")
-    more = verify(rest, flat, width, percent)
-    found = materialize(components(links.unionByName(more))) if not more.isEmpty() else first
+    families = materialize(components(materialize(strong(shared, sizes, reps, least, percent))))
+    found = materialize(components(verified(families, reps, flat, width, least, percent)))
 
     named = every.select("doc_id", "n_shingles").join(copied.distinct(), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = named.join(found, named["rep"] == found["node"], "left").withColumn("component_id", F.coalesce("component", "rep"))
