@@ -26,8 +26,11 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return materialize(out.filter("v <> m").select(F.least("v", "m").alias("a"), F.greatest("v", "m").alias("b")).distinct())
 
 
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether every component is a star around its least node: all others have one link, and to it."""
+    ends = links.select(F.col("a").alias("u"), F.lit(0).alias("below"), F.lit(1).alias("least"))
+    ends = ends.unionByName(links.select(F.col("b").alias("u"), F.lit(1).alias("below"), F.lit(0).alias("least")))
+    return ends.groupBy("u").agg(F.sum("below").alias("below"), F.max("least").alias("least")).filter("below + least > 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -38,9 +41,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = materialize(links)
-    before = None
-    while (now := _mark(links)) != before:
-        before = now
+    while not _stars(links):
         links = _star(_star(links, True), False)
     ends = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return ends.unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
