@@ -8,7 +8,9 @@ Counts are exact where the base score needs them and sketched where pairs of tok
   block and not once a document, and no worker holds the vocabulary.
 * A bigram's count c is quantised to floor(log2(c)) + 1 levels. For each level the filter holds (bigram, level); a
   lookup probes level 1, 2, ... until one is absent, and level j stands for a count of 2^(j-1). Each bucket builds
-  its own segment of the filter. The segments, of a bounded size in all, are broadcast.
+  its own segment of the filter, sized by its keys, probes it for the bigrams that its blocks named, held-out ones
+  too, and answers each block with their levels. So the filter grows with the corpus, every bigram of the training
+  texts is in it, and no worker holds more of it than one bucket's segment.
 
 The probability of token w after u is a * q(u, w) / c(u) + (1 - a) * p(w), with q from the filter, the exact count
 c(u), p(w) = (c(w) + 1) / (N + V + 1), and a weight a: sums over w never exceed 1 but for false positives, and a bigram
@@ -31,8 +33,8 @@ from tagweave.llm.common import id_crc, materialize, partitions, table
 BITS = 48
 #: Text in a block and packed entries in a bucket, about.
 BLOCK_BYTES, BUCKET_ENTRIES = 6 << 20, 3_000_000
-#: The filter: bits for each (bigram, level), at most so many bytes in all, and probes for each key.
-BITS_PER_KEY, FILTER_BYTES, PROBES = 8, 64 << 20, 4
+#: The filter: bits for each (bigram, level), and probes for each key.
+BITS_PER_KEY, PROBES = 8, 4
 #: The weight of the bigrams; the single-token model has the rest.
 WEIGHT = 0.4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -160,7 +162,6 @@ def score(
     held_mod: int = 7,
     held_rest: int = 2,
     weight: float = WEIGHT,
-    filter_bytes: int = FILTER_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
@@ -171,9 +172,9 @@ def score(
     base_score (sum of log10((c + 1) / (N + V + 1))) and score (of the bigram model). A null text counts as empty: one
     token, the end. A null id counts as empty text for held_out. Repeated rows train and are scored each time. Without
     training texts, N and V are 0. Other columns are ignored; an empty table gives no rows. Tokens are told apart by 48
-    bits of their hash, of which two of a million tokens share one with a chance of 1 in 500. filter_bytes bounds what
-    is broadcast: where 8 bits for each (bigram, level) don't fit, the lowest levels are left out, so that bigrams of small
-    counts count as unseen and fall back to the single-token model; error rates stay the same at every size.
+    bits of their hash, of which two of a million tokens share one with a chance of 1 in 500. Every
+    bigram of the training texts is held at every size, with 8 bits for each (bigram, level), so that error rates stay
+    the same as well.
     """
     spark = docs.sparkSession
     flat = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -192,7 +193,8 @@ def score(
         k = Tokens(texts)
         mine = train(ids)[k.doc]
         counts = np.bincount(k.run[mine], minlength=len(k.keys))
-        pairs, times = np.unique(k.bigrams()[mine], return_counts=True)
+        pairs, at = np.unique(k.bigrams(), return_inverse=True)  # held-out ones are named with a count of 0, to be answered
+        times = np.bincount(at[mine], minlength=len(pairs))
         out = []
         for kind, keys, n in ((0, k.keys, counts), (1, pairs, times)):
             edge = bucket_edges(keys, buckets)
@@ -203,42 +205,37 @@ def score(
     counted = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int32()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
 
     def add(t: pa.Table) -> pa.Table:
-        """A bucket's sums: of tokens, answers to the blocks and totals; of bigrams, its segment of the filter."""
+        """A bucket's answers to its blocks: sums and totals of tokens; levels of bigrams, from its segment of the filter."""
         kind, bucket = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py()
         from_blocks = t.column("block").to_pylist()
         keys = [unpack_keys(b.as_buffer()) for b in t.column("keys")]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, np.concatenate([unpack_counts(b.as_buffer()) for b in t.column("counts")]), len(every)).astype(np.int64)
         if kind:
-            q, floor = levels(total), 0  # a segment that doesn't fit leaves out the lowest level, and the next
-            while int(np.maximum(q - floor, 0).sum()) * BITS_PER_KEY > 8 * max(8, filter_bytes // buckets):
-                floor += 1
-            size = max(8, math.ceil(int(np.maximum(q - floor, 0).sum()) * BITS_PER_KEY / 8))
-            return pa.table([[kind], [bucket], [-1], [bytes([floor]) + Filter.segment(every, q - floor, size).tobytes()], [0], [0]], schema=counted)
+            q = levels(total)
+            size = max(8, math.ceil(int(q.sum()) * BITS_PER_KEY / 8))
+            total = levels(Filter([Filter.segment(every, q, size)], [0]).counts(every))
         cut = np.cumsum(np.r_[0, [len(k) for k in keys]])
-        out = [(0, bucket, b, pack(every[:0], total[at[x:y]])[1], 0, 0) for b, x, y in zip(from_blocks, cut, cut[1:], strict=False)]
-        out.append((0, bucket, -1, b"", int(total.sum()), int((total > 0).sum())))
+        out = [(kind, bucket, b, pack(every[:0], total[at[x:y]])[1], 0, 0) for b, x, y in zip(from_blocks, cut, cut[1:], strict=False)]
+        if kind == 0:
+            out.append((0, bucket, -1, b"", int(total.sum()), int((total > 0).sum())))
         return pa.table(list(map(list, zip(*out, strict=True))), schema=counted)
 
     to_buckets = dealt.groupBy("block").applyInArrow(send, "kind int, bucket int, block int, keys binary, counts binary")
     sums = materialize(to_buckets.groupBy("kind", "bucket").applyInArrow(add, "kind int, bucket int, block int, counts binary, tokens long, types long"))
     n, v = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("types")).first())
-    parts = {r[0]: r[1] for r in sums.filter("kind = 1").select("bucket", "counts").collect()}  # filter_bytes at most
-    packed = [parts.pop(j, b"\0") for j in range(buckets)]
-    shared = spark.sparkContext.broadcast(Filter([np.frombuffer(b, np.uint8, offset=1) for b in packed], [b[0] for b in packed]))
-    del packed
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return out.empty_table()
         ids, texts = _texts(left)
         k = Tokens(texts)
-        order = np.argsort(right.column("bucket").to_numpy(), kind="stable")
-        c = np.concatenate([unpack_counts(right.column("counts")[int(j)].as_buffer()) for j in order])
+        kinds, order = right.column("kind").to_numpy(), np.argsort(right.column("bucket").to_numpy(), kind="stable")
+        c, level = (np.concatenate([unpack_counts(right.column("counts")[int(j)].as_buffer()) for j in order if kinds[j] == kind]) for kind in (0, 1))
         logs = np.log10((c + 1) / (n + v + 1))
         own = c[k.run]
-        pairs, at = np.unique(k.bigrams(), return_inverse=True)
-        seen = np.minimum(shared.value.counts(pairs)[at], np.minimum(own, c[k.before]))  # no pair is more frequent than its tokens
+        at = np.unique(k.bigrams(), return_inverse=True)[1]
+        seen = np.minimum(np.where(level > 0, 2.0 ** (level - 1), 0)[at], np.minimum(own, c[k.before]))  # no pair is more frequent than its tokens
         p = weight * seen / np.maximum(c[k.before], 1) + (1 - weight) * (own + 1) / (n + v + 1)
         d = len(ids)
         columns = [
@@ -249,7 +246,7 @@ def score(
 
     out = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     ddl = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    answers = sums.filter("kind = 0 and block >= 0").select("block", "bucket", "counts")
+    answers = sums.filter("block >= 0").select("kind", "block", "bucket", "counts")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, ddl)
 
 

@@ -1,5 +1,6 @@
 """The operators on tables: brute force, and nulls, repeats, empty tables and clashing columns."""
 
+import inspect
 import math
 import zlib
 from collections import Counter
@@ -155,6 +156,23 @@ def test_base_scores_brute(spark, sf):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_bigrams_of_small_counts_are_held(spark, sf):
+    """The filter never undercounts a level, so no score is below that of exact quantised counts, whatever cap the function takes."""
+    docs = pq.read_table(f"{sf}/documents.parquet").to_pylist()
+    words = {d["doc_id"]: [b"", *(d["text"] or "").encode().lower().split(), b""] for d in docs}
+    train = [ws for i, ws in words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    c, pairs = Counter(w for ws in train for w in ws[1:]), Counter(p for ws in train for p in zip(ws, ws[1:], strict=False))
+    n, v = sum(c.values()), len(c)
+    cap = {"filter_bytes": 8} if "filter_bytes" in inspect.signature(score).parameters else {}
+    got = {r.doc_id: r.score for r in score(table(spark, sf, "documents"), block_bytes=1 << 14, **cap).collect()}
+    want = {}
+    for i, ws in words.items():
+        seen = [(min(2 ** (pairs[u, w].bit_length() - 1) if pairs[u, w] else 0, c[u], c[w]), u, w) for u, w in zip(ws, ws[1:], strict=False)]
+        want[i] = sum(math.log10(0.4 * q / max(c[u], 1) + 0.6 * (c[w] + 1) / (n + v + 1)) for q, u, w in seen)
+    assert all(got[i] >= want[i] - 1e-6 for i in words)
+    assert sum(got.values()) - sum(want.values()) < -0.01 * sum(want.values())
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     label = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
