@@ -33,6 +33,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
+_DIGIT = re.compile(r"[0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -75,7 +76,8 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], BASE.index(s[0])))
 
 
-#: High recall: what may be of a kind at all. No pattern can take more than a bounded number of characters.
+#: High recall: what may be of a kind at all. No pattern can take more than a bounded number of characters, but that of
+#: secrets, whose runs are possessive: none is read twice. A secret must have a digit as well, which candidates() checks.
 GENERATORS = {
     "email": re.compile(r"[\w.+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[\w-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]{1,63}){1,4}"),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
@@ -83,8 +85,10 @@ GENERATORS = {
     "phone": re.compile(r"(?<![0-9])(?:00 ?|0|\()[0-9]{1,5}\)?(?:[ ./-]?[0-9]{2,5}){2,4}(?![0-9])|(?<![0-9])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,24}[0-9])[A-Za-z0-9_/+-]{16,128}={0,2}(?![A-Za-z0-9_/+=-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+={0,2}(?![A-Za-z0-9_/+=-])"),
 }
+#: What a text must have for these generators to find anything; for the others, a digit.
+NEEDS = {"email": re.compile(r"@|\(at\)|\[at\]"), "ip": re.compile(":")}
 #: Words that tell of a kind, and words that tell of other numbers.
 TELLING = {
     "email": ("mail", "contact", "write", "kontakt", "correo", "courriel"),
@@ -126,12 +130,12 @@ def candidate_features(kind: str, text: str, begin: int, end: int) -> list[float
 
 def candidates(text: str) -> Iterator[Span]:
     """Every generator's spans; a position starts at most one of a kind."""
-    if _ANY.search(text):
-        for kind, pattern in GENERATORS.items():
-            if kind == "email" and "@" not in text and "at" not in text:
-                continue
+    digit = _DIGIT.search(text)
+    for kind, pattern in GENERATORS.items():
+        if NEEDS[kind].search(text) if kind in NEEDS else digit:
             for m in pattern.finditer(text):
-                yield kind, m.start(), m.end()
+                if kind != "secret" or _DIGIT.search(text, *m.span()):
+                    yield kind, m.start(), m.end()
 
 
 def _made_up(rng: random.Random) -> tuple[str, str, int, int, int]:

@@ -59,6 +59,21 @@ def test_candidate_models_on_unseen_sentences():
     assert pii.find("The plain text has 3 numbers and 2 words.", trained) == ([], [])
 
 
+def test_generators_run_by_what_they_need():
+    trained, r = pii.models(), random.Random(5)
+    for t, found in (("write to anna (at) firma (dot) org today", "anna (at) firma (dot) org"), ("anna[at]firma[dot]org", "anna[at]firma[dot]org")):
+        assert [(k, t[a:b]) for k, a, b in pii.find(t, trained)[1]] == [("email", found)]
+    assert [k for k, _, _ in pii.candidates("host fe::abc up")] == ["ip"] and not list(pii.candidates("no such thing (here)"))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for n, at in ((20, 0), (129, 3), (600, 500), (33, 30), (2000, 1999)):
+        key = "".join(r.choice(letters) for _ in range(n))
+        key = f"{key[:at]}7{key[at:]}"
+        t = f'the token = "{key}" is'
+        assert [(k, t[a:b]) for k, a, b in pii.find(t, trained)[1]] == [("secret", key)], n
+    assert not list(pii.candidates("a" * 40 + " 7"))  # the digit must be in the run
+    assert list(pii.candidates("a" * 300_000 + "1===")) == []
+
+
 def test_word_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
