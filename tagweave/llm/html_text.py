@@ -2,7 +2,7 @@
 
 A tree builder applies the rules by which tags imply others (a paragraph ends where a block begins, a list item where
 the next begins, cells and rows likewise) and by which elements are hidden (elements that are never shown, the hidden
-attribute, inline styles, and style sheets' rules for a tag, a class or an id). A renderer walks the tree and emits all
+attribute, inline styles, and style sheets' rules for a tag, a class or an id that hold on every screen). A renderer walks the tree and emits all
 that is visible: blocks on lines of their own, with a blank line around those that have margins, lists with their
 marks and indents, and tables with aligned cells. No part of a page is judged to be boilerplate and dropped.
 
@@ -23,7 +23,9 @@ from tagweave.llm.markup import Markup
 
 #: Elements by how they are shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head script style template noscript iframe object audio video canvas datalist title meta link base select svg math".split())
+NEVER = frozenset("head script style template noscript iframe object audio video canvas datalist title meta link base".split())
+#: Of drawings and formulas, what is not drawn where it stands.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern annotation annotation-xml".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 BLOCK = MARGIN | frozenset("address article aside body center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main menu nav search section summary tr caption thead tbody tfoot".split())
 #: A start tag ends these open elements, up to the nearest of the second set.
@@ -40,10 +42,43 @@ IMPLIED = {
 ENDS_P = BLOCK - frozenset(("html", "body", "tr", "thead", "tbody", "tfoot", "caption"))
 P_STOPS = frozenset(("td", "th", "caption", "button", "body", "html", "table", "object"))
 _HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-_RULE = re.compile(r"([^{}]{1,2000})\{([^{}]*)\}")
+_ASIDE = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?""", re.S)
+_SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)|not\s+(?:print|speech)", re.I)
 _SIMPLE = re.compile(r"([A-Za-z][\w-]*)?(?:\.([\w-]+)|#([\w-]+))?")
 
 
+def on_screens(media: str) -> bool:
+    """Whether a media list holds on every screen."""
+    return not media.strip() or any(_SCREEN.fullmatch(q.strip()) for q in media.split(","))
+
+
+def hiding(css: str) -> Iterator[str]:
+    """Selectors of the rules that hide elements on every screen, in one pass over the style sheet.
+
+    Rules count at the top and in @layer or @media blocks without conditions; those in other at-blocks (print, widths,
+    @supports, @keyframes) and those nested in rules do not, nor do their declarations count for what is around them.
+    """
+    css = _ASIDE.sub(lambda m: " " if m[0][0] == "/" else "''", css)
+    css += "}" * css.count("{")  # the end closes what is open
+    blocks: list[tuple[bool, str | None, list[str]]] = []  # what is open: whether it counts, selectors of a rule, declarations
+    at = 0
+    for m in re.finditer("[{};]", css):
+        part, at = css[at : m.start()].strip(), m.end()
+        if m[0] == "{":
+            counts = not blocks or (blocks[-1][0] and blocks[-1][1] is None)
+            if part.startswith("@"):
+                name, rest = re.match(r"@([\w-]*)(.*)", part, re.S).groups()
+                blocks.append((counts and (name.lower() == "layer" or (name.lower() == "media" and on_screens(rest))), None, []))
+            else:
+                blocks.append((counts, part, []))
+        elif blocks:
+            blocks[-1][2].append(part)
+            if m[0] == "}":
+                counts, selectors, body = blocks.pop()
+                if counts and selectors and _HIDES.search(";".join(body)):
+                    yield from selectors.split(",")
+
+
 class Node:
     """An element or (tag None) a run of text."""
 
@@ -88,11 +123,20 @@ class Builder(Markup):
         if self.open[-1].tag == "head" and tag not in NEVER:
             self.count[self.open.pop().tag] -= 1
         node = Node(tag, {k: v or "" for k, v in attrs})
+        if (self.count["svg"] or self.count["math"]) and (tag in UNDRAWN or node.attrs.get("display") == "none"):
+            node.attrs["hidden"] = ""
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
             self.count[tag] += 1
 
+    def handle_empty(self, tag: str) -> bool:
+        """In drawings and formulas a slash ends an element; elsewhere it means nothing."""
+        if not (self.count["svg"] or self.count["math"]) or self.open[-1].tag != tag:
+            return False
+        self.count[self.open.pop().tag] -= 1
+        return True
+
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
@@ -105,12 +149,10 @@ class Builder(Markup):
     def handle_data(self, data: str) -> None:
         top = self.open[-1]
         if top.tag == "style":
-            for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", data, flags=re.S)):
-                if _HIDES.search(body):
-                    for s in selectors.split(","):
-                        m = _SIMPLE.fullmatch(s.strip())
-                        if m and m.group():
-                            self.hidden.add(tuple((g or "").lower() if k == 0 else g or "" for k, g in enumerate(m.groups())))
+            for s in hiding(data) if on_screens(top.attrs.get("media", "")) else ():
+                m = _SIMPLE.fullmatch(s.strip())
+                if m and m.group():
+                    self.hidden.add(tuple((g or "").lower() if k == 0 else g or "" for k, g in enumerate(m.groups())))
         else:
             top.children.append(Node(None, text=data))
 
@@ -243,8 +285,10 @@ def rendered(page: str) -> str:
             inside = bool(lists) and tag in LIST
             if tag in MARGIN and not inside:
                 w.margin()
-            elif tag in BLOCK:
+            elif tag in BLOCK or tag == "option":
                 w.newline()
+            elif tag == "text":  # a drawing's texts stand apart
+                w.text(" ")
             if tag == "hr":
                 continue
             if tag in ("td", "th"):
@@ -308,8 +352,10 @@ def rendered(page: str) -> str:
             w.text('"', True)
         if tag in MARGIN and not (bool(lists) and tag in LIST):
             w.margin()
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == "option":
             w.newline()
+        elif tag == "text":
+            w.text(" ")
     return "\n".join(writers[0].done())
 
 

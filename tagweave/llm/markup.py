@@ -26,6 +26,10 @@ class Markup:
 
     def handle_data(self, data: str) -> None: ...
 
+    def handle_empty(self, tag: str) -> bool:
+        """Called after a start tag that ends in a slash; whether the element ends there."""
+        return False
+
     def _text(self, s: str) -> None:
         if s:
             self.handle_data(html.unescape(s) if "&" in s else s)
@@ -58,7 +62,8 @@ class Markup:
                     attrs.append((a[1].lower(), v if v is None or "&" not in v else html.unescape(v)))
                 self.handle_starttag(tag, attrs)
                 at = m.end()
-                if tag in RAW:
+                ended = m[2].endswith("/") and self.handle_empty(tag)
+                if tag in RAW and not ended:
                     end = RAW[tag].search(page, at)
                     raw = page[at : end.start() if end else len(page)]
                     if raw:

@@ -136,6 +136,26 @@ def test_html():
     assert html_text.rendered("a<5 b") == "a<5 b" and html_text.rendered("<div>" * 5000 + "z").strip() == "z"
 
 
+def test_what_hides_and_what_does_not():
+    page = lambda css, body, more="": html_text.rendered(f"<head><style{more}>{css}</style></head>{body}")
+    note = "<div class=note>seen</div>"
+    for css in ("@media print{.nav,.note{display:none}}", "@media (max-width:600px){.x{color:red}.note{display:none}}", "@media screen and (max-width:9px){.note{display:none}}",
+                "@supports (x:y){@media screen{.note{display:none}}}", ".a{color:red;.note{display:none}}", ".note{content:'};display:none'}", "/*.note{display:none}*/"):
+        assert page(css, note) == "seen", css
+    for css in (".note{display:none}", "@media screen{p{margin:0}.note{display:none}}", "@layer a{@media all, print{.note{display:none}}}", "@import url(x);.note{color:red;display:none}",
+                "@media print{p{display:none}}.x,.note{display:none", "a{content:'}'}/* { */.note{visibility:hidden}"):
+        assert page(css, note) == "", css
+    assert page(".note{display:none}", note, " media=print") == "seen"
+    far = ",".join(f".c{k}" for k in range(600)) + ",.x-p,.note"
+    for pad in range(5):  # wherever a list of more than 2000 characters might be cut
+        assert page(f"{'q' * pad},{far}{{display:none}}", f"<p>one{note}<p>two<div class=c0>no</div>") == "one\n\ntwo"
+    assert html_text.rendered("a <svg><title/><defs/><defs><text>no</text></defs><path d='m'/><text>one</text><text>two</text></svg> b") == "a one two b"
+    assert html_text.rendered("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>") == "x=2"
+    assert html_text.rendered("pick <select><option>red<option selected>blue</select> now") == "pick\nred\nblue\nnow"
+    for broken in ("{" * 100_000, "/*" * 100_000, "a{" * 50_000 + "}" * 9, "'" * 100_000, "@media " * 50_000, "}" * 100_000):
+        page(broken, "z")
+
+
 def test_media_round_trip():
     for t in (b"", b"x", b"y" * 576, bytes(range(256)) * 9):
         p = media.payload_of(t)
