@@ -7,16 +7,31 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The local folders of applications that run on one machine and name no shared one.
+_own: dict[str, str] = {}
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, its file system) as the JVM has them, so that any store that Spark reads will do."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
 
 def scratch(spark: SparkSession) -> str:
-    """A path below spark.checkpoint.dir that goes with the JVM; a local folder only where that setting is absent."""
+    """A path below spark.checkpoint.dir that goes with the JVM.
+
+    Where that setting is absent, a local folder will do for a session on one machine, and for it alone: the executors
+    of a cluster would each write to their own disk, so that there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tagweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="tagweave-"))
     path = f"{root.rstrip('/')}/tagweave-{uuid.uuid4().hex}"
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    there, fs = hadoop_path(spark, path)
+    fs.deleteOnExit(there)
     return path
 
 
@@ -25,3 +40,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of materialized tables that no plan will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if folder.rpartition("/")[2].startswith("tagweave-"):
+                there, fs = hadoop_path(spark, folder)
+                fs.delete(there, True)
