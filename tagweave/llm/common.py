@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -14,6 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.plans.scratch import discard, materialize
+
+__all__ = ["WORD_PATTERN", "crc_mod", "discard", "id_crc", "map_rows", "materialize", "partitions", "ship", "slices", "table", "texts"]
+
 #: What separates words: the ASCII white space bytes 0x20 and 0x09 to 0x0D, as bytes.split() has them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -37,32 +40,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared folder that the session names in spark.checkpoint.dir; it goes when the JVM ends.
-
-    Only where that setting is absent (tests on one machine) is a local temporary folder taken.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tagweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tagweave-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(jpath)
-    fs.deleteOnExit(jpath)
-    return path
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """df written to a shared table and read again: lineage ends here, and lost executors cost nothing but a reread."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/t"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -84,7 +61,7 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield b"" if not x.is_valid else x.as_buffer().to_pybytes()
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a text column holds about `most` bytes in each: one row at least, rows are never cut."""
     for b in batches:
         if b.num_rows == 0:
@@ -99,10 +76,10 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 16 << 20) -
         yield b.slice(begin)
 
 
-def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, most: int = 16 << 20) -> DataFrame:
     """mapInArrow; f gets batches whose second column, the text, is of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from f(slices(batches, 1))
+        yield from f(slices(batches, 1, most))
 
     return df.mapInArrow(run, schema)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import materialize
+from tagweave.llm.common import discard, materialize
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Links (a, b), a < b, after one round: each node hands its larger (or its smaller) neighbours to its least one.
 
     The least neighbour of a node comes from a partial aggregation and is written before the join, so that a node with
-    very many links is a skewed join, which Spark splits, and never one group.
+    very many links is a skewed join, which Spark splits, and never one group. links is a table of this module's own,
+    which goes once the next one is written.
     """
     ends = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
     if large:
@@ -23,7 +24,9 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         out = met.filter("v > u").select("v", "m")
     else:
         out = met.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
-    return materialize(out.filter("v <> m").select(F.least("v", "m").alias("a"), F.greatest("v", "m").alias("b")).distinct())
+    new = materialize(out.filter("v <> m").select(F.least("v", "m").alias("a"), F.greatest("v", "m").alias("b")).distinct())
+    discard(links, least)
+    return new
 
 
 def _stars(links: DataFrame) -> bool:

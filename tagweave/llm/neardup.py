@@ -8,8 +8,9 @@ Links. Documents with equal shingle sets form a class, of which only the one wit
 bucket (one value of one band) signatures tell which members may be near each other; edges that span those, less than
 one a member, leave the bucket, and their components are families: every pair that a bucket shows and that signatures
 allow lies in one family. Inside a family the full shingle sets are compared, but for pairs that links found before
-have joined. Families of any size are searched in blocks of bounded size. So no link between components is lost that
-a band shows, and no group emits its pairs.
+have joined. Buckets and families of any size are searched in blocks of bounded size. So no link between components is
+lost that a band shows, and no group emits its pairs. A bucket or family that is one component costs work in proportion
+to its size; only rows outside a group's largest component meet all its others.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import map_rows, materialize, partitions, table, texts
+from tagweave.llm.common import discard, map_rows, materialize, table, texts
 from tagweave.llm.components import components
 
 BANDS, ROWS = 32, 5
 #: Elements of which signatures are computed at once: they stay in a core's cache.
 CHUNK = 1 << 15
-#: Members of a bucket, and texts of a family, that meet in one group.
-BLOCK, FAMILY = 2048, 512
+#: Members of a bucket, and texts of a family, that meet in one group; bytes of those texts.
+BLOCK, FAMILY, FAMILY_BYTES = 2048, 512, 4 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _U = np.uint64
 
@@ -95,15 +96,16 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, bands, signature) of (doc_id, text) rows; d1 and d2: digest of the shingle set.
+    """(doc_id, n_bytes, n_shingles, d1, d2, bands, signature) of (doc_id, text) rows; d1 and d2: digest of the shingle set.
 
     signature holds the lowest byte of each coordinate. Texts without shingles have nulls.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingle_sets(list(texts(b.column(1))), width)
+            raw = list(texts(b.column(1)))
+            sets = shingle_sets(raw, width)
             full = [k for k, s in enumerate(sets) if len(s)]
             sig = signatures([sets[k] for k in full], bands * rows)
             keys = band_keys(sig, bands, rows).tolist()
@@ -113,21 +115,27 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             for at, k in enumerate(full):
                 d = np.frombuffer(xxhash.xxh3_128_digest(sets[k].tobytes()), np.int64).tolist()
                 columns[0][k], columns[1][k], columns[2][k], columns[3][k] = d[0], d[1], keys[at], low[at].tobytes()
-            arrays = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True))]
+            sizes = [pa.array(map(len, x), pa.int64()) for x in (raw, sets)]
+            arrays = [b.column(0), *sizes, *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[3:], strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return map_rows(docs, run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary")
+    return map_rows(docs, run, "doc_id long, n_bytes long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary")
 
 
 def _merge(labels: np.ndarray, into: int, others: np.ndarray) -> None:
     labels[np.isin(labels, others)] = into
 
 
-def forest(sig: np.ndarray, n: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
-    """Edges that span the components of rows whose signatures agree in `least` coordinates and whose sizes may match."""
-    labels, out = np.arange(len(sig)), []
+def forest(sig: np.ndarray, n: np.ndarray, labels: np.ndarray, least: int, percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that join the components of rows whose signatures agree in `least` coordinates and whose sizes may match.
+
+    Rows with equal labels are joined already. sides: only pairs of unlike sides are looked at.
+    """
+    labels, out = labels.copy(), []
     for p in range(len(sig) - 1):
         q = p + 1 + np.flatnonzero(labels[p + 1 :] != labels[p])
+        if sides is not None:
+            q = q[sides[q] != sides[p]]
         q = q[100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p])]
         q = q[(sig[q] == sig[p]).sum(axis=1) >= least]
         if len(q):
@@ -182,108 +190,166 @@ def _pairs(rep: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array(np.minimum(rep[at[:, 0]], rep[at[:, 1]])), pa.array(np.maximum(rep[at[:, 0]], rep[at[:, 1]]))], schema=PAIRS)
 
 
-def strong(shared: DataFrame, sizes: DataFrame, reps: DataFrame, least: int, percent: int) -> DataFrame:
+def _dealt(rows: DataFrame, group: str, salt: int, units: int) -> DataFrame:
+    """rows with i, the block of their group that `salt` deals them to, and unit; groups of one block share units."""
+    i = F.pmod(F.xxhash64("rep", group, F.lit(salt)), "blocks").cast("int")
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(group), F.lit(max(1, units)))).otherwise(F.xxhash64(group, "i"))
+    return rows.withColumn("i", i).withColumn("unit", unit).withColumn("j", F.lit(0)).withColumn("side", F.lit(0))
+
+
+def _labelled(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """rows with comp, the component of their rep in `now` (node, component); a rep that isn't there is its own."""
+    named = now.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    return rows.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
+def _outside(rows: DataFrame, group: str, most: int, scrap: list[DataFrame]) -> DataFrame:
+    """Each group's rows outside its largest component so far, dealt into parts, that meet every row of the group.
+
+    rows: (group, rep, blocks, comp, ...). Where a group is one component there are none and nothing is returned.
+    """
+    counts = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy(group).agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("c")).filter("m > c")
+    main = materialize(main.select(group, "main", F.ceil((F.col("m") - F.col("c")) / most).cast("int").alias("parts")))
+    scrap.append(main)
+    rows = rows.join(main, group).withColumn("i", F.pmod(F.xxhash64("rep", group, F.lit(0)), "blocks").cast("int"))
+    body = rows.withColumn("side", F.lit(0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    few = rows.filter("comp <> main").withColumn("side", F.lit(1)).withColumn("j", F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int"))
+    few = few.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return body.unionByName(few.select(*body.columns)).withColumn("unit", F.xxhash64(group, "i", "j"))
+
+
+def _searched(rows: DataFrame, group: str, units: int, most: int, filled, test, scrap: list[DataFrame]) -> DataFrame:
+    """Edges (a, b) that `test` finds in groups of any size, such that they join all rows of a group that any two can.
+
+    First every block of a group is searched by itself. Groups of several blocks are then dealt anew, so that what lies
+    in one component meets whatever way it fell, and at last their rows outside the largest component meet all others.
+    So the work grows in proportion to a group that is one component, however large; each block's rows travel three
+    times at most, and a group emits less than one edge a row and step and not its pairs. filled(rows) adds to
+    (group, rep, blocks) rows what `test` needs to have of them.
+    """
+    schema = "a long, b long"
+    first = _dealt(filled(rows), group, 0, units).withColumn("comp", F.col("rep"))
+    edges = materialize(first.groupBy("unit").applyInArrow(test, schema).distinct())
+    scrap.append(edges)
+    large = materialize(rows.filter("blocks > 1"))
+    scrap.append(large)
+    if large.isEmpty():
+        return edges
+    again = _dealt(filled(_labelled(large, components(edges))), group, 1, units)
+    edges = edges.unionByName(table_of(again.groupBy("unit").applyInArrow(test, schema).distinct(), scrap))
+    met = table_of(_outside(_labelled(large, components(edges)), group, most, scrap), scrap)
+    if met.isEmpty():
+        return edges
+    return edges.unionByName(table_of(filled(met).groupBy("unit").applyInArrow(test, schema).distinct(), scrap))
+
+
+def table_of(df: DataFrame, scrap: list[DataFrame]) -> DataFrame:
+    """df, written; the table goes with the scrap."""
+    scrap.append(materialize(df))
+    return scrap[-1]
+
+
+def strong(shared: DataFrame, sizes: DataFrame, reps: DataFrame, least: int, percent: int, scrap: list[DataFrame]) -> DataFrame:
     """Edges (a, b) that span, bucket by bucket, the members whose signatures agree in `least` coordinates.
 
-    shared: (key, rep); sizes: (key, m). A bucket of more than BLOCK members is dealt into blocks, and each pair of
-    blocks is a group; smaller buckets share groups. A group emits less than one edge a member and not its pairs.
+    shared: (key, rep); sizes: (key, m). A bucket of more than BLOCK members is dealt into blocks.
     """
-    rows = shared.join(sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key").join(reps.select("rep", "signature", "n_shingles"), "rep")
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
-    unit = F.when(F.col("blocks") == 1, F.pmod("key", F.lit(8 * partitions(reps.sparkSession)))).otherwise(F.xxhash64("key", "lo", "hi"))
+    rows = shared.join(sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+    units = math.ceil((sizes.filter(F.col("m") <= BLOCK).agg(F.sum("m")).first()[0] or 0) / BLOCK)
+
+    def filled(rows: DataFrame) -> DataFrame:
+        return rows.join(reps.select("rep", "signature", "n_shingles"), "rep")
 
     def spans(t: pa.Table) -> pa.Table:
         rep, n, sig = t.column("rep").to_numpy(), t.column("n_shingles").to_numpy(), _signatures(t)
-        return _pairs(rep, [(k[x], k[y]) for k in _segments(t, ("key", "lo", "hi")) for x, y in forest(sig[k], n[k], least, percent)])
+        comp, side = t.column("comp").to_numpy(), t.column("side").to_numpy()
+        found = []
+        for k in _segments(t, ("key", "i", "j")):
+            sides = side[k] if side[k].any() else None
+            found += [(k[x], k[y]) for x, y in forest(sig[k], n[k], comp[k], least, percent, sides)]
+        return _pairs(rep, found)
 
-    wide = rows.withColumn("unit", unit).select("unit", "key", "lo", "hi", "rep", "n_shingles", "signature")
-    return wide.groupBy("unit").applyInArrow(spans, "a long, b long").distinct()
+    return _searched(rows, "key", units, BLOCK, filled, spans, scrap)
 
 
-def verified(families: DataFrame, reps: DataFrame, docs: DataFrame, width: int, least: int, percent: int) -> DataFrame:
+def verified(families: DataFrame, reps: DataFrame, docs: DataFrame, width: int, least: int, percent: int, scrap: list[DataFrame]) -> DataFrame:
     """Exact links (a, b) that join all of a family which links join. families: (node, component) over strong edges.
 
-    Each text travels to its block of its family. First every block is searched by itself. Families of several blocks
-    then meet again: the largest component so far stays in its blocks, and the others' rows, which are few where the
-    family is one group of near copies, go to all blocks; only pairs with one of them are tested.
+    Each text travels to its block of its family; blocks are bounded by rows and by bytes.
     """
-    spark = reps.sparkSession
-    sizes = materialize(families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("blocks")))
-    named = families.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("family"), "blocks")
+    named = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(reps.select("rep", "n_bytes"), "rep")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / FAMILY, F.sum("n_bytes") / FAMILY_BYTES)).cast("int")
+    sizes = table_of(named.groupBy("family").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("m"), F.sum("n_bytes").alias("bytes")), scrap)
+    rows, size = sizes.agg(F.sum("m"), F.sum("bytes")).first()
     texts_of = docs.select(F.col("doc_id").alias("rep"), "text").filter("rep IS NOT NULL")
-    held = named.join(texts_of, "rep").join(reps.select("rep", "signature"), "rep")
-    held = materialize(held.withColumn("i", F.pmod(F.xxhash64("rep"), "blocks").cast("int")))
-    units = max(1, math.ceil(held.count() / FAMILY))
+
+    def filled(rows: DataFrame) -> DataFrame:
+        return rows.join(texts_of, "rep").join(reps.select("rep", "signature"), "rep")
 
     def test(t: pa.Table) -> pa.Table:
         rep, sig = t.column("rep").to_numpy(), _signatures(t)
-        sets = shingle_sets([(x or "").encode() for x in t.column("text").to_pylist()], width)
+        sets = shingle_sets([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in t.column("text")], width)
         comp, side = t.column("comp").to_numpy(), t.column("side").to_numpy()
         found = []
         for k in _segments(t, ("family", "i", "j")):
-            _, first = np.unique(rep[k], return_index=True)  # rows that repeat an id: one of them
-            k = k[first]
             sides = side[k] if side[k].any() else None
             found += [(k[x], k[y]) for x, y in exact_links([sets[q] for q in k], sig[k], comp[k], least, percent, sides)]
         return _pairs(rep, found)
 
-    columns = ["unit", "family", "i", "j", "rep", "comp", "side", "signature", "text"]
-    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(units))).otherwise(F.xxhash64("family", "i"))
-    alone = held.withColumn("unit", unit).withColumn("j", F.col("i")).withColumn("comp", F.col("rep")).withColumn("side", F.lit(0))
-    links = materialize(alone.select(*columns).groupBy("unit").applyInArrow(test, "a long, b long"))
-    if held.filter("blocks > 1").isEmpty():
-        return links
-
-    now = materialize(components(links))
-    large = held.filter("blocks > 1").join(now, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-    counts = large.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = materialize(counts.groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("c")).select("family", "main", F.ceil((F.col("m") - F.col("c")) / FAMILY).cast("int").alias("parts")))
-    large = materialize(large.join(main, "family"))
-    # side 0 with 1: every row of block i against the part j of the rows outside the main component
-    body = large.withColumn("side", F.lit(0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts")))).filter("j < parts")
-    part = F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int")
-    few = large.filter("comp <> main AND parts > 0").withColumn("side", F.lit(1)).withColumn("j", part).drop("i").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = F.xxhash64("family", "i", "j").alias("unit")
-    both = body.withColumn("unit", unit).select(*columns).unionByName(few.withColumn("unit", unit).select(*columns))
-
-    def meet(t: pa.Table) -> pa.Table:
-        rep, sig, comp, side = t.column("rep").to_numpy(), _signatures(t), t.column("comp").to_numpy(), t.column("side").to_numpy()
-        sets = shingle_sets([(x or "").encode() for x in t.column("text").to_pylist()], width)
-        return _pairs(rep, [(k[x], k[y]) for k in _segments(t, ("family", "i", "j")) for x, y in exact_links([sets[q] for q in k], sig[k], comp[k], least, percent, side[k])])
-
-    return links.unionByName(materialize(both.groupBy("unit").applyInArrow(meet, "a long, b long")))
+    units = math.ceil(max((rows or 0) / FAMILY, (size or 0) / FAMILY_BYTES))
+    return _searched(named.drop("n_bytes").join(sizes.select("family", "blocks"), "family"), "family", units, FAMILY, filled, test, scrap)
+
+
+def one_text(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with each id once, by its smallest text, rows without id as they are; the ids that stood there repeatedly."""
+    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    again = materialize(again)
+    if again.isEmpty():
+        discard(again)
+        return docs, None
+    least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return docs.join(again, "doc_id", "left_anti").unionByName(least), again
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", unique: bool = False
 ) -> DataFrame:
     """id_col, n_shingles, component_id, kept for every row: components of links with Jaccard of percent / 100 or more.
 
     Words are separated by ASCII white space, A-Z lower-cased; a document's set holds its distinct shingles of `width`
     words, or all its words as one where it has fewer. A null or empty text has no shingles and no link. component_id
     is the smallest id that links reach, kept tells whether it is the row's own. Rows with a null id are linked with
-    nothing: component_id null, kept false. Rows that repeat an id are one document with one of the texts; each gets
-    its row. Other columns are ignored; an empty table gives no rows. Set sizes come from 64-bit hashes of shingles. A
-    pair at 80 % shares no band with a chance of 3 in a million (at 85 %, 1 in 100 million); all other steps are exact.
+    nothing: component_id null, kept false. Rows that repeat an id are one document, by the smallest of its texts; each
+    gets its row; unique tells that there are none. Other columns are ignored; an empty table gives no rows. Texts of any
+    length are read whole. Set sizes come from 64-bit hashes of shingles.
+
+    Two steps are not exact. A pair at 80 % shares no band with a chance of 3 in a million (at 85 %, 1 in 100 million).
+    And before full sets are compared, lowest bytes of signatures must agree in as many coordinates as a pair at
+    `percent` has less five standard deviations: of 12000 made-up pairs at 80 to 82 % none had fewer.
     """
     flat = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    flat, again = (flat, None) if unique else one_text(flat)
+    scrap: list[DataFrame] = []
     every = materialize(sketch(flat, width, bands, rows))
     known = every.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    copies = materialize(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").select("d1", "d2", "rep"))
+    copies = table_of(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").select("d1", "d2", "rep"), scrap)
     copied = materialize(known.select("doc_id", "d1", "d2").join(copies, ["d1", "d2"]).filter("doc_id <> rep").select("doc_id", "rep"))
-    reps = materialize(known.join(copied.select("doc_id").distinct(), "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "signature"))
+    reps = table_of(known.join(copied.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "n_bytes", "n_shingles", "bands", "signature"), scrap)
 
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    sizes = materialize(keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high").select("key", "m"))
+    sizes = table_of(keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high").select("key", "m"), scrap)
     shared = keyed.join(sizes.select("key"), "key", "left_semi")
     coordinates, s = bands * rows, percent / 100
     least = math.floor(s * coordinates - 5 * math.sqrt(coordinates * s * (1 - s)))
-    families = materialize(components(materialize(strong(shared, sizes, reps, least, percent))))
-    found = materialize(components(verified(families, reps, flat, width, least, percent)))
+    families = table_of(components(strong(shared, sizes, reps, least, percent, scrap)), scrap)
+    found = materialize(components(verified(families, reps, flat, width, least, percent, scrap)))
+    discard(*scrap)
 
-    named = every.select("doc_id", "n_shingles").join(copied.distinct(), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    named = every.select("doc_id", "n_shingles").join(copied, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = named.join(found, named["rep"] == found["node"], "left").withColumn("component_id", F.coalesce("component", "rep"))
+    if again is not None:
+        out = out.join(again, "doc_id", "left").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1).cast("long")))))
     kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
 
