@@ -2,11 +2,13 @@
 
 A tree builder applies the rules by which tags imply others (a paragraph ends where a block begins, a list item where
 the next begins, cells and rows likewise) and by which elements are hidden (elements that are never shown, the hidden
-attribute, inline styles, and style sheets' rules for a tag, a class or an id that hold on every screen). A renderer walks the tree and emits all
-that is visible: blocks on lines of their own, with a blank line around those that have margins, lists with their
-marks and indents, and tables with aligned cells. No part of a page is judged to be boilerplate and dropped.
+attribute, inline styles, closed details, and style sheets' rules for a tag, a class or an id that hold on every
+screen). A renderer walks the tree and emits all that is visible: blocks on lines of their own, with a blank line around
+those that have margins, lists with their marks and indents, and tables with aligned cells, captions above them. No part
+of a page is judged to be boilerplate and dropped.
 
-Nothing here recurses: nesting of any depth is walked with a stack.
+Nothing here recurses: nesting of any depth is walked with a stack. What layout adds is bounded by constants for each
+line and cell (INDENT, COLUMN, LINE, NESTED), so that time and output grow in proportion to the page.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +44,13 @@ IMPLIED = {
 #: Blocks before which an open paragraph ends; a paragraph inside one of the stops stays as it is.
 ENDS_P = BLOCK - frozenset(("html", "body", "tr", "thead", "tbody", "tfoot", "caption"))
 P_STOPS = frozenset(("td", "th", "caption", "button", "body", "html", "table", "object"))
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: Inputs whose value isn't text on the page.
+WORDLESS = frozenset("hidden password checkbox radio file range color image".split())
+#: Largest indent; widest column that others are aligned to; where a line of cells ends; tables in tables that are laid
+#: out; columns that a cell takes at most, and that cells of rows above can take.
+INDENT, COLUMN, LINE, NESTED, COLUMNS = 40, 80, 400, 8, 100
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
 _ASIDE = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?""", re.S)
 _SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)|not\s+(?:print|speech)", re.I)
 _SIMPLE = re.compile(r"([A-Za-z][\w-]*)?(?:\.([\w-]+)|#([\w-]+))?")
@@ -52,8 +61,14 @@ def on_screens(media: str) -> bool:
     return not media.strip() or any(_SCREEN.fullmatch(q.strip()) for q in media.split(","))
 
 
-def hiding(css: str) -> Iterator[str]:
-    """Selectors of the rules that hide elements on every screen, in one pass over the style sheet.
+def seen(style: str) -> tuple[bool, bool | None]:
+    """Whether declarations take an element out of the page; whether they show its own text (None: as its parent's)."""
+    told = _VISIBILITY.findall(style)
+    return bool(_NONE.search(style)), told[-1].lower() == "visible" if told else None
+
+
+def hiding(css: str) -> Iterator[tuple[str, bool, bool | None]]:
+    """(selector, *seen) of the rules that hide or show elements on every screen, in one pass over the style sheet.
 
     Rules count at the top and in @layer or @media blocks without conditions; those in other at-blocks (print, widths,
     @supports, @keyframes) and those nested in rules do not, nor do their declarations count for what is around them.
@@ -75,8 +90,9 @@ def hiding(css: str) -> Iterator[str]:
             blocks[-1][2].append(part)
             if m[0] == "}":
                 counts, selectors, body = blocks.pop()
-                if counts and selectors and _HIDES.search(";".join(body)):
-                    yield from selectors.split(",")
+                gone, visible = seen(";".join(body)) if counts and selectors else (False, None)
+                if gone or visible is not None:
+                    yield from ((x, gone, visible) for x in selectors.split(","))
 
 
 class Node:
@@ -89,13 +105,13 @@ class Node:
 
 
 class Builder(Markup):
-    """Builds the tree; `hidden` has the simple selectors of style rules that hide elements."""
+    """Builds the tree; `rules` has what style rules say of simple selectors."""
 
     def __init__(self) -> None:
         self.root = Node("html")
         self.open = [self.root]
         self.count: Counter[str] = Counter()  # of open elements by tag: most searches end here
-        self.hidden: set[tuple[str, str, str]] = set()
+        self.rules: dict[tuple[str, str, str], list[tuple[bool, bool | None]]] = {}
 
     def _close(self, tags: frozenset[str], stops: frozenset[str]) -> None:
         """Ends the innermost open element of `tags`, and all inside it, if no stop is nearer."""
@@ -149,23 +165,30 @@ class Builder(Markup):
     def handle_data(self, data: str) -> None:
         top = self.open[-1]
         if top.tag == "style":
-            for s in hiding(data) if on_screens(top.attrs.get("media", "")) else ():
+            for s, gone, visible in hiding(data) if on_screens(top.attrs.get("media", "")) else ():
                 m = _SIMPLE.fullmatch(s.strip())
                 if m and m.group():
-                    self.hidden.add(tuple((g or "").lower() if k == 0 else g or "" for k, g in enumerate(m.groups())))
+                    key = tuple((g or "").lower() if k == 0 else g or "" for k, g in enumerate(m.groups()))
+                    self.rules.setdefault(key, []).append((gone, visible))
         else:
             top.children.append(Node(None, text=data))
 
-    def shown(self, node: Node) -> bool:
+    def seen(self, node: Node) -> tuple[bool, bool | None]:
+        """Whether the element is in the page at all; whether its own text shows (None: as its parent's)."""
         a = node.attrs
-        if node.tag in NEVER or "hidden" in a or (node.tag in ("input", "textarea") and a.get("type") == "hidden") or _HIDES.search(a.get("style", "")):
-            return False
+        gone, visible = seen(a.get("style", "")) if "style" in a else (False, None)
+        if node.tag in NEVER or "hidden" in a or (node.tag in ("input", "textarea") and a.get("type") == "hidden") or gone:
+            return False, None
         if node.tag == "dialog" and "open" not in a:
-            return False
-        if self.hidden:
+            return False, None
+        if self.rules:
             names = [("", ""), *((c, "") for c in a.get("class", "").split()), ("", a.get("id", ""))]
-            return not any((t, c, i) in self.hidden for t in (node.tag, "") for c, i in names)
-        return True
+            told = [r for t in (node.tag, "") for c, i in names for r in self.rules.get((t, c, i), ())]
+            if any(g for g, _ in told):
+                return False, None
+            if visible is None:
+                visible = next((v for _, v in reversed(told) if v is not None), None)
+        return True, visible
 
 
 class Writer:
@@ -202,8 +225,8 @@ class Writer:
             if self.blank and self.lines:
                 self.lines.append("")
             self.blank = False
-            marks = "".join(" " * max(0, at - sum(len(m) for m, _ in self.mark[:k])) + m if k == 0 else m for k, (m, at) in enumerate(self.mark))
-            self.now.append(marks or " " * self.indent)
+            marks = "".join(m for m, _ in self.mark)
+            self.now.append(" " * min(INDENT, self.mark[0][1]) + marks if marks else " " * min(INDENT, self.indent))
             self.mark.clear()
         self.now.append(s)
 
@@ -224,62 +247,120 @@ class Writer:
         return self.lines
 
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table's rows of (lines of a cell, columns that it spans): columns padded to their widest cell."""
-    width: list[int] = []
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            width += [0] * (at + span - len(width))
-            if span == 1:
-                width[at] = max(width[at], *map(len, lines), 0)
-            at += span
-    for row in rows:  # what a cell over several columns needs beyond them goes to its last
-        at = 0
-        for lines, span in row:
-            if span > 1:
-                lack = max([0, *map(len, lines)]) - sum(width[at : at + span]) - 2 * (span - 1)
-                width[at + span - 1] += max(0, lack)
-            at += span
+class Cell(NamedTuple):
+    """Lines of a cell, and the columns and rows that it takes."""
+
+    lines: list[str]
+    columns: int
+    rows: int
+
+
+def placed(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
+    """Each row's cells with their first columns: the first COLUMNS that cells of rows above still take are passed over."""
+    out, taken = [], {}  # taken: of a column, the first row that is free again
+    for r, row in enumerate(rows):
+        at, line = 0, []
+        for cell in row:
+            while at < COLUMNS and taken.get(at, 0) > r:
+                at += 1
+            line.append((at, cell))
+            if cell.rows > 1 and at < COLUMNS:
+                taken.update((c, r + cell.rows) for c in range(at, at + cell.columns))
+            at += cell.columns
+        out.append(line)
+    return out
+
+
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a table: columns padded to their widest cell, or to COLUMN.
+
+    What stands after a cell beyond its room, or further than LINE from the left, begins a line of its own.
+    """
+    table_ = placed(rows)
+    width: dict[int, int] = {}
+    wide = []
+    for row in table_:
+        for at, cell in row:
+            longest = max(map(len, cell.lines), default=0)
+            for c in range(at, at + cell.columns):
+                width.setdefault(c, 0)
+            if cell.columns == 1:
+                width[at] = max(width[at], min(COLUMN, longest))
+            else:
+                wide.append((at, cell.columns, min(COLUMN, longest)))
+    for at, n, longest in wide:  # what a cell over several columns needs beyond them goes to its last
+        lack = longest - sum(width[c] for c in range(at, at + n)) - 2 * (n - 1)
+        width[at + n - 1] += max(0, lack)
+    start, end = {}, 0
+    for c in range(max(width, default=-1) + 1):
+        start[c] = end
+        end += width.get(c, 0) + 2
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            at, parts = 0, []
-            for lines, span in row:
-                room = sum(width[at : at + span]) + 2 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
-                at += span
-            out.append("  ".join(parts).rstrip())
+    for row in table_:
+        some, k = [x for x in row if x[1].lines], 0
+        while some:
+            line = ""
+            for at, cell in some:
+                if cell.lines[k]:
+                    if line and (len(line) + 2 > start[at] or start[at] > LINE):
+                        out.append(line)
+                        line = ""
+                    line = line.ljust(start[at] if start[at] <= LINE else 2) + cell.lines[k]
+            out.append(line.rstrip())
+            k += 1
+            some = [x for x in some if len(x[1].lines) > k]
     return out
 
 
+class _Table:
+    """What of a table has been read: captions, rows, and whether a row is open."""
+
+    def __init__(self) -> None:
+        self.captions: list[str] = []
+        self.rows: list[list[Cell]] = []
+        self.open = False
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.open = True
+
+
+def _number(value: str, least: int, most: int, instead: int) -> int:
+    return min(most, max(least, int(value))) if re.fullmatch(r"-?\d{1,9}", value.strip()) else instead
+
+
 def rendered(page: str) -> str:
     """The visible text of a page."""
     b = Builder()
     b.feed(page)
     writers = [Writer()]
-    tables: list[list[list[tuple[list[str], int]]]] = []
-    lists: list[list] = []  # [ordered, next number]
-    keep = 0
-    stack: list[tuple[Node, bool]] = [(b.root, False)]
+    tables: list[_Table] = []
+    lists: list[list] = []  # [ordered, next number, step]
+    marks: list[int] = []  # widths of the marks of open list items
+    keep = nested = 0
+    stack: list[tuple[Node, bool, bool]] = [(b.root, False, True)]
     while stack:
-        node, leaving = stack.pop()
+        node, leaving, visible = stack.pop()
         w, tag = writers[-1], node.tag
+        laid = bool(tables) and nested == len(tables)  # whether cells here are those of a table that is laid out
         if tag is None:
-            w.text(node.text, keep > 0)
+            if visible:
+                w.text(node.text, keep > 0)
             continue
         if not leaving:
-            if not b.shown(node):
+            there, own = b.seen(node)
+            if not there:
                 continue
+            visible = visible if own is None else own
             if tag == "br":
                 w.newline(True) if w.now or w.lines else None
                 continue
-            if tag == "img":
-                if node.attrs.get("alt", "").strip():
+            if tag == "img" or (tag == "input" and node.attrs.get("type", "").lower() == "image"):
+                if visible and node.attrs.get("alt", "").strip():
                     w.text(f" {node.attrs['alt']} ")
                 continue
             if tag == "input":
-                if node.attrs.get("type", "text") in ("submit", "button", "reset", "text") and node.attrs.get("value"):
+                if visible and node.attrs.get("type", "text").lower() not in WORDLESS and node.attrs.get("value"):
                     w.text(f" {node.attrs['value']} ")
                 continue
             inside = bool(lists) and tag in LIST
@@ -292,63 +373,75 @@ def rendered(page: str) -> str:
             if tag == "hr":
                 continue
             if tag in ("td", "th"):
-                if tables:
-                    if not tables[-1]:
-                        tables[-1].append([])
+                if laid:
+                    if not tables[-1].open:
+                        tables[-1].row()
                     writers.append(Writer())
                 else:
                     w.text(" ")
-            elif tag == "tr" and tables:
-                tables[-1].append([])
+            elif tag == "tr" and laid:
+                tables[-1].row()
             elif tag == "table":
-                tables.append([])
-            elif tag == "caption" and tables:
+                nested += 1
+                if nested <= NESTED:
+                    tables.append(_Table())
+            elif tag == "caption" and laid:
                 writers.append(Writer())
             elif tag in ("ul", "ol", "menu"):
-                start = node.attrs.get("start", "")
-                lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+                step = -1 if tag == "ol" and "reversed" in node.attrs else 1
+                first = sum(c.tag == "li" for c in node.children) if step < 0 else 1
+                lists.append([tag == "ol", _number(node.attrs.get("start", ""), -(10**9), 10**9, first), step])
                 w.indent += 2 if len(lists) > 1 else 0
             elif tag == "li":
-                level = lists[-1] if lists else [False, 1]
+                level = lists[-1] if lists else [False, 1, 1]
+                level[1] = _number(node.attrs.get("value", ""), -(10**9), 10**9, level[1])
                 mark = f"{level[1]}. " if level[0] else "- "
-                level[1] += 1
-                w.mark.append((mark, w.indent))
+                level[1] += level[2]
+                if visible:
+                    w.mark.append((mark, w.indent))
+                marks.append(len(mark))
                 w.indent += len(mark)
             elif tag in ("dd", "blockquote"):
                 w.indent += 2
             elif tag in ("pre", "textarea"):
                 keep += 1
-            elif tag == "q":
+            elif tag == "q" and visible:
                 w.text('"', True)
-            stack.append((node, True))
-            stack.extend((c, False) for c in reversed(node.children))
+            stack.append((node, True, visible))
+            children = node.children
+            if tag == "details" and "open" not in node.attrs:  # closed: its first summary alone is there
+                children = [c for c in children if c.tag == "summary"][:1]
+            stack.extend((c, False, visible) for c in reversed(children))
             continue
-        if tag in ("td", "th") and tables:
-            span = node.attrs.get("colspan", "")
-            tables[-1][-1].append((writers.pop().done(), min(1000, max(1, int(span))) if re.fullmatch(r"\d{1,9}", span) else 1))
+        if tag in ("td", "th") and laid:
+            size = [_number(node.attrs.get(k, ""), 1, most, 1) for k, most in (("colspan", COLUMNS), ("rowspan", 10 * COLUMNS))]
+            tables[-1].rows[-1].append(Cell(writers.pop().done(), *size))
             continue
-        if tag == "caption" and tables:
-            lines = writers.pop().done()
-            tables[-1].append([(lines, 1)])
+        if tag == "caption" and laid:
+            tables[-1].captions += writers.pop().done()
             continue
-        if tag == "table":
-            rows = tables.pop()
-            for line in aligned([r for r in rows if any(lines for lines, _ in r)]):
-                w.newline()
-                w.text(line, True)
+        if tag == "tr" and laid:
+            tables[-1].open = False
+        elif tag == "table":
+            nested -= 1
+            if nested < NESTED:
+                t = tables.pop()
+                for line in t.captions + aligned([r for r in t.rows if r]):
+                    w.newline()
+                    w.text(line, True)
         elif tag in ("ul", "ol", "menu"):
             lists.pop()
             w.indent -= 2 if lists else 0
         elif tag == "li":
             w.newline()
-            w.indent -= len(f"{lists[-1][1] - 1}. ") if lists and lists[-1][0] else 2
+            w.indent -= marks.pop()
             w.mark.clear()
         elif tag in ("dd", "blockquote"):
             w.newline()
             w.indent -= 2
         elif tag in ("pre", "textarea"):
             keep -= 1
-        elif tag == "q":
+        elif tag == "q" and visible:
             w.text('"', True)
         if tag in MARGIN and not (bool(lists) and tag in LIST):
             w.margin()
@@ -363,8 +456,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     """id_col, `keep`, text, n_chars (of the text), n_lines for every page.
 
     A null or empty page has the text "", 0 characters and 0 lines. Broken markup is read as far as the rules above go:
-    text is never lost to a tag that isn't closed, but inside elements that are never shown. Repeated rows give
-    repeated results; other columns are ignored.
+    text is never lost to a tag that isn't closed, but inside elements that are never shown. Pages of any length are read
+    whole, in time and with output in proportion to it. Repeated rows give repeated results; other columns are ignored.
     """
     types = dict(pages.dtypes)
     keep = tuple(c for c in keep if c not in (id_col, html_col))
