@@ -4,6 +4,9 @@ An HTML document becomes an ordered list of items: runs of text, and references
 and caption. A reference names its payload by digest (src="sha256:<hex>"). Payloads lie once each in a media table,
 as losslessly compressed 8-bit grey images; a join on the digest resolves the references, and each item keeps its
 position and caption, whatever order the join returns.
+
+A text becomes such a document: its runs stand in turn with references to the images that hold its payload, one for
+each PART bytes. What the query tells of a payload is read back from the stored images in the order of their positions.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from tagweave.llm.markup import Markup
 
 #: Samples in a row of a stored image, and the unit that payloads are filled up to (24 rows).
 WIDTH, UNIT, FILL = 24, 576, b"\xff"
+#: Bytes of a payload in one image at most: a multiple of UNIT.
+PART = 113 * UNIT
 SCHEME = "sha256:"
 ITEM = "struct<position:int,kind:string,text:string,digest:string,url:string,alt:string,caption:string>"
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -122,7 +127,15 @@ def resolve(sequences: DataFrame, media: DataFrame, columns: tuple[str, ...], id
     which Spark splits. Rows keep id and position, by which `gathered` puts them in order again.
     """
     items = sequences.select(id_col, *keep, F.explode("items").alias("item")).select(id_col, *keep, "item.*")
-    return items.join(media.select("digest", *columns), "digest", "left")
+    return resolve_items(items, media, columns)
+
+
+def resolve_items(items: DataFrame, media: DataFrame, columns: tuple[str, ...] | list[str]) -> DataFrame:
+    """Item rows with `columns` of the media table by their digests. Runs of text, which have none, take no part in the join."""
+    held = media.select("digest", *columns)
+    found = items.filter("digest IS NOT NULL").join(held, "digest", "left")
+    nothing = {c: F.lit(None).cast(held.schema[c].dataType) for c in columns}
+    return found.unionByName(items.filter("digest IS NULL").withColumns(nothing).select(*found.columns))
 
 
 def gathered(items: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -178,72 +191,112 @@ def payload_of(text: bytes) -> bytes:
     return text + FILL * (UNIT - len(text) % UNIT if len(text) % UNIT or not text else 0)
 
 
+def page_of(text: str, digests: list[str]) -> str:
+    """A page of the text's runs, each with the image of one part of its payload, captioned by its number."""
+    n, cut = len(digests), [k * len(text) // len(digests) for k in range(len(digests) + 1)]
+    parts = (
+        f'<p>{html.escape(text[cut[k] : cut[k + 1]], False)}</p><figure><img src="{SCHEME}{d}" alt="bytes from {k * PART}"><figcaption>part {k + 1} of {n}</figcaption></figure>'
+        for k, d in enumerate(digests)
+    )
+    return f"<article>{''.join(parts)}</article>"
+
+
+REFERENCE = pa.struct([("position", pa.int32()), ("digest", pa.string()), ("caption", pa.string())])
+IMAGE = pa.struct([("digest", pa.string()), ("media", pa.binary())])
+
+
 def stored_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_bytes, html, digest, media) of every text: its payload as a stored image and a page that refers to it."""
-    schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("html", pa.string()), ("digest", pa.string()), ("media", pa.binary())])
+    """(id, n_bytes, refs, images) of every text: the media references of its page, and the images that hold its payload.
+
+    An image that a task has stored before isn't stored again, which is most of a group of copies.
+    """
+    schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("refs", pa.list_(REFERENCE)), ("images", pa.list_(IMAGE))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # 16 bytes of digest each
         for b in batches:
-            rows = list(texts(b.column(1)))
-            payloads = [payload_of(t) for t in rows]
-            digests = [hashlib.sha256(p).hexdigest() for p in payloads]
-            pages = [
-                f'<article><p>document {i}</p><figure><img src="{SCHEME}{d}" alt="{len(t)} bytes"><figcaption>{html.escape(str(i))}</figcaption></figure></article>'
-                for i, t, d in zip(b.column(0).to_pylist(), rows, digests, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, rows), pa.int64()), pa.array(pages), pa.array(digests), pa.array(map(to_image, payloads), pa.binary())], schema=schema)
+            sizes, refs, images = [], [], []
+            for t in texts(b.column(1)):
+                payload, digests, fresh = payload_of(t), [], []
+                for at in range(0, len(payload), PART):
+                    part = payload[at : at + PART]
+                    digest = hashlib.sha256(part)
+                    digests.append(digest.hexdigest())
+                    if digest.digest()[:16] not in seen:
+                        seen.add(digest.digest()[:16])
+                        fresh.append({"digest": digests[-1], "media": to_image(part)})
+                items = interleaved(page_of(t.decode("utf-8", "replace"), digests))
+                sizes.append(len(t))
+                refs.append([{k: i[k] for k in ("position", "digest", "caption")} for i in items if i["kind"] == "image"])
+                images.append(fresh)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(refs, pa.list_(REFERENCE)), pa.array(images, pa.list_(IMAGE))], schema=schema)
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), run, f"{id_col} long, n_bytes long, html string, digest string, media binary")
+    ddl = f"`{id_col}` long, n_bytes long, refs array<struct<position:int,digest:string,caption:string>>, images array<struct<digest:string,media:binary>>"
+    return map_rows(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), run, ddl)
 
 
-def once_a_task(media: DataFrame) -> DataFrame:
-    """(digest, media) without repeats inside a partition, which is most of a group of copies."""
+TOLD = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
-            keys = [bytes.fromhex(d)[:16] for d in b.column(0).to_pylist()]
-            fresh = []
-            for k in keys:
-                fresh.append(k not in seen)
-                seen.add(k)
-            yield b.filter(pa.array(fresh))
 
-    return media.mapInArrow(run, "digest string, media binary")
+def read_back(stored: list[bytes]) -> tuple[int, str, int, int, str, str]:
+    """The values of TOLD of a payload whose parts' images these are, in order."""
+    samples = np.concatenate([from_image(s) for s in stored])
+    payload = samples.tobytes()
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), sum(map(len, stored)), hashlib.sha256(b"".join(stored)).hexdigest(), feature(samples)
+
+
+def _told(keys: list, name: str, kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "string": pa.string()}
+    fields = [pa.field(name, kind), *(pa.field(f.split()[0], types[f.split()[1]]) for f in TOLD.split(", "))]
+    columns = zip(*rows, strict=True) if rows else [()] * (len(fields) - 1)
+    return pa.RecordBatch.from_arrays([pa.array(keys, kind), *(pa.array(c, f.type) for c, f in zip(columns, fields[1:], strict=True))], schema=pa.schema(fields))
 
 
 def described(media: DataFrame) -> DataFrame:
-    """What the stored bytes of each digest hold, read back: one row per digest."""
-    schema = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    """What the stored bytes of each digest hold, read back: one row per digest of (digest, media) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for digest, stored in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                samples = from_image(stored)
-                payload = samples.tobytes()
-                rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            yield _told(b.column(0).to_pylist(), "digest", pa.string(), [read_back([m]) for m in texts(b.column(1))])
 
-    told = map_rows(media, run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return told.dropDuplicates(["digest"])
+    return map_rows(media, run, f"digest string, {TOLD}").dropDuplicates(["digest"])
 
 
 def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text as a payload of a media column: stored, referred to, resolved and read back.
-
-    Returns id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and the
-    position and caption of the reference. A null or empty text is a payload of UNIT fill bytes; equal texts share one
-    stored payload; null ids stay null; repeated rows give repeated results; other columns are ignored; an empty table
-    gives no rows.
+    """Every text as a payload of media columns: stored, referred to, resolved and read back.
+
+    Returns id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and captions
+    (of its references in order, joined by "; "). A null or empty text is a payload of UNIT fill bytes. A payload of more
+    than PART bytes lies in several images, which come back in the order of their positions; media_bytes and
+    media_sha256 are those of the images one after another. Equal texts share their stored images and have equal values;
+    null ids stay null; repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
+    The images of one text meet in one task, and of no more than one text at a time.
     """
-    made = stored_documents(docs, id_col, text_col)
-    store = materialize(once_a_task(made.select("digest", "media")))
+    row = "row" if id_col != "row" else "_row"
+    made = materialize(stored_documents(docs, id_col, text_col).withColumn(row, F.monotonically_increasing_id()))
+    store = made.select(F.explode("images").alias("i")).select("i.digest", "i.media")
+    items = made.select(row, id_col, "n_bytes", F.posexplode("refs").alias("part", "r"), F.size("refs").alias("parts")).select(row, id_col, "n_bytes", "part", "parts", "r.*")
+    columns = [f.split()[0] for f in TOLD.split(", ")]
+
+    one = items.filter("parts = 1")
     told = materialize(described(store))
-    pages = sequences(made.select(id_col, "n_bytes", "html"), id_col, keep=("n_bytes",))
-    columns = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    items = resolve(pages, told, columns, id_col, keep=("n_bytes",)).filter("kind = 'image'")
-    return items.select(id_col, "n_bytes", *columns, "position", "caption")
+    single = resolve_items(one, told, columns).select(id_col, "n_bytes", *columns, F.col("caption").alias("captions"))
+    several = items.filter("parts > 1")
+    if several.isEmpty():
+        return single
+
+    many = several.select("digest").distinct()
+    pieces = resolve_items(several, store.join(many, "digest", "left_semi").dropDuplicates(["digest"]), ["media"])
+
+    def gather(t: pa.Table) -> pa.Table:
+        t = t.sort_by("position")
+        stored = [x.as_buffer().to_pybytes() for x in t.column("media")]
+        return pa.Table.from_batches([_told([t.column(row)[0].as_py()], row, pa.int64(), [read_back(stored)])])
+
+    whole = pieces.select(row, "position", "media").groupBy(row).applyInArrow(gather, f"{row} long, {TOLD}")
+    order = F.array_sort(F.collect_list(F.struct("position", "caption")))
+    heads = several.groupBy(row).agg(F.first(id_col).alias(id_col), F.first("n_bytes").alias("n_bytes"), F.array_join(F.transform(order, lambda x: x["caption"]), "; ").alias("captions"))
+    return single.unionByName(heads.join(whole, row).select(id_col, "n_bytes", *columns, "captions"))
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
