@@ -13,6 +13,7 @@ import hashlib
 import math
 import random
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,8 @@ from tagweave.llm.boosting import Boosted, calibrate, fit
 from tagweave.llm.common import map_rows, table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "secret")
+OTHERS = ("iban", "ssn", "secret")
+KINDS = (*BASE, *OTHERS)
 Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,6 +36,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
+_PREFIX = re.compile(r"[A-Za-z]{2,6}[_-](?:[a-z]{2,6}[_-])?[A-Za-z0-9]{12}")
 
 
 def luhn(digits: str) -> bool:
@@ -76,10 +79,10 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], BASE.index(s[0])))
 
 
-#: High recall: what may be of a kind at all. No pattern can take more than a bounded number of characters, but that of
-#: secrets, whose runs are possessive: none is read twice. A secret must have a digit as well, which candidates() checks.
+#: High recall: what may be of a kind at all. Runs without a bound are possessive and begin where the run does, so that
+#: nothing is read twice, however long. A secret must have a digit as well, which candidates() checks.
 GENERATORS = {
-    "email": re.compile(r"[\w.+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[\w-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]{1,63}){1,4}"),
+    "email": re.compile(r"(?<![\w.+%-])[\w.+%-]++ ?(?:@|\(at\)|\[at\]) ?[\w-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| \. )[\w-]++)++"),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])(?:00 ?|0|\()[0-9]{1,5}\)?(?:[ ./-]?[0-9]{2,5}){2,4}(?![0-9])|(?<![0-9])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
@@ -125,6 +128,7 @@ def candidate_features(kind: str, text: str, begin: int, end: int) -> list[float
         before.rstrip()[-1:] in ('"', "'") and text[end : end + 1] in ('"', "'"), any(c in before[-4:] for c in "=:"),
         before[-1:].isalnum(), after[:1].isalnum(), len(set(re.findall("[0-9]+", s))) / max(1, len(re.findall("[0-9]+", s))),
         max(map(len, re.findall("[0-9]+", s)), default=0), float(s[:3] in ("000", "666") or s[:1] == "9"),
+        sum(any(f(c) for c in s) for f in (str.isupper, str.islower, str.isdigit)), float(bool(_PREFIX.match(s))), s.count("-"),
     ]
 
 
@@ -164,26 +168,33 @@ def _made_up(rng: random.Random) -> tuple[str, str, int, int, int]:
         t = with_check(16)
         s = t if rng.random() < 0.4 else rng.choice("- ").join(t[i : i + 4] for i in range(0, 16, 4))
     elif kind == "phone":
-        s = rng.choice((f"({d(3)}) {d(3)}-{d(4)}", f"0{d(3)} {d(3)}{d(4)}", f"0{d(2)}/{d(4)} {d(3)}", f"00{d(2)} {d(3)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}")) if label else rng.choice((f"0{d(15)}", f"00{d(14)}", f"0{d(12)}", f"0{d(9)}", f"0{d(3)}.{d(3)}.{d(3)}", f"{d(3)} {d(3)} {d(4)}", f"0{d(1)}-{d(2)}-{d(4)}"))
+        s = rng.choice((f"({d(3)}) {d(3)}-{d(4)}", f"0{d(3)} {d(3)}{d(4)}", f"0{d(2)}/{d(4)} {d(3)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"00{d(2)} {d(3)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}")) if label else rng.choice((f"0{d(15)}", f"00{d(14)}", f"0{d(12)}", f"0{d(9)}", f"0{d(3)}.{d(3)}.{d(3)}", f"{d(3)} {d(3)} {d(4)}", f"0{d(1)}-{d(2)}-{d(4)}"))
     elif kind == "iban":
         s = iban()
     elif kind == "ssn":
         s = f"{rng.randint(1, 665):03d}-{d(2)}-{d(4)}" if label else f"{rng.choice(('000', '666', '9' + d(2)))} {d(2)} {d(4)}"
     else:
-        s = rng.choice((h(40), h(32), h(24, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") + d(2), "sk_live_" + h(24) + d(1))) if label else rng.choice((word() + "-" + word() + "-" + word() + "-" + d(4) + "xxxxxx", d(20), h(40), h(32)))
+        mixed = string.ascii_letters + string.digits
+        hexes = h(rng.choice((16, 24, 32, 40, 48, 64, 96)))
+        random_ = h(rng.randint(20, 90), mixed + rng.choice(("", "_-", "+/"))) + d(1) + rng.choice(("", "", "="))
+        upper = h(rng.randint(4, 20), string.ascii_uppercase) + h(rng.randint(8, 16), string.ascii_uppercase + string.digits) + d(1)
+        named = rng.choice(("sk_live_", "pk-", "glpat-", "hf_", "SG-")) + random_
+        parts = "-".join((h(8), h(4), h(4), h(4), h(12)))
+        words_ = "-".join(word().strip("óé") or "a" for _ in range(rng.randint(2, 6))) + "-" + d(4) + "xxxxxx"
+        s = rng.choice((hexes, random_, random_, upper, named, parts)) if label else rng.choice((words_, words_.replace("-", "/"), d(rng.randint(16, 24)), hexes, hexes, parts, random_))
     hint = rng.choice(TELLING[kind]) if rng.random() < (0.75 if label else 0.1) else word() if rng.random() < (0.9 if label else 0.3) else rng.choice(OTHER)
-    if kind == "secret" and label:
-        hint = rng.choice(TELLING[kind])
-        s0 = f'{hint}{rng.choice((" = ", ": ", "="))}{rng.choice(("", chr(34)))}'
-    else:
-        s0 = f"{hint}{rng.choice((' ', ': ', ' = ', ' no. '))}"
+    s0 = f"{hint}{rng.choice((' ', ': ', ' = ', ' no. '))}"
+    if kind == "secret":  # without telling words a random run is none but where its own form tells
+        plain = label and s == named and rng.random() < 0.3
+        hint = word() if plain else rng.choice(TELLING[kind]) if label else rng.choice((word(), rng.choice(OTHER), rng.choice(OTHER)))
+        s0 = f"{hint.upper() if rng.random() < 0.2 else hint}{rng.choice((' = ', ': ', '=', ' ', ' is ', ' => '))}{rng.choice(('', '', chr(34)))}"
     quote = '"' if s0.endswith('"') else ""
     head = " ".join(word() for _ in range(rng.randint(0, 6))) + " " + s0
     return head + s + quote + " " + " ".join(word() for _ in range(rng.randint(1, 5))), kind, len(head), len(head) + len(s), int(label)
 
 
 @lru_cache(maxsize=1)
-def models(rows: int = 9000, precision: float = 0.97, seed: int = 3) -> dict[str, Boosted]:
+def models(rows: int = 14000, precision: float = 0.97, seed: int = 3) -> dict[str, Boosted]:
     """A calibrated model of each kind: two thirds of the made-up rows train it, the rest calibrate it."""
     rng = random.Random(seed)
     made = [_made_up(rng) for _ in range(rows)]
@@ -238,18 +249,18 @@ def redacted(text: str, spans: list[Span]) -> str:
 def detect(docs: DataFrame, redact: bool = True, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Personal data of every whole text.
 
-    Returns id_col, counts of the base kinds, base_sha256, spans (text form), found (array of structs) and, with
-    redact, redacted (the text, null for null), and the columns in `keep`. Offsets count code points, ends are
-    exclusive. A null or empty text has no spans; null ids stay null; repeated rows give repeated results; other
+    Returns id_col, counts of the base kinds, base_sha256, spans (text form), n_spans, the numbers of all spans of the
+    other kinds, found (array of structs) and, with redact, redacted (the text, null for null), and the columns in `keep`. Offsets count code points, ends are
+    exclusive. Texts of any length are read whole. A null or empty text has no spans; null ids stay null; repeated rows give repeated results; other
     columns are ignored. The models, a few kilobytes each, go to the workers with the function.
     """
     trained = models()
     extra = [c for c in keep if c not in (id_col, text_col)]
     types = dict(docs.dtypes)
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    ddl = f"{id_col} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<kind:string,start:bigint,end:bigint>>"
+    ddl = f"`{id_col}` long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long{''.join(f', n_{k} long' for k in OTHERS)}, found array<struct<kind:string,start:bigint,end:bigint>>"
     ddl += ", redacted string" * redact + "".join(f", `{c}` {types[c]}" for c in extra)
-    names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found", *(["redacted"] * redact), *extra]
+    names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", *(f"n_{k}" for k in OTHERS), "found", *(["redacted"] * redact), *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,9 +269,10 @@ def detect(docs: DataFrame, redact: bool = True, id_col: str = "doc_id", text_co
             n = [pa.array([sum(s[0] == k for s in base) for base, _ in both], pa.int64()) for k in BASE]
             sha = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in both], pa.string())
             told = pa.array([joined(spans) for _, spans in both], pa.string())
+            more = [pa.array([sum(k is None or s[0] == k for s in spans) for _, spans in both], pa.int64()) for k in (None, *OTHERS)]
             found = pa.array([[{"kind": k, "start": x, "end": y} for k, x, y in spans] for _, spans in both], item)
             text = [pa.array([t if t is None else redacted(t, spans) for t, (_, spans) in zip(rows, both, strict=True)], pa.string())] if redact else []
-            yield pa.RecordBatch.from_arrays([b.column(0), *n, sha, told, found, *text, *b.columns[2:]], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *n, sha, told, *more, found, *text, *b.columns[2:]], names)
 
     return map_rows(docs.select(docs[id_col].cast("long").alias(id_col), text_col, *extra), run, ddl)
 
