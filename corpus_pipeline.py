@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import WORD_PATTERN, materialize, ship, table
@@ -17,36 +17,61 @@ from tagweave.llm.quality import quality
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """docs with columns that a stage doesn't use under names that no operator gives; the columns as they were, of these."""
+    name = {c: c if c in used else f"aside{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*name.values()), [F.col(n).alias(c) for c, n in name.items()]
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be of label 1; it learns from labels that aren't held out."""
+    """Documents that the quality classifier predicts to be of label 1; it learns from labels that aren't held out.
+
+    Null and empty texts are scored like others; repeated rows stay or go together; other columns pass through, whatever
+    their names. An empty table gives an empty one.
+    """
     ship(spark)
+    docs, as_were = _aside(docs, "doc_id", "text")
     scored = quality(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    return scored.filter("predicted = 1").select(*as_were)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component; shingles of five words, 80 %.
+    """One row of each near-duplicate component, that with the smallest id; shingles of five words, 80 %.
 
-    Documents without id are linked with nothing and stay, as do those without words.
+    Each row is a document of its own, so that exact repeats go too, whether their ids are alike, unlike or null; a null
+    id counts as the largest. Rows without words are linked with nothing and stay.
     """
     ship(spark)
-    gone = near_duplicates(docs).filter("component_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    row = next(c for c in ("row", "_row", "__row") if c not in docs.columns)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(row, "text"), id_col=row, unique=True).select(row, F.col("component_id").alias("component"))
+    named = materialize(found.join(rows.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("order")), row))
+    first = named.groupBy("component").agg(F.min("order").getField(row).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = named.join(first, "component").filter(F.col(row) != F.col("first")).select(row)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the kind of each personal span in its place; n_chars counts the new text."""
+    """All documents, with the kind of each personal span in its place; n_chars counts the new text.
+
+    A null text stays null, and its n_chars is null. Repeated rows stay; other columns pass through, whatever their
+    names. An empty table gives an empty one.
+    """
     ship(spark)
-    found = detect(docs, keep=tuple(docs.columns)).drop("text").withColumnRenamed("redacted", "text")
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    docs, as_were = _aside(docs, "doc_id", "text", "n_chars")
+    found = detect(docs.drop("n_chars"), keep=tuple(c for c in docs.columns if c != "n_chars")).withColumnRenamed("redacted", "text")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*as_were)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: 0, 1 or 2 times.
 
     Rows alike in id, source and size share the copies that the mix gives them, the first of them one more if need be.
+    Null and empty texts, of size 0, are taken at random like others; a null source is one of its own, the last; other
+    columns pass through, whatever their names. An empty table gives an empty one.
     """
     key = ["doc_id", "source", "size"]
+    docs, as_were = _aside(docs, "doc_id", "text", "source")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     given = materialize(mix(docs).groupBy(*key).agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("times"))).alias("m")
     sized = docs.withColumn("size", size).alias("d")
@@ -54,11 +79,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = sized.join(given, same[0] & same[1] & same[2]).select("d.*", "m.total", "m.times")
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("text"))
     copies = F.floor(F.col("total") / F.col("times")) + (nth <= F.col("total") % F.col("times")).cast("long")
-    return joined.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return joined.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*as_were)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed sequences of 2048 tokens: one row a piece, with its ids."""
+    """Packed sequences of 2048 tokens: one row a piece, with its ids.
+
+    A null or empty text is a document of one token, its end; repeated rows are documents of their own; other columns
+    are ignored. An empty table gives no rows.
+    """
     import public_tokenizers
 
     ship(spark)
