@@ -5,7 +5,10 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions.text import tokens
@@ -13,53 +16,107 @@ from tagweave.functions.text import tokens
 BITS = 64
 
 
+def _murmur3():
+    """The lower 64 bits of MurmurHash3 x64 128 (seed 0) of each string's UTF-8 form, as signed longs.
+
+    The function that this returns goes to workers by its code: they needn't have this package.
+    """
+    whole = (1 << 64) - 1
+    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F  # fixed values of the public algorithm
+
+    def turned(x: int, n: int) -> int:
+        return (x << n | x >> (64 - n)) & whole
+
+    def spread(x: int) -> int:
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * factor & whole
+        return x ^ x >> 33
+
+    def one(s: str) -> int:
+        data = s.encode()
+        padded = data + bytes(-len(data) % 16)
+        a = b = 0
+        for at in range(0, len(padded), 16):
+            x, y = (int.from_bytes(padded[at + k : at + k + 8], "little") for k in (0, 8))
+            x, y = turned(x * c1 & whole, 31) * c2 & whole, turned(y * c2 & whole, 33) * c1 & whole
+            if at + 16 > len(data):  # what is left over is mixed in without the steps between
+                a, b = a ^ x, b ^ y
+            else:
+                a = ((turned(a ^ x, 27) + b) * 5 + 0x52DCE729) & whole
+                b = ((turned(b ^ y, 31) + a) * 5 + 0x38495AB5) & whole
+        a, b = a ^ len(data), b ^ len(data)
+        a = (a + b) & whole
+        b = (b + a) & whole
+        a, b = spread(a), spread(b)
+        a = (a + b) & whole
+        return a - (1 << 64) if a >> 63 else a
+
+    def hashes(terms: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else one(s) for s in terms], dtype="Int64")
+
+    return hashes
+
+
 def token_hash(term: Column, mode: str = "xxhash64") -> Column:
-    """64 bits of a token: 'xxhash64' (native), or 'md5' (its first 16 hex digits), which other engines have too."""
+    """64 bits of a token: 'xxhash64' (native), 'md5' (its first 16 hex digits, which other engines have too), or 'murmur3'
+    (the lower half of MurmurHash3 x64 128, by Arrow batches)."""
     if mode == "xxhash64":
-        return F.xxhash64(term)
+        return F.when(term.isNotNull(), F.xxhash64(term))
     if mode == "md5":
         return F.conv(F.substring(F.md5(term.cast("binary")), 1, 16), 16, -10).cast("long")
+    if mode == "murmur3":
+        return F.pandas_udf(_murmur3(), "long")(term)
     raise ValueError(f"unknown token hash: {mode}")
 
 
+_LANES = 0x100000001
+
+
 def _fingerprints(rows: DataFrame, id_col: str) -> DataFrame:
-    """(id, simhash) of (id, h, n) rows: bit b is set where more than half of the weight n has it."""
-    sums = [F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(1) == 1, F.col("n")).otherwise(0)).alias(f"b{b}") for b in range(BITS)]
-    total = rows.groupBy(id_col).agg(F.sum("n").alias("n"), *sums)
-    bit = lambda b: F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
-    value = bit(0)
-    for b in range(1, BITS):
-        value = value.bitwiseOR(bit(b))
+    """(id, simhash) of (id, h) rows: bit b is set where more than half of an id's hashes have it; null hashes don't count.
+
+    Partial sums cross the network, 33 numbers for each id that a task has. A sum holds two bits' counts, each below
+    2^31, as many tokens as a text may have.
+    """
+    sums = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(_LANES))).alias(f"b{b}") for b in range(BITS // 2)]
+    total = rows.groupBy(id_col).agg(F.count("h").alias("n"), *sums)
+    value = F.lit(0).cast("long")
+    for b in range(BITS):
+        lane = F.col(f"b{b % 32}")
+        count = F.shiftrightunsigned(lane, 32) if b >= 32 else lane.bitwiseAND(F.lit((1 << 32) - 1))
+        value = value.bitwiseOR(F.when(2 * count > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
     return total.select(id_col, value.alias("simhash"))
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "xxhash64") -> DataFrame:
-    """(id, simhash) of every document: each token counts as often as it occurs; without tokens: 0.
+def simhash_tokens(rows: DataFrame, id_col: str, tokens_col: str, mode: str = "xxhash64") -> DataFrame:
+    """(id, simhash) of rows with an array of tokens: each counts as often as it occurs; none, or null: 0.
 
-    Texts are dealt by id once; exploding, counting and the 64 sums then stay where they are.
+    Arrays are exploded where they are; what is summed up per task and id is all that a shuffle moves. Rows that repeat
+    an id are one text. Hashes by Python ('murmur3') are taken of the distinct tokens only.
     """
-    dealt = docs.select(id_col, text_col).repartition(id_col)
-    terms = dealt.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
-    found = _fingerprints(terms.select(id_col, token_hash(F.col("term"), mode).alias("h"), "n"), id_col)
-    return dealt.select(id_col).distinct().join(found, id_col, "left").select(id_col, F.coalesce("simhash", F.lit(0)).cast("long").alias("simhash"))
+    exploded = rows.select(id_col, F.explode_outer(tokens_col).alias("term"))
+    if mode == "murmur3":
+        hashed = exploded.select("term").distinct().select("term", token_hash(F.col("term"), mode).alias("h"))
+        return _fingerprints(exploded.join(hashed, "term", "left").select(id_col, "h"), id_col)
+    return _fingerprints(exploded.select(id_col, token_hash(F.col("term"), mode).alias("h")), id_col)
+
+
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "xxhash64") -> DataFrame:
+    """(id, simhash) of every document's tokens; without tokens: 0."""
+    return simhash_tokens(docs.select(id_col, tokens(F.col(text_col)).alias("tokens")), id_col, "tokens", mode)
 
 
 def simhash_of(terms: list[str], spark, mode: str = "xxhash64") -> int:
     """The fingerprint of a few tokens, such as a query's."""
     if not terms:
         return 0
-    rows = spark.createDataFrame([(0, t) for t in terms], "id long, term string").groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
-    return _fingerprints(rows.select("id", token_hash(F.col("term"), mode).alias("h"), "n"), "id").first()[1]
+    return simhash_tokens(spark.createDataFrame([(0, terms)], "id long, t array<string>"), "id", "t", mode).first()[1]
 
 
 def simhash_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "xxhash64") -> DataFrame:
-    """(id, simhash) over all 8-byte windows of the UTF-8 form; texts of less than 8 bytes: 0."""
-    raw = F.encode(text_col, "UTF-8")
-    dealt = docs.select(id_col, raw.alias("raw")).repartition(id_col)
-    windows = F.transform(F.sequence(F.lit(1), F.octet_length("raw") - 7), lambda i: F.substring(F.hex("raw"), 2 * i - 1, 16))
-    rows = dealt.filter(F.octet_length("raw") >= 8).select(id_col, F.explode(windows).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
-    found = _fingerprints(rows.select(id_col, token_hash(F.col("term"), mode).alias("h"), "n"), id_col)
-    return dealt.select(id_col).distinct().join(found, id_col, "left").select(id_col, F.coalesce("simhash", F.lit(0)).cast("long").alias("simhash"))
+    """(id, simhash) over all 8-byte windows of the UTF-8 form; texts of less than 8 bytes, and null: 0."""
+    windows = F.regexp_extract_all(F.hex(F.encode(text_col, "UTF-8")), F.lit("(?=(.{16}))(?:..)"), F.lit(1))
+    return simhash_tokens(docs.select(id_col, windows.alias("windows")), id_col, "windows", mode)
 
 
 def hex_form(fingerprint: Column) -> Column:
@@ -123,16 +180,65 @@ def hamming_pairs(prints: DataFrame, most: int = 5, blocks: int | None = None, i
     assert len(choices) == math.comb(blocks, most)
 
     def key(c: tuple[int, ...]) -> Column:
+        """The choice as a set of bits, the bits up to its last part, and the value of its parts."""
         value, at = F.lit(0).cast("long"), 0
         for k in c:
             value, at = value.bitwiseOR(F.shiftleft(part[k], at)), at + size[k]
-        return value
+        return F.struct(F.lit(sum(1 << k for k in c)).alias("choice"), F.lit((2 << c[-1]) - 1).alias("upto"), value.alias("key"))
 
-    keyed = reps.select("id", "h", F.posexplode(F.array(*map(key, choices))).alias("choice", "key"))
-    a = keyed.select(F.col("id").alias("a"), F.col("h").alias("ha"), "choice", "key")
+    keyed = reps.select("id", "h", F.explode(F.array(*map(key, choices))).alias("k")).select("id", "h", "k.*")
+    a = keyed.select(F.col("id").alias("a"), F.col("h").alias("ha"), "choice", "upto", "key")
     b = keyed.select(F.col("id").alias("b"), F.col("h").alias("hb"), "choice", "key")
-    close = a.join(b, ["choice", "key"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= most))
-    return close.select("a", "b", hamming(F.col("ha"), F.col("hb")).cast("long").alias("distance")).distinct()
+    met = a.join(b, ["choice", "key"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= most))
+    # a pair meets at every choice of parts that it agrees in; it counts at the first, which has no such part before its last
+    apart = F.col("ha").bitwiseXOR(F.col("hb"))
+    agrees = F.lit(0)
+    for k in range(blocks):
+        agrees = agrees.bitwiseOR(F.when(F.shiftrightunsigned(apart, low[k]).bitwiseAND((1 << size[k]) - 1) == 0, 1 << k).otherwise(0))
+    first = met.filter(agrees.bitwiseAND(F.col("upto")) == F.col("choice"))
+    return first.select("a", "b", hamming(F.col("ha"), F.col("hb")).cast("long").alias("distance"))
+
+
+#: Queries, and candidates, that meet in one task.
+QUERY_BLOCK, CANDIDATE_BLOCK = 1 << 14, 1 << 16
+
+
+def similar_topk(prints: DataFrame, is_query: Column, k: int = 20, id_col: str = "doc_id", hash_col: str = "simhash") -> DataFrame:
+    """(query_id, rank, id, similarity): the k rows whose fingerprints are nearest to each query's, ties to the smaller id.
+
+    is_query marks the queries; every row but a query's own is a candidate. Blocks of queries meet blocks of candidates,
+    and each pair of blocks returns k rows a query at most.
+    """
+    spark = prints.sparkSession
+    rows = prints.select(F.col(id_col).cast("long").alias("id"), F.col(hash_col).alias("h"), is_query.alias("ask")).filter("id IS NOT NULL")
+    n, asked = rows.agg(F.count(F.lit(1)), F.count_if("ask")).first()
+    r = max(1, math.ceil(asked / QUERY_BLOCK))
+    c = max(1, math.ceil(n / CANDIDATE_BLOCK), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 4096)))
+    block = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
+    left = rows.filter("ask").select("id", "h", block(r, 1).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(c - 1))).alias("c"))
+    right = rows.select("id", "h", block(c, 2).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("r"))
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.int64())])
+
+    def nearest(q: pa.Table, x: pa.Table) -> pa.Table:
+        x = x.sort_by("id")
+        ids, h = x.column("id").to_numpy(), x.column("h").to_numpy().view(np.uint64)
+        q_ids, q_h = q.column("id").to_numpy(), q.column("h").to_numpy().view(np.uint64)
+        parts = [(q_ids[:0], ids[:0], ids[:0])]
+        for at in range(0, len(q_ids) if len(ids) else 0, 128):
+            mine = slice(at, at + 128)
+            apart = np.bitwise_count(q_h[mine, None] ^ h[None, :]).astype(np.int64)
+            apart[q_ids[mine, None] == ids[None, :]] = 65
+            order = apart * len(ids) + np.arange(len(ids))  # by distance and then id, all distinct
+            some = np.argpartition(order, min(k, len(ids)) - 1, axis=1)[:, :k]
+            d = np.take_along_axis(apart, some, 1)
+            own, real = np.repeat(q_ids[mine], some.shape[1]), d.ravel() <= 64
+            parts.append((own[real], ids[some.ravel()][real], d.ravel()[real]))
+        return pa.table([pa.array(np.concatenate(col)) for col in zip(*parts, strict=True)], schema=schema)
+
+    found = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(nearest, "query_id long, id long, distance long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    best = found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", "id", (1 - F.col("distance") / F.lit(float(BITS))).alias("similarity"))
 
 
 def fingerprint_classes(prints: DataFrame, id_col: str = "doc_id", hash_col: str = "simhash") -> DataFrame:

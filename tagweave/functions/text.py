@@ -22,7 +22,6 @@ TRANSIENT = {
     "build": (r"^\s*compiling \S+ v\d", r"^\s*finished (?:dev|release)\b", r"^build (?:succeeded|failed)", r"^\[\d+/\d+\] ", r"^make(?:\[\d+\])?: "),
     "noise": (r"^\s*\d{1,3}%", r"^[-=*#_]{10,}$", r"^\[\d{4}-\d\d-\d\d[t ]\d\d:\d\d"),
 }
-TRANSIENT_LINE = "(?iu)(?d)" + "|".join(f"(?:{p})" for family in TRANSIENT.values() for p in family)
 #: What cleaning removes, in order: name, pattern, what stands there instead.
 CLEANING = (
     ("front_matter", r"(?s)\A---\n.*?\n---\n", ""),
@@ -83,13 +82,29 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def _transient_lines() -> str:
+    """A pattern that matches once in each line of a whole text that one of the patterns of TRANSIENT meets.
+
+    Patterns that are tied to a line's begin are tried there alone; the others anywhere in it. White space in them is
+    that of one line, and a line ends before its \\r\\n.
+    """
+    every = [p.replace(r"\s", r"[^\S\n]").replace("$", r"(?=$|\r\n)") for family in TRANSIENT.values() for p in family]
+    tied = "|".join(f"(?:{p[1:]})" for p in every if p.startswith("^"))
+    free = "|".join(f"(?:{p})" for p in every if not p.startswith("^"))
+    return rf"(?iumd)^(?:(?:{tied})|[^\n]*?(?:{free}))[^\n]*"
+
+
 def transient(text: Column, least_lines: int = 5, most_ratio: float = 0.5) -> Column:
-    """struct(total, transient, ratio, is_transient): lines that tell of passing states."""
-    all_lines = lines(F.coalesce(text, F.lit("")))
-    total = F.size(all_lines).cast("long")
-    hits = F.size(F.filter(all_lines, lambda x: x.rlike(TRANSIENT_LINE))).cast("long")
-    ratio = F.when(total > 0, hits / total).otherwise(0.0)
-    return F.struct(total.alias("total"), hits.alias("transient"), ratio.alias("ratio"), ((total >= least_lines) & (ratio > most_ratio)).alias("is_transient"))
+    """struct(total, transient, ratio, is_transient): lines that tell of passing states; null counts as empty.
+
+    The text is read twice, for its line ends and by one pattern; no line becomes a value of its own.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    ended = whole.endswith("\n") | (whole == "")
+    total = (F.regexp_count(whole, F.lit("\n")) + F.when(ended, 0).otherwise(1)).cast("long")
+    hits = F.regexp_count(whole, F.lit(_transient_lines())).cast("long")
+    part = F.when(total > 0, hits / total).otherwise(0.0)
+    return F.struct(total.alias("total"), hits.alias("transient"), part.alias("ratio"), ((total >= least_lines) & (part > most_ratio)).alias("is_transient"))
 
 
 def char_range(text: Column, start: Column, end: Column) -> Column:
@@ -98,8 +113,13 @@ def char_range(text: Column, start: Column, end: Column) -> Column:
 
 
 def byte_range(text: Column, start: int, end: int) -> Column:
-    """Bytes [start, end) of the UTF-8 form."""
-    return F.decode(F.substring(F.encode(text, "UTF-8"), start + 1, max(0, end - start)), "UTF-8")
+    """Bytes [start, end) of the UTF-8 form as text; what is left of a character that the range cuts becomes U+FFFD."""
+    return F.make_valid_utf8(byte_slice(text, start, end).cast("string"))
+
+
+def byte_slice(text: Column, start: int, end: int) -> Column:
+    """The same bytes as binary."""
+    return F.substring(F.encode(text, "UTF-8"), start + 1, max(0, end - start))
 
 
 def line_range(text: Column, start: int, end: int) -> Column:
@@ -134,5 +154,7 @@ def context(atoms_df: DataFrame, by: str, order: str, text_col: str) -> DataFram
 
 
 def wrapped(atom_id: Column, relevance: Column, content: Column) -> Column:
-    """An atom as XML for a model's context."""
+    """An atom as XML for a model's context; the signs of markup in its content are escaped."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        content = F.replace(content, F.lit(sign), F.lit(name))
     return F.format_string('<atom id="%d" relevance="%.4f">%s</atom>', atom_id, relevance, content)

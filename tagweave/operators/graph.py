@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.fingerprint import damping
+from tagweave.functions.fingerprint import damping, simhash_bytes
 from tagweave.functions.text import words
 from tagweave.plans.scratch import materialize
 
@@ -46,9 +46,20 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int, most: int | None = None
 
 def illuminate(seeds: DataFrame, edges: DataFrame, depth: int = 2, max_nodes: int = 50, gamma: float = 0.85, mode: str = "compound") -> DataFrame:
     """(atom_id, hop_distance, gravity_score): the first max_nodes atoms around the seeds by hop and id."""
-    found = walk(seeds, edges, depth, max_nodes)
+    return illuminated(seeds, edges, depth, max_nodes, gamma, mode)["nodes"]
+
+
+def illuminated(seeds: DataFrame, edges: DataFrame, depth: int = 2, max_nodes: int = 50, gamma: float = 0.85, mode: str = "compound") -> dict[str, DataFrame]:
+    """nodes as `illuminate` has them, and summary: (total, nodes_explored, deepest), with the atoms that the walk met.
+
+    The walk ends with the hop that brings max_nodes atoms together.
+    """
+    found = materialize(walk(seeds, edges, depth, max_nodes))
     score = F.round(damping(F.col("hop"), gamma, mode), 9)
-    return found.select("atom_id", F.col("hop").alias("hop_distance"), score.alias("gravity_score")).orderBy("hop_distance", "atom_id").limit(max_nodes)
+    nodes = found.select("atom_id", F.col("hop").alias("hop_distance"), score.alias("gravity_score")).orderBy("hop_distance", "atom_id").limit(max_nodes)
+    explored = found.agg(F.count(F.lit(1)).alias("nodes_explored"))
+    summary = nodes.agg(F.count(F.lit(1)).alias("total"), F.max("hop_distance").alias("deepest")).crossJoin(explored).select("total", "nodes_explored", "deepest")
+    return {"nodes": nodes, "summary": summary}
 
 
 def first_of_class(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
@@ -58,22 +69,26 @@ def first_of_class(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFra
     return least.select(key, "r.*").select(*rows.columns)
 
 
-def distill(seeds: DataFrame, edges: DataFrame, atoms: DataFrame, radius: int = 2, max_atoms: int = 1000, gamma: float = 0.85) -> dict[str, DataFrame]:
+def distill(seeds: DataFrame, edges: DataFrame, atoms: DataFrame, radius: int = 2, max_atoms: int = 1000, gamma: float = 0.85, hash_mode: str = "xxhash64") -> dict[str, DataFrame]:
     """Blocks around the seeds, without duplicates, gathered into one record for each source.
 
-    atoms: (atom_id, source, char_start, content, dedup_key). Of atoms with equal keys the one with the smallest hop and
-    id stays; others still lead on. Returns blocks (atom_id, source, hop, gravity, chars), records (source, content,
-    blocks, total_hops), and summary (words before and after, ratio = after / before, atoms, records).
+    atoms: (atom_id, source, char_start, content). Of the atoms that the walk met, at most max_atoms, those with one
+    fingerprint of their bytes are duplicates (texts of less than 8 bytes, which all have the fingerprint 0, if they are
+    equal): the one with the smallest hop and id stays; others still lead on. Returns blocks (atom_id, source, hop,
+    gravity, chars), records (source, content, blocks, total_hops), and summary (words before and after, ratio = after /
+    before, atoms, records).
     """
     near = walk(seeds, edges, radius, max_atoms).orderBy("hop", "atom_id").limit(max_atoms)
-    met = atoms.join(near, "atom_id")
-    unique = first_of_class(met.select("dedup_key", "hop", "atom_id", "source", "char_start", "content"), "dedup_key", ("hop", "atom_id"))
+    met = materialize(atoms.select("atom_id", "source", "char_start", "content").join(near, "atom_id"))
+    short = F.when(F.octet_length("content") < 8, F.md5(F.col("content").cast("binary"))).otherwise("")
+    keyed = met.join(simhash_bytes(met, "atom_id", "content", hash_mode), "atom_id").withColumn("dedup_key", F.concat(F.col("simhash").cast("string"), F.lit("/"), short))
+    unique = first_of_class(keyed.select("dedup_key", "hop", "atom_id", "source", "char_start", "content"), "dedup_key", ("hop", "atom_id"))
     blocks = unique.select("atom_id", "source", "hop", F.round(damping(F.col("hop"), gamma), 9).alias("gravity"), F.length("content").cast("long").alias("chars"))
     body = F.array_sort(F.collect_list(F.struct("char_start", "atom_id", "content")))  # at most max_atoms rows in all
     records = unique.groupBy("source").agg(body.alias("b"), F.count(F.lit(1)).alias("blocks"), F.max("hop").alias("total_hops"))
     records = records.select("source", F.concat(F.array_join(F.transform("b", lambda x: x["content"]), "\n"), F.lit("\n")).alias("content"), "blocks", "total_hops")
-    before = met.agg(F.sum(words(F.col("content"))).alias("words_before"), F.count(F.lit(1)).alias("atoms"))
-    after = unique.agg(F.sum(words(F.col("content"))).alias("words_after"), F.count(F.lit(1)).alias("unique_atoms"))
+    before = met.agg(F.coalesce(F.sum(words(F.col("content"))), F.lit(0)).alias("words_before"), F.count(F.lit(1)).alias("atoms"))
+    after = unique.agg(F.coalesce(F.sum(words(F.col("content"))), F.lit(0)).alias("words_after"), F.count(F.lit(1)).alias("unique_atoms"))
     ratio = F.when(F.col("words_before") > 0, F.round(F.col("words_after") / F.col("words_before"), 9)).otherwise(1.0)
     summary = before.crossJoin(after).withColumn("compression_ratio", ratio)
     return {"blocks": blocks, "records": records, "summary": summary}
@@ -84,8 +99,3 @@ def pair_counts(edges: DataFrame, left: str, item: str, least: int = 2) -> DataF
     a = edges.select(left, F.col(item).alias("a"))
     b = edges.select(left, F.col(item).alias("b"))
     return a.join(b, left).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-
-
-def top_by(rows: DataFrame, by: str, order: list, k: int) -> DataFrame:
-    """The first k rows of each group."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)

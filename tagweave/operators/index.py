@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.text import TOKEN
 from tagweave.operators.keywords import term_counts
+from tagweave.plans.scratch import materialize
 
 K1, B = 1.2, 0.75
 
@@ -20,7 +21,7 @@ def query_terms(spark: SparkSession, query: str) -> list[str]:
 
 @dataclass
 class Index:
-    """postings (term, atom_id, n), lengths (atom_id, dl); write `postings` partitioned or bucketed by term to keep it."""
+    """postings (term, atom_id, n), lengths (atom_id, dl)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -32,6 +33,20 @@ class Index:
         rename = lambda d: d.withColumnRenamed(id_col, "atom_id")
         return cls(rename(counts), rename(lengths))
 
+    def written(self, path: str | None = None) -> Index:
+        """The index as tables, postings in order of their terms: in the scratch folder, or below a path, in place of what is there."""
+        tables = [self.postings.sort("term", "atom_id"), self.lengths]
+        if path is None:
+            return Index(*map(materialize, tables))
+        for name, t in zip(("postings", "lengths"), tables, strict=True):
+            t.write.mode("overwrite").parquet(f"{path}/{name}")
+        return Index.read(self.postings.sparkSession, path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Index:
+        """The index that was written below a path."""
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+
     def search(self, terms: list[str], k: int | None = 100, any_term: bool = False) -> DataFrame:
         """(atom_id, score): the k best atoms that have all terms (or any), by BM25, ties to the smaller id.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions.text import STOP_WORDS, tag, tokens
@@ -56,23 +56,34 @@ def tfidf(docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str =
 def rake(docs: DataFrame, k: int = 10, min_word_length: int = 2, max_phrase_length: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, phrase, score, rank): phrases between stop words and punctuation, scored by their words' degree / frequency.
 
-    All of it is SQL functions: stop words become separators, and the words of a document's phrases are counted where
-    the document is.
+    Words are what white space separates inside a part without punctuation; those that are shorter than min_word_length
+    are left out of their phrase. All of it is SQL functions: a phrase's words are counted where the document is.
     """
-    stops = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(STOP_WORDS)})(?![\p{{L}}\p{{N}}])"
-    parts = F.split(F.regexp_replace(F.lower(text_col), stops, "|"), r"[^\p{L}\p{N}\s]+|\n")
+    parts = F.split(F.lower(text_col), r"[^\p{L}\p{N}\s]+|\n")
+    split = F.transform(F.split(F.trim("part"), r"\s+"), lambda w: F.when(w.isin(*STOP_WORDS), "|").otherwise(w))
     dealt = docs.select(id_col, text_col).repartition(id_col).select(id_col, F.explode(parts).alias("part"))
+    dealt = dealt.select(id_col, F.explode(F.split(F.array_join(split, " "), r"\|")).alias("part"))
     phrase = F.filter(F.split(F.trim("part"), r"\s+"), lambda w: F.length(w) >= min_word_length)
     rows = dealt.select(id_col, phrase.alias("ws")).filter((F.size("ws") > 0) & (F.size("ws") <= max_phrase_length))
     rows = rows.groupBy(id_col, "ws").agg(F.count(F.lit(1)).alias("n"))
     each = rows.select(id_col, "ws", "n", F.explode("ws").alias("w"))
     score = each.groupBy(id_col, "w").agg((F.sum(F.size("ws") * F.col("n")) / F.sum("n")).alias("s"))
     total = rows.select(id_col, "ws", F.explode("ws").alias("w")).join(score, [id_col, "w"]).groupBy(id_col, "ws").agg(F.sum("s").alias("score"))
-    named = total.select(id_col, F.array_join("ws", " ").alias("phrase"), "score")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.round("score", 9).desc(), "phrase"))
+    named = total.select(id_col, F.array_join("ws", " ").alias("phrase"), F.round("score", 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("score").desc(), "phrase"))
     return named.withColumn("rank", rank).filter(F.col("rank") <= k).select(id_col, "phrase", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def term_score(docs: DataFrame, doc: Column, term: str, id_col: str = "doc_id", text_col: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(id, term, score): the TF-IDF of one term in the documents that `doc` holds for; 0 where they lack it."""
+    has = F.array_contains(tokens(F.col(text_col)), term)
+    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(has).alias("df"))
+    rows = docs.filter(doc).select(id_col, F.filter(tokens(F.col(text_col)), lambda t: ~t.isin(*stop_words)).alias("ts"))
+    tf = F.when(F.size("ts") > 0, F.size(F.filter("ts", lambda t: t == term)) / F.size("ts")).otherwise(0.0)
+    idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
+    return rows.crossJoin(F.broadcast(stats)).select(id_col, F.lit(term).alias("term"), (tf * idf).alias("score"))
+
+
 def ring(pairs: DataFrame) -> DataFrame:
     """(term, synonym) in both directions, without repeats, of (term, synonym) pairs."""
     return pairs.select("term", "synonym").unionByName(pairs.select(F.col("synonym").alias("term"), F.col("term").alias("synonym"))).filter("term <> synonym").distinct()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions.fingerprint import gravity, hamming
-from tagweave.operators.keywords import expanded
+from tagweave.functions.text import tag
+from tagweave.operators.keywords import expanded, keywords
+from tagweave.plans.scratch import materialize
 
 MODES = ("combined", "planets_only", "moons_only", "max_recall")
 
@@ -48,31 +50,52 @@ class SearchConfig:
         return self
 
 
-def scored(atoms: DataFrame, edges: DataFrame, query_tags: list[str], query_hash: int, as_of: Column, config: SearchConfig, synonyms: DataFrame | None = None) -> DataFrame:
+def query_tags(spark: SparkSession, query: str, k: int = 20, least: float = 0.2) -> list[str]:
+    """The tags that a query asks for: its k best keywords of a score above `least`."""
+    row = spark.createDataFrame([(0, query)], "doc_id int, text string")
+    found = keywords(row, k).filter(F.col("score") > least).select(tag(F.col("term"))).collect()
+    return sorted(r[0] for r in found)
+
+
+def scored(
+    atoms: DataFrame, edges: DataFrame, query_tags: list[str], query_hash: int, as_of: Column, config: SearchConfig, synonyms: DataFrame | None = None, planets: DataFrame | None = None, with_path: bool = False
+) -> DataFrame:
     """(atom_id, kind, hop, shared_tags, relevance): planets (hop 0) and moons (hops 1 to config.hops) with their gravity.
 
     atoms: (atom_id, ts, simhash). A planet shares tags with the query, a moon of hop h tags that atoms of hop h - 1 have
     and no earlier step used; the distance is always that to the query's fingerprint. Between the joins stand distinct
-    tags, so that the work grows with the edges it touches and not with pairs of atoms.
+    tags, so that the work grows with the edges it touches and not with pairs of atoms; each step is written before the
+    next reads it. planets: (atom_id, shared_tags) of a query that has no tags, found by its text. with_path adds path,
+    the tags that lead from the query to the atom, the least of them by order where several do.
     """
     spark = atoms.sparkSession
     tags = spark.createDataFrame([(t,) for t in query_tags], "term string")
     if synonyms is not None:
-        tags = expanded(tags, synonyms)
-    used = tags.select(F.col("term").alias("tag")).distinct()
-    step, found = used, None
+        tags = materialize(expanded(tags, synonyms))
+    path = [F.min("path").alias("path")] if with_path else []
+    step = tags.select(F.col("term").alias("tag")).distinct()
+    if with_path:
+        step = step.withColumn("path", F.array("tag"))
+    used, found = step.select("tag"), None
     for hop in range(config.hops + 1):
-        hits = edges.join(F.broadcast(step) if hop == 0 else step, "tag").groupBy("atom_id").agg(F.count(F.lit(1)).alias("shared_tags"))
-        new = hits if found is None else hits.join(found, "atom_id", "left_anti")
-        new = new.withColumn("hop", F.lit(hop).cast("long"))
-        found = new if found is None else found.unionByName(new)
+        if hop == 0 and planets is not None:
+            new = planets.select("atom_id", "shared_tags", *([F.array().cast("array<string>").alias("path")] if with_path else []))
+        else:
+            met = edges.filter(F.col("tag").isin(query_tags)) if hop == 0 and synonyms is None and not with_path else edges.join(step, "tag")
+            new = met.groupBy("atom_id").agg(F.count(F.lit(1)).alias("shared_tags"), *path)
+        new = (new if found is None else new.join(found, "atom_id", "left_anti")).withColumn("hop", F.lit(hop).cast("long"))
         if hop < config.hops:
-            step = edges.join(new, "atom_id", "left_semi").select("tag").distinct().join(used, "tag", "left_anti")
-            used = used.unionByName(step)
+            new = materialize(new)
+            reached = edges.join(new.select("atom_id", *(["path"] if with_path else [])), "atom_id").join(used, "tag", "left_anti")
+            step = reached.groupBy("tag").agg(F.min(F.array_append("path", F.col("tag"))).alias("path")) if with_path else reached.select("tag").distinct()
+            step = materialize(step)
+            used = used.unionByName(step.select("tag"))
+        found = new if found is None else found.unionByName(new)
     distance = hamming(F.col("simhash"), F.lit(query_hash).cast("long"))
     score = gravity(F.col("shared_tags"), F.col("ts"), as_of, distance, F.pow(F.lit(config.gamma), F.col("hop")), config.decay)
     rows = found.join(atoms, "atom_id").withColumn("relevance", F.round(score, 6))
-    return rows.select("atom_id", F.when(F.col("hop") == 0, "planet").otherwise("moon").alias("kind"), "hop", "shared_tags", "relevance")
+    columns = ["atom_id", F.when(F.col("hop") == 0, "planet").otherwise("moon").alias("kind"), "hop", "shared_tags", "relevance"]
+    return rows.select(*columns, *(["path"] if with_path else []))
 
 
 def within_results(rows: DataFrame, config: SearchConfig) -> DataFrame:
@@ -95,6 +118,16 @@ def within_results(rows: DataFrame, config: SearchConfig) -> DataFrame:
     return some.unionByName(rest)
 
 
+def within_chars(rows: DataFrame, most: int) -> DataFrame:
+    """(…, running): rows (atom_id, n) in order of id while the sum of their lengths n is at most `most`.
+
+    A row with text takes one character at least, so that no more than `most` of them need to be summed up.
+    """
+    some = rows.filter("n > 0").orderBy("atom_id").limit(most)
+    w = Window.orderBy("atom_id").rowsBetween(Window.unboundedPreceding, 0)
+    return some.withColumn("running", F.sum("n").over(w)).filter(F.col("running") <= most)
+
+
 def within_tokens(rows: DataFrame, sizes: DataFrame, config: SearchConfig) -> DataFrame:
     """(…, tokens, running): best results of each kind while their tokens fit the kind's share of total_tokens.
 
@@ -112,3 +145,45 @@ def within_tokens(rows: DataFrame, sizes: DataFrame, config: SearchConfig) -> Da
 def summary(results: DataFrame) -> DataFrame:
     """(planets, moons, results)."""
     return results.agg(F.count_if(F.col("kind") == "planet").alias("planets"), F.count_if(F.col("kind") == "moon").alias("moons"), F.count(F.lit(1)).alias("results"))
+
+
+def package(rows: DataFrame, config: SearchConfig) -> DataFrame:
+    """(planets, moons, tokens_used, budget_limit, utilization) of the rows that within_tokens left; utilization = used / limit."""
+    used = F.coalesce(F.sum("tokens"), F.lit(0)).cast("long")
+    counts = rows.agg(F.count_if(F.col("kind") == "planet").alias("planets"), F.count_if(F.col("kind") == "moon").alias("moons"), used.alias("tokens_used"))
+    limit = F.lit(config.total_tokens).cast("long")
+    return counts.select("*", limit.alias("budget_limit"), F.round(F.col("tokens_used") / limit, 9).alias("utilization"))
+
+
+def ordered(rows: DataFrame, atoms: DataFrame, order_by: str = "relevance") -> DataFrame:
+    """rows with their position (from 1) by 'relevance', best first, or by 'time', oldest first; ties by id.
+
+    rows: results that a limit has cut; atoms: (atom_id, ts).
+    """
+    if order_by not in ("relevance", "time"):
+        raise ValueError(f"unknown order: {order_by}")
+    first = F.col("relevance").desc() if order_by == "relevance" else F.col("ts")
+    return rows.join(atoms.select("atom_id", "ts"), "atom_id").withColumn("position", F.row_number().over(Window.orderBy(first, "atom_id")).cast("long"))
+
+
+def deduplicated(rows: DataFrame, prefix: int = 500, fuzzy: int = 80, fuzzy_most: int = 8, overlap: float = 0.5, bits: int = 5) -> DataFrame:
+    """rows without those that a better one repeats: (atom_id, relevance, source, char_start, char_end, text, simhash).
+
+    rows are the results of a search, which a limit has cut, so that comparing each with the better ones is cheap. A row
+    goes if with any better row (by relevance and then id) it has in common: the first `prefix` characters; all of its
+    text, inside the other's; a beginning of `fuzzy` characters, if both have as many, but for fuzzy_most edits; a range of the
+    same source that covers `overlap` of the shorter one; or a fingerprint but for fewer than `bits` bits.
+    """
+    better = rows.select(*(F.col(c).alias(f"b_{c}") for c in ("atom_id", "relevance", "source", "char_start", "char_end", "text", "simhash")))
+    first = (F.col("b_relevance") > F.col("relevance")) | ((F.col("b_relevance") == F.col("relevance")) & (F.col("b_atom_id") < F.col("atom_id")))
+    head = lambda c, n: F.substring(c, 1, n)
+    shared = F.least("char_end", "b_char_end") - F.greatest("char_start", "b_char_start")
+    shorter = F.least(F.col("char_end") - F.col("char_start"), F.col("b_char_end") - F.col("b_char_start"))
+    same = (
+        (F.md5(head("text", prefix).cast("binary")) == F.md5(head("b_text", prefix).cast("binary")))
+        | F.col("b_text").contains(F.col("text"))
+        | ((F.length("text") >= fuzzy) & (F.length("b_text") >= fuzzy) & (F.levenshtein(head("text", fuzzy), head("b_text", fuzzy)) <= fuzzy_most))
+        | ((F.col("source") == F.col("b_source")) & (shared > 0) & (shared >= overlap * shorter))
+        | (hamming(F.col("simhash"), F.col("b_simhash")) < bits)
+    )
+    return rows.join(better, first & same, "left_anti")

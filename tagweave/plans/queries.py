@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from tagweave.functions import fingerprint as fp
 from tagweave.functions import text as tx
 from tagweave.operators import graph, keywords, search, synonyms
-from tagweave.operators.index import Index, query_terms
+from tagweave.operators.index import query_terms
 from tagweave.plans import store
-from tagweave.plans.scratch import materialize
+from tagweave.plans.prepared import Prepared, prepared
 from tagweave.sources import files
 from tagweave.streaming.watch import windows
 
 #: What the queries ask: a text, a tag, a time, a fingerprint mode that other engines have.
 QUERY, TAG, AS_OF, MODE = "er on th", "#tion", "2024-01-31 00:00:00", "md5"
+#: A query of stop words alone.
+STOPPED = "the of"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -48,21 +50,17 @@ def _atoms(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select(F.col("doc_id").alias("atom_id"), "source", F.lit(0).cast("long").alias("char_start"), "text", ts.alias("ts"))
 
 
-def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    return keywords.tag_edges(_docs(spark, sf))
-
-
-def _prints(spark: SparkSession, sf: str) -> DataFrame:
-    return fp.simhash(_docs(spark, sf), mode=MODE)
+def index_of(spark: SparkSession, sf: str) -> Prepared:
+    """Tags, fingerprints and postings of the documents, which an application builds once."""
+    return prepared(spark, f"{sf}/documents.parquet", MODE)
 
 
-def _edges_once(spark: SparkSession, sf: str) -> DataFrame:
-    """The same, written once for a plan that reads it often."""
-    return materialize(_edges(spark, sf))
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    return index_of(spark, sf).edges
 
 
-def _prints_once(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(_prints(spark, sf))
+def _prints(spark: SparkSession, sf: str) -> DataFrame:
+    return index_of(spark, sf).prints
 
 
 def _as_of() -> F.Column:
@@ -113,7 +111,8 @@ def molecules_talks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hashtags_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(tx.hashtags(F.col("url"))), " ").alias("tags"))
+    page = F.concat_ws(" ", "url", "html")
+    return _t(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(tx.hashtags(page)), " ").alias("tags"))
 
 
 def _logs(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,13 +131,13 @@ def transient_analyze(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def transient_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", tx.transient(F.col("text")).alias("t")).select("doc_id", "t.total", "t.is_transient")
+    return _docs(spark, sf).select("doc_id", tx.transient(F.col("text")).alias("t")).select("doc_id", "t.total", "t.transient", F.round("t.ratio", 9).alias("ratio"), "t.is_transient")
 
 
 @query
 def read_range(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return _docs(spark, sf).select("doc_id", tx.char_range(t, F.lit(5), F.lit(25)).alias("chars"), tx.byte_range(F.regexp_replace(t, r"[^\x00-\x7F]", "?"), 3, 17).alias("bytes"), tx.snippet(t).alias("snippet"))
+    return _docs(spark, sf).select("doc_id", tx.char_range(t, F.lit(5), F.lit(25)).alias("chars"), F.hex(tx.byte_slice(t, 3, 17)).alias("bytes"), tx.snippet(t).alias("snippet"))
 
 
 @query
@@ -161,7 +160,7 @@ def xml_context(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def simhash_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _prints(spark, sf).select("doc_id", "simhash", fp.hex_form(F.col("simhash")).alias("hex"), fp.weight(F.col("simhash")).cast("long").alias("weight"))
+    return fp.simhash(_docs(spark, sf), mode=MODE).select("doc_id", "simhash", fp.hex_form(F.col("simhash")).alias("hex"), fp.weight(F.col("simhash")).cast("long").alias("weight"))
 
 
 @query
@@ -171,20 +170,18 @@ def simhash_bytes_items(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hamming_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return fp.hamming_pairs(_prints_once(spark, sf))
+    return fp.hamming_pairs(_prints(spark, sf))
 
 
 @query
 def fingerprint_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return fp.fingerprint_classes(_prints_once(spark, sf))
+    return fp.fingerprint_classes(_prints(spark, sf))
 
 
 @query
 def similarity_topk(spark: SparkSession, sf: str) -> DataFrame:
-    prints = _prints_once(spark, sf)
-    first = F.broadcast(prints.filter("doc_id = 0").select(F.col("simhash").alias("q")))
-    rows = prints.crossJoin(first).select("doc_id", F.round(fp.similarity(F.col("simhash"), F.col("q")), 9).alias("similarity"))
-    return rows.orderBy(F.col("similarity").desc(), "doc_id").limit(20)
+    """The 20 nearest documents of every twentieth one."""
+    return fp.similar_topk(_prints(spark, sf), F.col("doc_id") % 20 == 0, 20).withColumn("similarity", F.round("similarity", 9))
 
 
 @query
@@ -195,7 +192,8 @@ def gravity_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def layered_dedup(spark: SparkSession, sf: str) -> DataFrame:
+def prefix_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by the MD5 of their first 500 characters: the cheapest of the layers that star_deduplicated has."""
     d = _docs(spark, sf).select("doc_id", F.md5(F.substring("text", 1, 500).cast("binary")).alias("prefix"))
     per = d.groupBy("prefix").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     return d.join(per, "prefix").select("doc_id", "first_id", "n")
@@ -206,7 +204,7 @@ def layered_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def keyword_tags(spark: SparkSession, sf: str) -> DataFrame:
-    return _edges(spark, sf)
+    return keywords.tag_edges(_docs(spark, sf))
 
 
 @query
@@ -237,8 +235,7 @@ def synonym_expand(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    index = Index.of(_docs(spark, sf))
-    return Index(materialize(index.postings), materialize(index.lengths)).search(query_terms(spark, QUERY), 50)
+    return index_of(spark, sf).index.search(query_terms(spark, QUERY), 50)
 
 
 # store
@@ -317,7 +314,8 @@ def delete_source(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ui_filters(spark: SparkSession, sf: str) -> DataFrame:
     found = store.atoms_with_tags(_atoms(spark, sf).select("atom_id", "source", F.length("text").cast("long").alias("n")), _edges(spark, sf))
-    return found.filter(F.col("source").isin("src1", "src2", "src3") & F.arrays_overlap("tags", F.array(F.lit(TAG), F.lit("#er"))) & (F.col("n") <= 4000)).select("atom_id", "n")
+    found = found.filter(F.col("source").isin("src1", "src2", "src3") & F.arrays_overlap("tags", F.array(F.lit(TAG), F.lit("#er"))))
+    return search.within_chars(found.select("atom_id", "n"), 40_000)
 
 
 @query
@@ -328,11 +326,11 @@ def bucket_cube(spark: SparkSession, sf: str) -> DataFrame:
 # search
 
 
-def _search(spark: SparkSession, sf: str, config: search.SearchConfig) -> DataFrame:
+def _search(spark: SparkSession, sf: str, config: search.SearchConfig, query: str = QUERY, **more) -> DataFrame:
     config = config.validated().effective()
-    tags = ["#" + t for t in query_terms(spark, QUERY)]
+    tags = search.query_tags(spark, query)
     atoms = _atoms(spark, sf).join(_prints(spark, sf).withColumnRenamed("doc_id", "atom_id"), "atom_id")
-    return search.scored(atoms.select("atom_id", "ts", "simhash"), _edges_once(spark, sf), tags, fp.simhash_of(query_terms(spark, QUERY), spark, MODE), _as_of(), config)
+    return search.scored(atoms.select("atom_id", "ts", "simhash"), _edges(spark, sf), tags, fp.simhash_of(query_terms(spark, query), spark, MODE), _as_of(), config, **more)
 
 
 def _star(mode: str, spark: SparkSession, sf: str) -> DataFrame:
@@ -350,6 +348,39 @@ def star_token_budget(spark: SparkSession, sf: str) -> DataFrame:
     return search.within_tokens(_search(spark, sf, config), sizes, config)
 
 
+@query
+def star_package(spark: SparkSession, sf: str) -> DataFrame:
+    return search.package(star_token_budget(spark, sf), search.SearchConfig())
+
+
+@query
+def star_paths(spark: SparkSession, sf: str) -> DataFrame:
+    config = search.SearchConfig()
+    return search.within_results(_search(spark, sf, config, with_path=True), config).select("atom_id", "hop", F.array_join("path", " ").alias("path"))
+
+
+@query
+def star_by_time(spark: SparkSession, sf: str) -> DataFrame:
+    return search.ordered(_star("combined", spark, sf), _atoms(spark, sf), "time").select("atom_id", "relevance", "position")
+
+
+@query
+def star_raw_text(spark: SparkSession, sf: str) -> DataFrame:
+    """A query without keywords, whose planets are the atoms that its words are found in."""
+    assert not search.query_tags(spark, STOPPED)
+    planets = index_of(spark, sf).index.search(query_terms(spark, STOPPED), 100).select("atom_id", F.lit(1).cast("long").alias("shared_tags"))
+    config = search.SearchConfig()
+    return search.within_results(_search(spark, sf, config, STOPPED, planets=planets), config)
+
+
+@query
+def star_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
+    best = _star("max_recall", spark, sf).select("atom_id", "relevance")
+    texts = _atoms(spark, sf).select("atom_id", "source", (F.col("atom_id") * 400).alias("char_start"), "text").withColumn("char_end", F.col("char_start") + F.length("text"))
+    rows = best.join(texts, "atom_id").join(_prints(spark, sf).withColumnRenamed("doc_id", "atom_id"), "atom_id")
+    return search.deduplicated(rows).select("atom_id", "relevance")
+
+
 @query
 def star_counts(spark: SparkSession, sf: str) -> DataFrame:
     return search.summary(_star("combined", spark, sf))
@@ -370,24 +401,25 @@ def chat_context(spark: SparkSession, sf: str) -> DataFrame:
 # graph
 
 
-def _seeds(edges: DataFrame, k: int = 5) -> DataFrame:
-    return edges.filter(F.col("tag") == "#er").select("atom_id").orderBy("atom_id").limit(k)
+def _seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """The 100 best atoms of the query in the index."""
+    return index_of(spark, sf).index.search(query_terms(spark, QUERY), 100)
 
 
 def _illuminate(depth: int, spark: SparkSession, sf: str) -> DataFrame:
-    edges = _edges_once(spark, sf)
-    return graph.illuminate(_seeds(edges), edges, depth, 300)
+    return graph.illuminate(_seeds(spark, sf), _edges(spark, sf), depth, 300)
 
 
 QUERIES |= {"illuminate_d1": partial(_illuminate, 1), "illuminate_d2": partial(_illuminate, 2)}
 
 
+@query
+def illuminate_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.illuminated(_seeds(spark, sf), _edges(spark, sf), 2, 300)["summary"]
+
+
 def _distilled(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    atoms = _atoms(spark, sf).join(_prints(spark, sf).withColumnRenamed("doc_id", "atom_id"), "atom_id")
-    short = F.when(F.octet_length("text") < 8, F.md5(F.col("text").cast("binary"))).otherwise("")
-    rows = atoms.select("atom_id", "source", "char_start", F.col("text").alias("content"), F.concat(F.col("simhash").cast("string"), F.lit("/"), short).alias("dedup_key"))
-    edges = _edges_once(spark, sf)
-    return graph.distill(_seeds(edges), edges, materialize(rows), 1)
+    return graph.distill(_seeds(spark, sf), _edges(spark, sf), _atoms(spark, sf).withColumnRenamed("text", "content"), hash_mode=MODE)
 
 
 @query
@@ -422,16 +454,16 @@ def order_part_walk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tag_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
-    return synonyms.by_cooccurrence(_edges_once(spark, sf))
+    return synonyms.by_cooccurrence(_edges(spark, sf))
 
 
 @query
 def tag_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return synonyms.by_neighbourhood(_edges_once(spark, sf))
+    return synonyms.by_neighbourhood(_edges(spark, sf))
 
 
 def _by_print(spark: SparkSession, sf: str) -> DataFrame:
-    return synonyms.by_fingerprint(_edges_once(spark, sf), _prints_once(spark, sf).withColumnRenamed("doc_id", "atom_id"), 3)
+    return synonyms.by_fingerprint(_edges(spark, sf), _prints(spark, sf).withColumnRenamed("doc_id", "atom_id"))
 
 
 @query
@@ -440,8 +472,8 @@ def simhash_synonyms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rings(spark: SparkSession, sf: str) -> DataFrame:
-    e, prints = _edges_once(spark, sf), _prints_once(spark, sf).withColumnRenamed("doc_id", "atom_id")
-    return synonyms.merged({"cooccurrence": synonyms.by_cooccurrence(e), "neighbourhood": synonyms.by_neighbourhood(e), "fingerprint": synonyms.by_fingerprint(e, prints, 3)})
+    e, prints = _edges(spark, sf), _prints(spark, sf).withColumnRenamed("doc_id", "atom_id")
+    return synonyms.merged({"cooccurrence": synonyms.by_cooccurrence(e), "neighbourhood": synonyms.by_neighbourhood(e), "fingerprint": synonyms.by_fingerprint(e, prints)})
 
 
 @query

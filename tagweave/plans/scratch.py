@@ -17,6 +17,18 @@ def hadoop_path(spark: SparkSession, path: str):
     return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file as a whole; null where there is none."""
+    there, fs = hadoop_path(spark, path)
+    if not fs.exists(there):
+        return None
+    stream = fs.open(there)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def scratch(spark: SparkSession) -> str:
     """A path below spark.checkpoint.dir that goes with the JVM.
 

@@ -1,21 +1,33 @@
-"""The store: sources, atoms and tags as Parquet tables, and what changes them."""
+"""The store: sources, atoms, tags and the index as Parquet tables, and what changes them."""
 
 from __future__ import annotations
 
+import json
+import threading
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.functions.fingerprint import hex_form, simhash
+from tagweave.functions.fingerprint import simhash
 from tagweave.functions.text import STOP_WORDS, atoms, cleaned, hashtags, transient
-from tagweave.operators.keywords import keywords
+from tagweave.operators.index import Index
+from tagweave.operators.keywords import keywords, term_counts
+from tagweave.plans.scratch import discard, hadoop_path, materialize, read_text
 
 SOURCES = "id string, path string, bucket string, created_at timestamp, updated_at timestamp, metadata string, content string"
 ATOMS = "atom_id long, source_id string, source_path string, seq long, char_start long, char_end long, ts timestamp, simhash long, metadata string"
-TAGS = "atom_id long, tag string, bucket string"
-TABLES = {"sources": SOURCES, "atoms": ATOMS, "tags": TAGS}
+TAGS = "atom_id long, tag string, bucket string, source_id string"
+POSTINGS = "term string, atom_id long, n long, source_id string"
+TABLES = {"sources": SOURCES, "atoms": ATOMS, "tags": TAGS, "postings": POSTINGS}
+#: Parts of each table, by the hash of the source: a change rewrites the parts that it removes rows from, and no others.
+PARTS = 32
+#: Folders of one part beyond which the next change that touches it makes them one.
+FOLDERS = 16
+#: Commits whose files stay, for tables that were opened before the newest.
+KEPT = 5
 
 
 @dataclass(frozen=True)
@@ -41,97 +53,175 @@ def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def ingested(docs: DataFrame, options: IngestOptions = IngestOptions()) -> dict[str, DataFrame]:
     """sources, atoms and tags of (id, path, bucket, ts, content) rows: cleaned, cut, fingerprinted and tagged.
 
-    Atom ids are hashes of source and position: the same content gets the same ids on every run.
+    Atom ids are hashes of source and position: the same content gets the same ids on every run. Of rows that repeat an
+    id the newest counts. The cut text is written once and read for fingerprints, keywords and offsets.
     """
+    newest = docs.groupBy("id").agg(F.max(F.struct("ts", "path", "bucket", "content")).alias("d")).select("id", "d.*")
     body = cleaned(F.col("content")) if options.sanitize else F.col("content")
-    rows = docs.withColumn("content", body)
+    rows = newest.withColumn("content", body)
     if options.drop_transient:
         rows = rows.filter(~transient(F.col("content"))["is_transient"])
+    rows = materialize(rows)
     sources = rows.select("id", "path", "bucket", F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), F.lit(None).cast("string").alias("metadata"), "content")
-    cut = atoms(rows, "id", "content").join(rows.select("id", "path", "bucket", "ts"), "id")
-    cut = cut.withColumn("atom_id", F.xxhash64("id", "seq"))
+    cut = materialize(atoms(rows, "id", "content").withColumn("atom_id", F.xxhash64("id", "seq")))
     prints = simhash(cut, "atom_id", "content", options.hash_mode)
-    found = cut.join(prints, "atom_id").select("atom_id", F.col("id").alias("source_id"), F.col("path").alias("source_path"), "seq", "char_start", "char_end", "ts", "simhash", F.lit(None).cast("string").alias("metadata"))
+    named = cut.join(rows.select("id", "path", "bucket", "ts"), "id")
+    found = named.join(prints, "atom_id").select("atom_id", F.col("id").alias("source_id"), F.col("path").alias("source_path"), "seq", "char_start", "char_end", "ts", "simhash", F.lit(None).cast("string").alias("metadata"))
     if options.extract_tags:
         best = keywords(cut, options.max_keywords, "max", "atom_id", "content", STOP_WORDS).filter(F.col("score") >= options.least_score)
-        named = best.select("atom_id", F.concat(F.lit("#"), "term").alias("tag")).unionByName(cut.select("atom_id", F.explode(hashtags(F.col("content"))).alias("tag"))).distinct()
-        tags = named.join(cut.select("atom_id", "bucket"), "atom_id").select("atom_id", "tag", "bucket")
+        every = best.select("atom_id", F.concat(F.lit("#"), "term").alias("tag")).unionByName(cut.select("atom_id", F.explode(hashtags(F.col("content"))).alias("tag"))).distinct()
+        tags = every.join(named.select("atom_id", "bucket", F.col("id").alias("source_id")), "atom_id").select("atom_id", "tag", "bucket", "source_id")
     else:
         tags = docs.sparkSession.createDataFrame([], TAGS)
-    return {"sources": sources, "atoms": found, "tags": tags}
+    postings = term_counts(cut, "atom_id", "content").join(cut.select("atom_id", F.col("id").alias("source_id")), "atom_id").select("term", "atom_id", "n", "source_id")
+    return {"sources": sources, "atoms": found, "tags": tags, "postings": postings}
+
+
+def part_of(source_id: Column) -> Column:
+    return F.pmod(F.xxhash64(source_id), F.lit(PARTS)).cast("int")
+
+
+_locks: dict[str, threading.RLock] = {}
 
 
 class Store:
-    """Tables in a folder, each as numbered versions of which the newest counts: a change writes the next one.
+    """Tables in a folder, cut into parts by source. A commit names the folders of every part of every table.
 
-    A version is complete once its _SUCCESS file is there; readers of an older one are not disturbed.
+    A change writes new folders and then one commit file, which fails if another writer made a commit meanwhile; so all
+    tables change at once, readers see one commit, and what a change costs grows with the parts that it touches and not
+    with the store. Folders that older commits named and none of the last KEPT commits does are removed.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self, name: str) -> list[int]:
-        jpath, fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path, self._fs()
-        folder = jpath(f"{self.path}/{name}")
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jpath(f"{self.path}/{name}/{n}/_SUCCESS")))
-
-    def table(self, name: str) -> DataFrame:
-        """The newest version; an empty table before the first."""
-        versions = self._versions(name)
-        if not versions:
+        self.lock = _locks.setdefault(self.path, threading.RLock())  # changes by one driver wait for each other
+
+    def _names(self, path: str) -> list[str]:
+        there, fs = hadoop_path(self.spark, path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(there)) if fs.exists(there) else []
+
+    def _commits(self) -> list[str]:
+        return [n for n in self._names(f"{self.path}/commits") if n.endswith(".json")]
+
+    def _read(self, commit: str) -> dict[str, dict[str, list[str]]]:
+        return json.loads(read_text(self.spark, f"{self.path}/commits/{commit}"))
+
+    def _state(self) -> tuple[int, dict[str, dict[str, list[str]]]]:
+        """Number of the newest commit, and its folders by table and part."""
+        commits = self._commits()
+        return (int(commits[-1][:12]), self._read(commits[-1])) if commits else (0, {n: {} for n in TABLES})
+
+    def _commit(self, number: int, state: dict[str, dict[str, list[str]]]) -> None:
+        there, fs = hadoop_path(self.spark, f"{self.path}/commits/{number:012d}.json")
+        stream = fs.create(there, False)  # an error if another writer was first
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        commits = self._commits()
+        old, kept = commits[:-KEPT], commits[-KEPT:]
+        if not old:
+            return
+        named = lambda cs: {f.rpartition("/")[0] for c in cs for parts in self._read(c).values() for fs in parts.values() for f in fs}
+        for path in [*(named(old) - named(kept)), *(f"commits/{c}" for c in old)]:
+            gone, fs = hadoop_path(self.spark, f"{self.path}/{path}")
+            fs.delete(gone, True)
+
+    def _written(self, name: str, rows: DataFrame) -> dict[str, list[str]]:
+        """Writes rows of one table by part; the folder of each part."""
+        columns = [c.split()[0] for c in TABLES[name].split(", ")]
+        key = F.col("id" if name == "sources" else "source_id")
+        folder = f"{name}/{uuid.uuid4().hex}"
+        rows.select(*columns, part_of(key).alias("part")).repartition("part").sortWithinPartitions("part", *(["term"] if name == "postings" else ["tag"] if name == "tags" else [])).write.partitionBy("part").parquet(f"{self.path}/{folder}")
+        made = {n[5:]: [f"{folder}/{n}"] for n in self._names(f"{self.path}/{folder}") if n.startswith("part=")}
+        if not made:
+            there, fs = hadoop_path(self.spark, f"{self.path}/{folder}")
+            fs.delete(there, True)
+        return made
+
+    def _opened(self, name: str, state: dict, parts: list[str] | None = None) -> DataFrame:
+        folders = [f for p, fs in state[name].items() if parts is None or p in parts for f in fs]
+        if not folders:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/v{versions[-1]}")
+        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.path}/{f}" for f in folders))
 
-    def write(self, name: str, rows: DataFrame, keep: int = 2) -> None:
-        """Writes the next version and removes those before the last `keep`."""
-        versions = self._versions(name)
-        columns = [c.split()[0] for c in TABLES[name].split(", ")]
-        rows.select(*columns).write.parquet(f"{self.path}/{name}/v{(versions or [0])[-1] + 1}")
-        for v in versions[: max(0, len(versions) + 1 - keep)]:
-            self._fs().delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/v{v}"), True)
+    def table(self, name: str) -> DataFrame:
+        """The table as of the newest commit; empty before the first."""
+        return self._opened(name, self._state()[1])
+
+    def index(self) -> Index:
+        """The inverted index, kept with the atoms."""
+        postings = self.table("postings").select("term", "atom_id", "n")
+        return Index(postings, postings.groupBy("atom_id").agg(F.sum("n").alias("dl")))
+
+    def _change(self, new: dict[str, DataFrame], gone: DataFrame | None = None, key: str = "source_id") -> None:
+        """One commit: rows whose `key` is in gone (key, part) leave all tables that have it, new rows come."""
+        with self.lock:
+            self._change_now(new, gone, key)
+
+    def _change_now(self, new: dict[str, DataFrame], gone: DataFrame | None, key: str) -> None:
+        number, state = self._state()
+        state = {n: dict(state.get(n, {})) for n in TABLES}
+        parts = [str(r[0]) for r in gone.select("part").distinct().collect()] if gone is not None else []  # PARTS at most
+        touched = {n: set(parts) for n in TABLES}
+        fresh = {n: self._written(n, rows) for n, rows in new.items()}
+        for n, by_part in fresh.items():
+            touched[n] |= {p for p in by_part if len(state[n].get(p, ())) >= FOLDERS}
+        for n in TABLES:
+            if touched[n]:
+                rows, own = self._opened(n, state, list(touched[n])), "id" if n == "sources" and key == "source_id" else key
+                if gone is not None and own in rows.columns:
+                    rows = rows.join(gone.select(F.col(key).alias(own)).distinct(), own, "left_anti")
+                kept = self._written(n, rows)
+                state[n] = {p: f for p, f in state[n].items() if p not in touched[n]} | kept
+            for p, folders in fresh.get(n, {}).items():
+                state[n][p] = [*state[n].get(p, []), *folders]
+        self._commit(number + 1, state)
 
     def ingest(self, docs: DataFrame, options: IngestOptions = IngestOptions()) -> dict[str, int]:
-        """Adds documents; a source that is there already loses its old atoms and tags first. Returns counts."""
-        new = ingested(docs, options)
-        gone = self.table("atoms").join(docs.select(F.col("id").alias("source_id")), "source_id", "left_semi").select("atom_id")
-        self.write("sources", upserted(self.table("sources"), new["sources"], "id"))
-        kept_tags = without(self.table("tags"), gone, "atom_id")
-        kept_atoms = without(self.table("atoms"), gone, "atom_id")
-        self.write("tags", kept_tags.unionByName(new["tags"]))
-        self.write("atoms", kept_atoms.unionByName(new["atoms"]))
-        return {k: self.table(k).count() for k in TABLES}
+        """Adds (id, path, bucket, ts, content) rows; a source that is there already is replaced with its atoms and tags.
+
+        Returns the numbers of sources, atoms, tags and postings of these documents.
+        """
+        new = {k: materialize(v) for k, v in ingested(docs, options).items()}
+        ids = docs.select(F.col("id").alias("source_id")).distinct()
+        with self.lock:
+            here = self.table("sources").select(F.col("id").alias("source_id"))
+            gone = materialize(here.join(ids, "source_id", "left_semi").withColumn("part", part_of(F.col("source_id"))))
+            self._change(new, None if gone.isEmpty() else gone)
+        counts = {k: v.count() for k, v in new.items()}
+        discard(gone, *new.values())
+        return counts
 
     def delete_source(self, source_id: str) -> None:
         """Removes a source with its atoms and tags; KeyError where there is none."""
-        if self.table("sources").filter(F.col("id") == source_id).isEmpty():
+        gone = self.table("sources").filter(F.col("id") == source_id).select(F.col("id").alias("source_id"), part_of(F.col("id")).alias("part"))
+        if gone.isEmpty():
             raise KeyError(source_id)
-        gone = self.table("atoms").filter(F.col("source_id") == source_id).select("atom_id")
-        self.write("tags", without(self.table("tags"), gone, "atom_id"))
-        self.write("atoms", self.table("atoms").filter(F.col("source_id") != source_id))
-        self.write("sources", self.table("sources").filter(F.col("id") != source_id))
+        self._change({}, gone)
 
     def delete_atom(self, atom_id: int) -> None:
         """Removes an atom with its tags; KeyError where there is none."""
-        if self.table("atoms").filter(F.col("atom_id") == atom_id).isEmpty():
+        gone = self.table("atoms").filter(F.col("atom_id") == atom_id).select("atom_id", part_of(F.col("source_id")).alias("part"))
+        if gone.isEmpty():
             raise KeyError(atom_id)
-        self.write("tags", self.table("tags").filter(F.col("atom_id") != atom_id))
-        self.write("atoms", self.table("atoms").filter(F.col("atom_id") != atom_id))
+        self._change({}, gone, "atom_id")
 
     def add_tags(self, rows: DataFrame) -> None:
-        """Adds (atom_id, tag, bucket) rows; tags that an atom has already stay single."""
+        """Adds (atom_id, tag, bucket) rows of atoms that are there; tags that an atom has already stay single."""
         fresh = rows.dropDuplicates(["atom_id", "tag"]).join(self.table("tags").select("atom_id", "tag"), ["atom_id", "tag"], "left_anti")
-        self.write("tags", self.table("tags").unionByName(fresh.select("atom_id", "tag", "bucket")))
+        self._change({"tags": fresh.join(self.table("atoms").select("atom_id", "source_id"), "atom_id").select("atom_id", "tag", "bucket", "source_id")})
+
+    def rebuild_index(self) -> None:
+        """Postings anew from the sources' content, in one commit."""
+        number, state = self._state()
+        text = self.table("sources").select(F.col("id").alias("source_id"), "content")
+        rows = self.table("atoms").join(text, "source_id").select("atom_id", "source_id", F.substring("content", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("content"))
+        postings = term_counts(rows, "atom_id", "content").join(rows.select("atom_id", "source_id"), "atom_id").select("term", "atom_id", "n", "source_id")
+        self._commit(number + 1, state | {"postings": self._written("postings", postings)})
 
     def wipe(self) -> None:
         """Empties all tables."""
-        self._fs().delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path), True)
+        there, fs = hadoop_path(self.spark, self.path)
+        fs.delete(there, True)
 
     def is_empty(self) -> bool:
         return self.table("atoms").isEmpty()
@@ -140,6 +230,10 @@ class Store:
         return stats(self.table("atoms"), self.table("sources"), self.table("tags"))
 
 
+def stats(self) -> DataFrame:
+        return stats(self.table("atoms"), self.table("sources"), self.table("tags"))
+
+
 def stats(atoms_df: DataFrame, sources: DataFrame, tags: DataFrame) -> DataFrame:
     """(atoms, sources, tags): numbers of rows, and of distinct tags."""
     one = lambda d, e, n: d.agg(e.alias(n))
@@ -165,8 +259,3 @@ def compounds(sources: DataFrame, atoms_df: DataFrame, edges: DataFrame, wanted:
         return out.select("id", "atoms")
     tagged = atoms_by_tag(atoms_df, edges, wanted).select(F.col("source_id").alias("id")).distinct().withColumn("hit", F.lit(True))
     return out.join(tagged, "id", "left").filter(F.col("hit") | F.col("path").contains(wanted)).select("id", "atoms")
-
-
-def export(atoms_df: DataFrame) -> DataFrame:
-    """Atoms with the fingerprint as 16 hex digits."""
-    return atoms_df.withColumn("simhash", hex_form(F.col("simhash")))

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import tarfile
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.functions.text import squeezed
+from tagweave.plans.scratch import read_text
+
 #: Patterns that a walk ignores: *x is the end of a file name, others a part of a name or folder.
 IGNORED = (".git", "node_modules", "target", "*.swp", "*.bak", "*.log")
 
@@ -105,22 +110,104 @@ def due(tracked: DataFrame, as_of: Column) -> DataFrame:
     return tracked.filter(F.col("enabled") & (F.col("last_sync").isNull() | (elapsed >= F.col("interval_seconds"))))
 
 
+def gitignored(path: Column, rules: str) -> Column:
+    """Whether the rules of a .gitignore file, of which the last that meets a path decides, ignore a path below its folder."""
+    out = F.lit(False)
+    for line in rules.splitlines():
+        line = line.rstrip()
+        if line and not line.startswith("#"):
+            keeps, folder = line.startswith("!"), line.endswith("/")
+            line = line.lstrip("!").rstrip("/")
+            tied = "/" in line
+            out = F.when(path.rlike(f"^{'' if tied else '(?:.*/)?'}{_glob(line.lstrip('/'))}{'/.*' if folder else '(?:/.*)?'}$"), F.lit(not keeps)).otherwise(out)
+    return out
+
+
+def _glob(pattern: str) -> str:
+    """The regular expression of a .gitignore pattern."""
+    signs = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    parts = re.findall(r"\*\*/|/\*\*|\*\*|\*|\?|\[[^]]+\]|.", pattern)
+    return "".join(signs.get(x) or (x.replace("[!", "[^") if x[0] == "[" and len(x) > 1 else re.escape(x)) for x in parts)
+
+
+def walk(spark: SparkSession, path: str, patterns: tuple[str, ...] = IGNORED, rules: str = "") -> DataFrame:
+    """`scan` of a folder with the rules of its .gitignore file (and of a global one, which come first)."""
+    rows = scan(spark, path, True, patterns)
+    own = read_text(spark, f"{path.rstrip('/')}/.gitignore") or ""
+    root = "/" + path.removeprefix("file:").strip("/") + "/"
+    return rows.filter(~gitignored(F.regexp_replace("path", "^" + re.escape(root), ""), f"{rules}\n{own}"))
+
+
+def repository_info(answer: Column) -> Column:
+    """struct of what a repository's JSON description says; nulls where it says nothing or isn't JSON."""
+    return F.from_json(answer, "full_name string, description string, default_branch string, private boolean, stargazers_count long, size long, updated_at timestamp")
+
+
+def metadata(text: Column) -> Column:
+    """Free-form JSON as a variant; anything else: null."""
+    return F.try_parse_json(text)
+
+
+def size_text(size: Column) -> Column:
+    """Bytes in a form for people: 512 B, 1.5 KB, 2.0 MB, 3.1 GB."""
+    unit = lambda n, name: F.format_string(f"%.1f {name}", size / float(n))
+    return F.when(size < 1 << 10, F.format_string("%d B", size)).when(size < 1 << 20, unit(1 << 10, "KB")).when(size < 1 << 30, unit(1 << 20, "MB")).otherwise(unit(1 << 30, "GB"))
+
+
+def write_copies(rows: DataFrame, path: str) -> None:
+    """Copies of (name, content) rows below a path, a folder for each name; a copy that is there already is replaced."""
+    rows.select("content", "name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(path)
+
+
+def cleaned_copies(sources: DataFrame, path: str) -> None:
+    """The content of (id, content) sources, squeezed, under the hash of their ids."""
+    write_copies(sources.select(mirror_name(F.col("id")).alias("name"), squeezed(F.col("content")).alias("content")), path)
+
+
+def mirrored(sources: DataFrame, root: str, path: str) -> None:
+    """The content of (path, content) sources as it is, under their paths below root."""
+    write_copies(sources.select(F.regexp_replace("path", "^" + re.escape(root.rstrip("/") + "/"), "").alias("name"), "content"), path)
+
+
 @dataclass
 class Settings:
-    """What a user sets, as JSON."""
-
-    watch_paths: list[str] = field(default_factory=lambda: ["inbox", "external-inbox", "mirror"])
-    threshold: int = 500
+    """What a user sets, as JSON. Keys that aren't known stay as they came."""
+
+    watch_paths: list[str] = field(default_factory=list)
+    inbox_path: str | None = None
+    external_inbox_path: str | None = None
+    mirrored_brain_path: str | None = None
+    database_path: str | None = None
+    github_token: str | None = None
+    watcher_stability_threshold_ms: int = 500
     auto_ingest: bool = True
-    batch: int = 50
+    ingestion_batch_size: int = 50
+    other: dict = field(default_factory=dict)
 
     @classmethod
     def load(cls, text: str) -> Settings:
-        known = {k: v for k, v in json.loads(text).items() if k in cls.__dataclass_fields__}
-        return cls(**known)
+        given = json.loads(text)
+        known = {k: v for k, v in given.items() if k in cls.__dataclass_fields__ and k != "other"}
+        return cls(**known, other={k: v for k, v in given.items() if k not in known})
+
+    @classmethod
+    def read(cls, path: str) -> Settings:
+        """The settings in a file of the driver; the defaults where there is none."""
+        try:
+            return cls.load(Path(path).read_text())
+        except FileNotFoundError:
+            return cls()
+
+    def write(self, path: str) -> None:
+        Path(path).write_text(self.dump())
 
     def dump(self) -> str:
-        return json.dumps(asdict(self), indent=2)
+        own = asdict(self)
+        return json.dumps(own.pop("other") | own, indent=2)
+
+    def watched(self) -> list[str]:
+        """All folders to watch."""
+        return [*self.watch_paths, *(p for p in (self.inbox_path, self.external_inbox_path) if p and p not in self.watch_paths)]
 
     def add_path(self, path: str) -> bool:
         """Whether the path is new."""
