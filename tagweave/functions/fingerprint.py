@@ -107,10 +107,12 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
 
 def simhash_of(terms: list[str], spark, mode: str = "xxhash64") -> int:
-    """The fingerprint of a few tokens, such as a query's."""
+    """The fingerprint of a few tokens, such as a query's: one row, without a shuffle."""
     if not terms:
         return 0
-    return simhash_tokens(spark.createDataFrame([(0, terms)], "id long, t array<string>"), "id", "t", mode).first()[1]
+    hashes = spark.range(1).select(*(token_hash(F.lit(t), mode) for t in terms)).first()
+    value = sum(1 << b for b in range(BITS) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return value - (1 << 64) if value >> 63 else value
 
 
 def simhash_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "xxhash64") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.fingerprint import damping, simhash_bytes
 from tagweave.functions.text import words
-from tagweave.plans.scratch import materialize
+from tagweave.plans.scratch import materialize, spread
 
 
 def neighbours(frontier: DataFrame, edges: DataFrame, most_degree: int | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def distill(seeds: DataFrame, edges: DataFrame, atoms: DataFrame, radius: int =
     near = walk(seeds, edges, radius, max_atoms).orderBy("hop", "atom_id").limit(max_atoms)
     met = materialize(atoms.select("atom_id", "source", "char_start", "content").join(near, "atom_id"))
     short = F.when(F.octet_length("content") < 8, F.md5(F.col("content").cast("binary"))).otherwise("")
-    keyed = met.join(simhash_bytes(met, "atom_id", "content", hash_mode), "atom_id").withColumn("dedup_key", F.concat(F.col("simhash").cast("string"), F.lit("/"), short))
+    keyed = met.join(simhash_bytes(spread(met), "atom_id", "content", hash_mode), "atom_id").withColumn("dedup_key", F.concat(F.col("simhash").cast("string"), F.lit("/"), short))
     unique = first_of_class(keyed.select("dedup_key", "hop", "atom_id", "source", "char_start", "content"), "dedup_key", ("hop", "atom_id"))
     blocks = unique.select("atom_id", "source", "hop", F.round(damping(F.col("hop"), gamma), 9).alias("gravity"), F.length("content").cast("long").alias("chars"))
     body = F.array_sort(F.collect_list(F.struct("char_start", "atom_id", "content")))  # at most max_atoms rows in all

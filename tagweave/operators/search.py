@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions.fingerprint import gravity, hamming
-from tagweave.functions.text import tag
-from tagweave.operators.keywords import expanded, keywords
+from tagweave.functions.text import STOP_WORDS, tag, tokens
+from tagweave.operators.keywords import expanded
 from tagweave.plans.scratch import materialize
 
 MODES = ("combined", "planets_only", "moons_only", "max_recall")
@@ -51,10 +51,12 @@ class SearchConfig:
 
 
 def query_tags(spark: SparkSession, query: str, k: int = 20, least: float = 0.2) -> list[str]:
-    """The tags that a query asks for: its k best keywords of a score above `least`."""
-    row = spark.createDataFrame([(0, query)], "doc_id int, text string")
-    found = keywords(row, k).filter(F.col("score") > least).select(tag(F.col("term"))).collect()
-    return sorted(r[0] for r in found)
+    """The tags that a query asks for: its k best keywords of a score above `least`, as texts' keywords are, in one row."""
+    words = F.filter(tokens(F.lit(query)), lambda t: ~t.isin(*STOP_WORDS))
+    each = F.transform(F.array_distinct("ws"), lambda t: F.struct(F.size(F.filter("ws", lambda w: w == t)).alias("n"), t.alias("term"), tag(t).alias("tag")))
+    found = spark.range(1).select(words.alias("ws")).select(each.alias("k")).first()[0]
+    best = sorted(found, key=lambda r: (-r.n, r.term.encode()))[:k]
+    return sorted(r.tag for r in best if r.n > least * best[0].n)
 
 
 def scored(

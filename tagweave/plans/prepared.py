@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tagweave.functions import fingerprint as fp
 from tagweave.operators.index import Index
 from tagweave.operators.keywords import tag_edges
-from tagweave.plans.scratch import hadoop_path, materialize
+from tagweave.plans.scratch import hadoop_path, materialize, spread
 
 
 class Prepared:
@@ -30,7 +30,7 @@ class Prepared:
     @cached_property
     def prints(self) -> DataFrame:
         """(doc_id, simhash)."""
-        return materialize(fp.simhash(self.docs, mode=self.mode))
+        return materialize(fp.simhash(spread(self.docs.select("doc_id", "text")), mode=self.mode))
 
     @cached_property
     def index(self) -> Index:

@@ -14,6 +14,7 @@ from tagweave.operators import graph, keywords, search, synonyms
 from tagweave.operators.index import query_terms
 from tagweave.plans import store
 from tagweave.plans.prepared import Prepared, prepared
+from tagweave.plans.scratch import spread
 from tagweave.sources import files
 from tagweave.streaming.watch import windows
 
@@ -38,6 +39,11 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, text) for queries that do much with every text."""
+    return spread(_docs(spark, sf).select("doc_id", "text"))
+
+
 def _talks(spark: SparkSession, sf: str, glue: str = "\n\n") -> DataFrame:
     """(conv_id, text): turns of each conversation in order."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
@@ -72,7 +78,7 @@ def _as_of() -> F.Column:
 
 @query
 def tokenize_docs(spark: SparkSession, sf: str) -> DataFrame:
-    t = _docs(spark, sf).select("doc_id", tx.tokens(F.col("text")).alias("t"))
+    t = _texts(spark, sf).select("doc_id", tx.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_min("t").alias("first_token"))
 
 
@@ -131,7 +137,7 @@ def transient_analyze(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def transient_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", tx.transient(F.col("text")).alias("t")).select("doc_id", "t.total", "t.transient", F.round("t.ratio", 9).alias("ratio"), "t.is_transient")
+    return _texts(spark, sf).select("doc_id", tx.transient(F.col("text")).alias("t")).select("doc_id", "t.total", "t.transient", F.round("t.ratio", 9).alias("ratio"), "t.is_transient")
 
 
 @query
@@ -160,7 +166,7 @@ def xml_context(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def simhash_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return fp.simhash(_docs(spark, sf), mode=MODE).select("doc_id", "simhash", fp.hex_form(F.col("simhash")).alias("hex"), fp.weight(F.col("simhash")).cast("long").alias("weight"))
+    return fp.simhash(_texts(spark, sf), mode=MODE).select("doc_id", "simhash", fp.hex_form(F.col("simhash")).alias("hex"), fp.weight(F.col("simhash")).cast("long").alias("weight"))
 
 
 @query

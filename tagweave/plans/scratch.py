@@ -47,6 +47,17 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+#: Bytes a core below which a table is dealt over all of them.
+SPREAD = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it is small: its files may be one block, which is one task. Larger tables have their own."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df, written and read again: its lineage ends, and executors may come and go."""
     path = scratch(df.sparkSession)
