@@ -53,7 +53,7 @@ class Engine:
         now = F.current_timestamp() if as_of is None else as_of
         rows = materialize(found.select(F.concat(F.lit(root), "path").alias("path"), "content").select(files.source_id(F.col("path")).alias("id"), "path", files.bucket(F.col("path")).alias("bucket"), now.alias("ts"), "content"))
         left = self.store.table("sources").filter(F.col("path").startswith(root)).join(rows.select("id"), "id", "left_anti")
-        gone = materialize(left.select(F.col("id").alias("source_id"), st.part_of(F.col("id")).alias("part")))
+        gone = materialize(left.select(F.col("id").alias("source_id"), self.store.part_of(F.col("id")).alias("part")))
         counts = self.ingest_documents(rows)
         if not gone.isEmpty():
             self.store._change({}, gone)

@@ -22,7 +22,8 @@ ATOMS = "atom_id long, source_id string, source_path string, seq long, char_star
 TAGS = "atom_id long, tag string, bucket string, source_id string"
 POSTINGS = "term string, atom_id long, n long, source_id string"
 TABLES = {"sources": SOURCES, "atoms": ATOMS, "tags": TAGS, "postings": POSTINGS}
-#: Parts of each table, by the hash of the source: a change rewrites the parts that it removes rows from, and no others.
+#: Parts of each table, by the hash of the source, of a store that isn't told another number: a change rewrites the parts
+#: that it removes rows from, and no others.
 PARTS = 32
 #: Folders of one part beyond which the next change that touches it makes them one.
 FOLDERS = 16
@@ -77,10 +78,6 @@ def ingested(docs: DataFrame, options: IngestOptions = IngestOptions()) -> dict[
     return {"sources": sources, "atoms": found, "tags": tags, "postings": postings}
 
 
-def part_of(source_id: Column) -> Column:
-    return F.pmod(F.xxhash64(source_id), F.lit(PARTS)).cast("int")
-
-
 _locks: dict[str, threading.RLock] = {}
 
 
@@ -89,12 +86,17 @@ class Store:
 
     A change writes new folders and then one commit file, which fails if another writer made a commit meanwhile; so all
     tables change at once, readers see one commit, and what a change costs grows with the parts that it touches and not
-    with the store. Folders that older commits named and none of the last KEPT commits does are removed.
+    with the store. The first commit fixes the number of parts. Folders that older commits named and none of the last KEPT commits does are removed.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self.lock = _locks.setdefault(self.path, threading.RLock())  # changes by one driver wait for each other
+        held = json.loads(read_text(spark, f"{self.path}/commits/{commits[-1]}")) if (commits := self._commits()) else {}
+        self.parts = held.get("parts", parts)
+
+    def part_of(self, source_id: Column) -> Column:
+        return F.pmod(F.xxhash64(source_id), F.lit(self.parts)).cast("int")
 
     def _names(self, path: str) -> list[str]:
         there, fs = hadoop_path(self.spark, path)
@@ -104,7 +106,7 @@ class Store:
         return [n for n in self._names(f"{self.path}/commits") if n.endswith(".json")]
 
     def _read(self, commit: str) -> dict[str, dict[str, list[str]]]:
-        return json.loads(read_text(self.spark, f"{self.path}/commits/{commit}"))
+        return json.loads(read_text(self.spark, f"{self.path}/commits/{commit}"))["tables"]
 
     def _state(self) -> tuple[int, dict[str, dict[str, list[str]]]]:
         """Number of the newest commit, and its folders by table and part."""
@@ -114,7 +116,7 @@ class Store:
     def _commit(self, number: int, state: dict[str, dict[str, list[str]]]) -> None:
         there, fs = hadoop_path(self.spark, f"{self.path}/commits/{number:012d}.json")
         stream = fs.create(there, False)  # an error if another writer was first
-        stream.write(bytearray(json.dumps(state).encode()))
+        stream.write(bytearray(json.dumps({"parts": self.parts, "tables": state}).encode()))
         stream.close()
         commits = self._commits()
         old, kept = commits[:-KEPT], commits[-KEPT:]
@@ -130,7 +132,9 @@ class Store:
         columns = [c.split()[0] for c in TABLES[name].split(", ")]
         key = F.col("id" if name == "sources" else "source_id")
         folder = f"{name}/{uuid.uuid4().hex}"
-        rows.select(*columns, part_of(key).alias("part")).repartition("part").sortWithinPartitions("part", *(["term"] if name == "postings" else ["tag"] if name == "tags" else [])).write.partitionBy("part").parquet(f"{self.path}/{folder}")
+        order = ["part", *{"postings": ["term"], "tags": ["tag"]}.get(name, [])]
+        dealt = rows.select(*columns, self.part_of(key).alias("part")).hint("rebalance", "part")  # large parts are split
+        dealt.sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{self.path}/{folder}")
         made = {n[5:]: [f"{folder}/{n}"] for n in self._names(f"{self.path}/{folder}") if n.startswith("part=")}
         if not made:
             there, fs = hadoop_path(self.spark, f"{self.path}/{folder}")
@@ -160,7 +164,7 @@ class Store:
     def _change_now(self, new: dict[str, DataFrame], gone: DataFrame | None, key: str) -> None:
         number, state = self._state()
         state = {n: dict(state.get(n, {})) for n in TABLES}
-        parts = [str(r[0]) for r in gone.select("part").distinct().collect()] if gone is not None else []  # PARTS at most
+        parts = [str(r[0]) for r in gone.select("part").distinct().collect()] if gone is not None else []  # self.parts at most
         touched = {n: set(parts) for n in TABLES}
         fresh = {n: self._written(n, rows) for n, rows in new.items()}
         for n, by_part in fresh.items():
@@ -185,7 +189,7 @@ class Store:
         ids = docs.select(F.col("id").alias("source_id")).distinct()
         with self.lock:
             here = self.table("sources").select(F.col("id").alias("source_id"))
-            gone = materialize(here.join(ids, "source_id", "left_semi").withColumn("part", part_of(F.col("source_id"))))
+            gone = materialize(here.join(ids, "source_id", "left_semi").withColumn("part", self.part_of(F.col("source_id"))))
             self._change(new, None if gone.isEmpty() else gone)
         counts = {k: v.count() for k, v in new.items()}
         discard(gone, *new.values())
@@ -193,14 +197,14 @@ class Store:
 
     def delete_source(self, source_id: str) -> None:
         """Removes a source with its atoms and tags; KeyError where there is none."""
-        gone = self.table("sources").filter(F.col("id") == source_id).select(F.col("id").alias("source_id"), part_of(F.col("id")).alias("part"))
+        gone = self.table("sources").filter(F.col("id") == source_id).select(F.col("id").alias("source_id"), self.part_of(F.col("id")).alias("part"))
         if gone.isEmpty():
             raise KeyError(source_id)
         self._change({}, gone)
 
     def delete_atom(self, atom_id: int) -> None:
         """Removes an atom with its tags; KeyError where there is none."""
-        gone = self.table("atoms").filter(F.col("atom_id") == atom_id).select("atom_id", part_of(F.col("source_id")).alias("part"))
+        gone = self.table("atoms").filter(F.col("atom_id") == atom_id).select("atom_id", self.part_of(F.col("source_id")).alias("part"))
         if gone.isEmpty():
             raise KeyError(atom_id)
         self._change({}, gone, "atom_id")
