@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 import zlib
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tagweave.plans.scratch import discard, materialize
 
-__all__ = ["WORD_PATTERN", "crc_mod", "discard", "id_crc", "map_rows", "materialize", "partitions", "ship", "slices", "table", "texts"]
+__all__ = ["WORD_PATTERN", "crc_mod", "discard", "id_crc", "map_rows", "materialize", "partitions", "release", "ship", "slices", "table", "texts"]
 
 #: What separates words: the ASCII white space bytes 0x20 and 0x09 to 0x0D, as bytes.split() has them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -76,10 +77,19 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, most: int) -> Iterator[
         yield b.slice(begin)
 
 
-def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, most: int = 16 << 20) -> DataFrame:
+def release() -> None:
+    """Gives the memory that this process holds and doesn't use back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, most: int = 4 << 20) -> DataFrame:
     """mapInArrow; f gets batches whose second column, the text, is of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(slices(batches, 1, most))
+        release()
 
     return df.mapInArrow(run, schema)

@@ -15,6 +15,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.llm.common import map_rows, table, texts
 
-#: Words whose ids a Python worker keeps; it starts anew beyond that, which only costs time.
-CACHE = 1_500_000
+#: Words whose ids a Python worker keeps because they were met again, and of those met once; about 150 bytes each. It
+#: starts anew beyond that, which only costs time.
+CACHE, FRESH = 500_000, 200_000
 #: Words of these characters are their own lower-casing and normal form, character by character; 'C0-'FF without signs.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: Fixed value: how the word tokenizer's file splits lower-case text, for plain characters.
@@ -47,12 +49,13 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.once: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain, odd = [], []
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain, odd, out = [], [], {}
         for w in words:
             s = w.decode("utf-8", "replace")
             (plain if PLAIN.fullmatch(s) and "<|" not in s else odd).append((w, s))
@@ -64,21 +67,26 @@ class WordIds:
             parts = np.cumsum([len(SPLIT.findall(s.lower())) for _, s in part])
             if len(last) == parts[-1]:
                 cut = [0, *(4 * last[parts - 1]).tolist()]
-                self.known.update((w, got[a:b]) for (w, _), a, b in zip(part, cut, cut[1:], strict=False))
+                out.update((w, got[a:b]) for (w, _), a, b in zip(part, cut, cut[1:], strict=False))
             else:
                 odd += part
         if odd:
-            self.known.update(zip((w for w, _ in odd), self._encode([s for _, s in odd]), strict=True))
+            out.update(zip((w for w, _ in odd), self._encode([s for _, s in odd]), strict=True))
+        return out
 
     def of(self, docs: list[bytes]) -> list[bytes]:
         """The ids of each text."""
         split = [d.split() for d in docs]
-        fresh = {w for ws in split for w in ws if w not in self.known}
-        if len(self.known) + len(fresh) > CACHE:
-            self.known.clear()
-            fresh = {w for ws in split for w in ws}
-        self._learn(list(fresh))
-        get = self.known.__getitem__
+        words = set(chain.from_iterable(split))
+        found = {w: self.known[w] for w in words & self.known.keys()}
+        words.difference_update(found)
+        again = {w: self.once.pop(w) for w in words & self.once.keys()}
+        fresh = self._learn(list(words.difference(again)))
+        for held, more, most in ((self.known, again, CACHE), (self.once, fresh, FRESH)):
+            if len(held) > most:
+                held.clear()
+            held.update(more)
+        get = (found | again | fresh).__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
 

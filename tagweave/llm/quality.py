@@ -10,20 +10,26 @@ two classes' products), each distinct word the sum of its buckets' numbers, and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import crc_mod, id_crc, map_rows, table, texts
+from tagweave.llm.common import crc_mod, id_crc, map_rows, materialize, table, texts
 
 #: Rows that training takes at most (by hash of their ids), and distinct features of one of them: a documented bound.
 SAMPLE, BUCKETS = 4096, 1 << 16
 NGRAMS = (3, 4)
-MARKS = (0x02, 0x03)
+#: Bytes of packed features that training takes at most: the other bound of the sample.
+FEATURE_BYTES = 128 << 20
+#: Bytes of text of which features are computed at once.
+PIECE = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 #: Odd multipliers of the hashes.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -36,7 +42,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
-    return (_mix(h + np.uint64(kind) * ODD[2]) % np.uint64(BUCKETS)).astype(np.int64)
+    return (_mix(h + np.uint64(kind) * ODD[2]) % np.uint64(BUCKETS)).astype(np.int32)
 
 
 @dataclass
@@ -52,13 +58,13 @@ class Words:
     @classmethod
     def of(cls, docs: list[bytes]) -> Words:
         number: dict[bytes, int] = {}
-        runs = [[number.setdefault(w, len(number)) for w in d.split()] for d in docs]
-        sequence = np.fromiter((i for r in runs for i in r), np.int64, sum(map(len, runs)))
+        runs = [np.array([number.setdefault(w, len(number)) for w in d.split()], np.int32) for d in docs]
+        sequence = np.concatenate(runs) if runs else np.zeros(0, np.int32)
         begin = np.cumsum([0, *map(len, runs)])
         lengths = np.fromiter(map(len, number), np.int64, len(number)) + 2
         flat = np.frombuffer(b"".join(b"\x02%b\x03" % w for w in number), np.uint8).astype(np.uint64)
         start = np.cumsum(np.r_[0, lengths])
-        word = np.repeat(np.arange(len(number)), lengths)
+        word = np.repeat(np.arange(len(number), dtype=np.int32), lengths)
         place = np.arange(len(flat)) - start[word] if len(flat) else flat.astype(np.int64)
         # a word's hash: the sum of its bytes' hashes with their places
         h = _mix((flat + np.uint64(1)) * ODD[0] + place.astype(np.uint64) * ODD[2])
@@ -78,7 +84,9 @@ class Words:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Bucket of each word and its successor in a text, and where they stand in sequence."""
-        at = np.flatnonzero(np.diff(np.searchsorted(self.begin, np.arange(len(self.sequence)), "right")) == 0)
+        inner = np.ones(len(self.sequence), bool)
+        inner[self.begin[1:][np.diff(self.begin) > 0] - 1] = False
+        at = np.flatnonzero(inner)
         a, b = self.sequence[at], self.sequence[at + 1]
         same = a == b
         h = self.hashes[a] * ODD[0] + self.hashes[b]
@@ -86,20 +94,17 @@ class Words:
         return _bucket(h, 1), at
 
 
-def features(docs: list[bytes]) -> list[np.ndarray]:
-    """Feature buckets of each text, repeats included; the last is one that every text has."""
-    w = Words.of(docs)
-    order = np.argsort(w.gram_word, kind="stable")
-    gram, first = w.gram_bucket[order], np.searchsorted(w.gram_word[order], np.arange(len(w.hashes) + 1))
-    pair, at = w.pairs()
-    edge = np.searchsorted(at, w.begin)
-    own = _bucket(w.hashes, 0)
-    out = []
-    for k in range(len(docs)):
-        seq = w.sequence[w.begin[k] : w.begin[k + 1]]
-        grams = [gram[first[i] : first[i + 1]] for i in seq.tolist()]
-        out.append(np.concatenate([own[seq], pair[edge[k] : edge[k + 1]], *grams, [0]]))
-    return out
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature buckets of a text, ascending, and how often each occurs; one of them is a feature that every text has."""
+    counts = np.bincount([0], minlength=BUCKETS)
+    for piece, carried in _pieces(text):
+        w = Words.of([piece])
+        times = np.bincount(w.sequence[int(carried) :], minlength=len(w.hashes))
+        counts += np.bincount(_bucket(w.hashes, 0), times, BUCKETS).astype(np.int64)
+        counts += np.bincount(w.gram_bucket, times[w.gram_word], BUCKETS).astype(np.int64)
+        counts += np.bincount(w.pairs()[0], minlength=BUCKETS)
+    buckets = np.flatnonzero(counts)
+    return buckets, counts[buckets]
 
 
 @dataclass
@@ -110,16 +115,53 @@ class Model:
     bias: float
 
     def scores(self, docs: list[bytes]) -> np.ndarray:
-        """Probability of class 1 for each text."""
-        w = Words.of(docs)
+        """Probability of class 1 for each text; texts meet in groups of about PIECE bytes, and longer ones in pieces."""
+        total, size = np.full(len(docs), self.value[0]), np.ones(len(docs))
+        held: list[tuple[int, bytes, bool]] = []
+        room = PIECE
+        for k, d in enumerate(docs):
+            for piece, carried in _pieces(d):
+                if held and len(piece) > room:
+                    self._add(held, total, size)
+                    held, room = [], PIECE
+                held.append((k, piece, carried))
+                room -= len(piece)
+        if held:
+            self._add(held, total, size)
+        return 1 / (1 + np.exp(-np.clip(total / size + self.bias, -500, 500)))
+
+    def _add(self, held: list[tuple[int, bytes, bool]], total: np.ndarray, size: np.ndarray) -> None:
+        """Adds the values and the number of the features of pieces to those of their texts.
+
+        A piece that is carried on begins with the last word of the one before, which counts there.
+        """
+        w = Words.of([piece for _, piece, _ in held])
         n = len(w.hashes)
         words = self.value[_bucket(w.hashes, 0)] + np.bincount(w.gram_word, self.value[w.gram_bucket], n)
         count = 1.0 + np.bincount(w.gram_word, minlength=n)
-        text = np.repeat(np.arange(len(docs)), np.diff(w.begin))
         pair, at = w.pairs()
-        total = np.bincount(text, words[w.sequence], len(docs)) + np.bincount(text[at], self.value[pair], len(docs)) + self.value[0]
-        size = np.bincount(text, count[w.sequence], len(docs)) + np.bincount(text[at], minlength=len(docs)) + 1
-        return 1 / (1 + np.exp(-np.clip(total / size + self.bias, -500, 500)))
+        value, number = words[w.sequence], count[w.sequence]
+        first = w.begin[:-1][[carried for _, _, carried in held]]
+        value[first] = number[first] = 0
+        value[at] += self.value[pair]
+        number[at] += 1
+        full = np.flatnonzero(np.diff(w.begin))
+        if len(full):
+            of = np.array([k for k, _, _ in held])[full]
+            np.add.at(total, of, np.add.reduceat(value, w.begin[full]))
+            np.add.at(size, of, np.add.reduceat(number, w.begin[full]))
+
+
+def _pieces(text: bytes) -> Iterator[tuple[bytes, bool]]:
+    """A text in pieces of about PIECE bytes, cut where words end; each but the first begins with the last word before it."""
+    begin, last = 0, b""
+    while True:
+        gap = _GAP.search(text, begin + PIECE) if len(text) - begin > PIECE else None
+        piece = text[begin : gap.start()] if gap else text[begin:]
+        yield (b"%b %b" % (last, piece) if last else piece), bool(last)
+        if not gap:
+            return
+        begin, last = gap.start(), (piece.rsplit(None, 1) or [last])[-1]
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 12, least_steps: int = 20_000, rate: float = 0.6, seed: int = 5) -> Model:
@@ -155,7 +197,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col
 
     Rows without id or label are left out, and those with crc32(id) mod 5 = 0, which are held out. An id that stands
     there repeatedly counts once, with its highest label and one of its texts. Ids and labels of the sample (bounded)
-    are broadcast; features are computed where the texts are.
+    are broadcast; features are computed where the texts are. The driver takes FEATURE_BYTES of them at most: documents
+    beyond, in the order of those hashes, are no part of the sample.
     """
     spark = docs.sparkSession
     label = F.when(F.col(label_col) >= 0.5, 1).otherwise(0)
@@ -168,13 +211,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = []
-            for f in features(list(texts(b.column(1)))):
-                buckets, counts = np.unique(f, return_counts=True)
-                packed.append(buckets.astype("<u4").tobytes() + counts.astype("<u4").tobytes())
+            packed = [np.concatenate(features(t)).astype("<u4").tobytes() for t in texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["id", "f"])
 
-    found = map_rows(rows, run, "id long, f binary").groupBy("id").agg(F.min("f").alias("f"))
+    found = materialize(map_rows(rows, run, "id long, f binary").groupBy("id").agg(F.min("f").alias("f")))
+    sizes = dict(found.select("id", F.length("f")).toLocalIterator())
+    fit = [i for i, end in zip(chosen, accumulate(sizes.get(i, 0) for i in chosen), strict=True) if end <= FEATURE_BYTES]
+    found = found.join(F.broadcast(spark.createDataFrame([(i,) for i in fit], "id long")), "id", "left_semi")
     out = []
     for batch in found.toArrow().to_batches():
         for i, f in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -189,7 +232,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: in
     Returns id_col, held_out (crc32(id) mod 5 = 0), score (0 to 1, of label 1), predicted (1 if score >= threshold), and
     the columns in `keep`. A null text counts as empty, and empty texts are scored too; a null id counts as empty text
     for held_out. Repeated rows get equal scores. Without any label the score is 0.5 everywhere. Other columns are
-    never inputs of a score. The model, one number for each of 65536 buckets, goes to the workers with the function.
+    never inputs of a score. Texts of any length are read whole, in pieces of PIECE bytes. The model, one number for each of 65536 buckets, goes to the workers with the function.
     """
     model = train(training_rows(docs, labels, most, id_col, text_col))
     packed = (model.value.astype(np.float64), model.bias)

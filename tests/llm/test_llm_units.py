@@ -59,6 +59,41 @@ def test_candidate_models_on_unseen_sentences():
     assert pii.find("The plain text has 3 numbers and 2 words.", trained) == ([], [])
 
 
+def test_recall_on_formats_that_no_model_has_seen():
+    """Planted finds in formats and sentences that are not those of the training rows, and look-alikes."""
+    trained, r = pii.models(), random.Random(77)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    of = lambda s, n: "".join(r.choice(s) for _ in range(n))
+    low, hexa = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+    every = low + low.upper() + "0123456789"
+    told = "please find below the record of our customer from last week as noted in a letter that she sent to us".split()
+
+    def iban(country, n):
+        body = d(n)
+        return f"{country}{98 - int(body + ''.join(str(int(c, 36)) for c in country) + '00') % 97:02d}{body}"
+
+    planted = {
+        "email": (("", "reach me at ", "E-Mail: "), (lambda: f"{of(low, 5)}.{of(low, 6)} (at) {of(low, 7)} (dot) net", lambda: f"{of(low, 6)}[at]{of(low, 5)}[dot]co[dot]uk", lambda: f"jürgen.{of(low, 6)}@{of(low, 8)}.de")),
+        "ip": (("", "from host "), (lambda: "fe80::" + ":".join(of(hexa, 4) for _ in range(3)),)),
+        "phone": (("Tel. ", "call ", ""), (lambda: f"0{d(3)}/{d(6)}", lambda: f"00{d(2)} {d(2)} {d(4)} {d(3)}", lambda: f"({d(3)}) {d(3)}-{d(4)}")),
+        "iban": (("IBAN ", "", "account "), (lambda: iban("AT", 16), lambda: iban("ES", 20))),
+        "ssn": (("SSN ", "social security number ", ""), (lambda: f"{r.randrange(100, 665)}-{d(2)}-{d(4)}",)),
+        "secret": (('token = "', "api_key: ", "AWS_SECRET_ACCESS_KEY=", "Authorization: Bearer ", "password is "), (lambda: "AKIA" + of(every.upper(), 15) + "7", lambda: "ghp_" + of(every, 36) + "1", lambda: of(hexa, 64), lambda: "eyJ" + of(every + "_-", 160) + "1", lambda: of(every + "+/", 43) + "2=")),
+    }
+    said = lambda: " ".join(r.choice(told) for _ in range(r.randrange(3, 12)))
+    for kind, (leads, forms) in planted.items():
+        hits = []
+        for k in range(120):
+            s, lead = forms[k % len(forms)](), r.choice(leads)
+            text = f"{said()} {lead}{s}{lead[-1:] if lead.endswith(chr(34)) else ''} {said()}"
+            at = text.index(s)
+            hits.append(sum(max(0, min(at + len(s), b) - max(at, a)) for _, a, b in pii.find(text, trained)[1]) >= 0.9 * len(s))
+        assert np.mean(hits) >= 0.9, kind
+    other = (lambda: f"order {d(16)}", lambda: f"version {d(1)}.{d(2)}.{d(3)}", lambda: f"at 12:{d(2)}:{d(2)}", lambda: f"build {of(hexa, 40)}", lambda: f"isbn 978-{d(1)}-{d(5)}-{d(3)}-{d(1)}", lambda: f"on 2019-03-1{d(1)}", lambda: f"http://x.org/{of(low, 8)}/{of(low, 12)}-{d(4)}")
+    wrong = [bool(pii.find(f"{said()} {other[k % len(other)]()} {said()}", trained)[1]) for k in range(420)]
+    assert np.mean(wrong) <= 0.05
+
+
 def test_generators_run_by_what_they_need():
     trained, r = pii.models(), random.Random(5)
     for t, found in (("write to anna (at) firma (dot) org today", "anna (at) firma (dot) org"), ("anna[at]firma[dot]org", "anna[at]firma[dot]org")):
@@ -72,6 +107,9 @@ def test_generators_run_by_what_they_need():
         assert [(k, t[a:b]) for k, a, b in pii.find(t, trained)[1]] == [("secret", key)], n
     assert not list(pii.candidates("a" * 40 + " 7"))  # the digit must be in the run
     assert list(pii.candidates("a" * 300_000 + "1===")) == []
+    for n in (70, 400):  # names and labels of any length
+        t = f"to {'a' * n}(at){'b' * n}.{'c' * n}.{'.'.join('xyzuvw')}.org now"
+        assert [(k, t[a:b]) for k, a, b in pii.candidates(t)] == [("email", t[3:-4])]
 
 
 def test_word_ids_equal_the_tokenizer():
@@ -136,6 +174,58 @@ def test_html():
     assert html_text.rendered("a<5 b") == "a<5 b" and html_text.rendered("<div>" * 5000 + "z").strip() == "z"
 
 
+def test_tables_lists_and_what_is_closed():
+    r = html_text.rendered
+    assert r("<table><caption>a long caption</caption><tr><td rowspan=2>A<td>B<td>C<tr><td>D<td>E</table>") == "a long caption\nA  B  C\n   D  E"
+    assert r("<table><caption>cap</caption><td>x<td>y</table>") == "cap\nx  y" and r("<table><tr><td>a</td></tr><td>b<td>c</table>") == "a\nb  c"
+    assert r("<ol reversed><li>a<li>b<li value=7>c<li>d</ol>") == "4. a\n3. b\n7. c\n6. d"
+    assert r("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>") == "yes"
+    assert r("<style>.h{visibility:hidden}.v{visibility:visible}</style><p class=h>a<b class=v>b</b></p>") == "b"
+    assert r("<details>t<summary>s</summary>u</details>") == "s" and r("<details open><summary>s</summary>u</details>") == "s\nu"
+    assert r("<input type=email value='e@x'><input type=password value=p><input value=v>") == "e@x v"
+    wide = r(f"<table><tr><td>{'w' * 100}<td>b<tr><td>c<td>d</table>").split("\n")
+    assert wide[0] == "w" * 100 and wide[1].index("b") == wide[2].index("d") == html_text.COLUMN + 2
+
+
+def test_every_visible_word_comes_out_once():
+    r = random.Random(8)
+    inline, block, gone = ["b", "i", "span", "a", "code"], ["div", "p", "ul", "li", "table", "tr", "td", "section", "h2", "blockquote", "dl", "dd", "caption", "ol", "pre"], ["script", "template", "noscript"]
+    for _ in range(300):
+        words, page, n = [], [], 0
+        for _ in range(r.randint(1, 60)):
+            n += 1
+            k = r.random()
+            if k < 0.45:
+                page.append(f" w{n}w ")
+                words.append(f"w{n}w")
+            elif k < 0.75:
+                span = f" rowspan={r.randint(0, 3)} colspan={r.randint(0, 3)}" if r.random() < 0.3 else ""
+                page.append(f"<{r.choice(inline + block)}{span}>")
+            elif k < 0.92:
+                page.append(f"</{r.choice(inline + block)}>")
+            elif k < 0.96:
+                page.append(f"<div style='display:none'><b>h{n}h</b></div>")
+            else:
+                t = r.choice(gone)
+                page.append(f"<{t}>h{n}h</{t}>")
+        assert sorted(re.findall("[wh][0-9]+[wh]", html_text.rendered("".join(page)))) == sorted(words), "".join(page)
+
+
+@pytest.mark.parametrize("unit, end", [
+    ("<ul><li>x", ""), ("<tr><td>a<td>b", "<tr><td>" + "l" * 5000 + "<td>z"), ("<table><tr><td>x", ""), ("<td>c", ""), ("<blockquote>x", ""), ("<p>x", ""),
+    ("<tr><td rowspan=1000>a<td>b", ""), ("<tr><td colspan=1000>a<td>b", ""), ("<b>x<i>", ""), ("<dl><dt>x<dd>y", ""), ("<details open><summary>x", ""),
+])
+def test_layout_is_linear(unit, end):
+    import time
+
+    took, size = [], []
+    for n in (2000, 16000):
+        begin = time.process_time()
+        size.append(len(html_text.rendered("<table><tr>" * unit.startswith("<t") + unit * n + end)))
+        took.append(time.process_time() - begin)
+    assert size[1] <= 10 * size[0] + 100 and size[1] <= 16000 * 2 * (html_text.LINE + 50) and took[1] < 24 * took[0] + 0.5
+
+
 def test_what_hides_and_what_does_not():
     page = lambda css, body, more="": html_text.rendered(f"<head><style{more}>{css}</style></head>{body}")
     note = "<div class=note>seen</div>"
@@ -181,7 +271,7 @@ def test_block_top_is_exact(scale):
     x = r.integers(-scale, scale + 1, (900, 20)).astype(float)
     x[500:] = x[:400]  # ties
     ids = np.arange(900) * 3
-    best, rows = topk.block_top(x[::90], ids[::90], x, ids, 7)
+    best, rows, _ = topk.block_top(x[::90], ids[::90], x, ids, 7)
     whole = [[int(v) for v in row] for row in x]
     for k, q in enumerate(range(0, 900, 90)):
         score = [min(max(sum(a * b for a, b in zip(whole[q], w, strict=True)), -(2**63)), 2**63 - 1) for w in whole]
@@ -189,10 +279,47 @@ def test_block_top_is_exact(scale):
         assert rows[k].tolist() == want and best[k].tolist() == [score[i] for i in want]
 
 
+def test_bounds_spare_most_products():
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").sort_by("vec_id")
+    x, ids = np.floor(1024 * topk.vectors(t.column("embedding"))), t.column("vec_id").to_numpy()
+    r = np.random.default_rng(1)
+    near = np.floor(1024 * (r.normal(size=(40, 64))[r.integers(0, 40, 6000)] + 0.15 * r.normal(size=(6000, 64))))
+    for x, ids, most in ((x, ids, 0.5), (near, np.arange(6000), 0.4)):  # directions at random, and in clusters
+        q = ids % 100 == 0
+        best, rows, tested = topk.block_top(x[q], ids[q], x, ids, 10)
+        score = (x[q] @ x.T).astype(np.int64)
+        score[ids[q][:, None] == ids] = np.iinfo(np.int64).min
+        assert (rows == [np.lexsort((ids, ~s))[:10] for s in score]).all() and (np.take_along_axis(score, rows, 1) == best).all()
+        assert tested < most * q.sum() * (len(x) - 1)
+
+
+def test_vectors_of_odd_shapes():
+    for n, d in ((1, 1), (5, 0), (40, 1), (40, 3), (3, 2000)):
+        x = np.random.default_rng(n).integers(-9, 10, (n, d)).astype(float)
+        ids = np.arange(n)
+        best, rows, _ = topk.block_top(x, ids, x, ids, 4)
+        for k in range(n):
+            want = sorted((i for i in range(n) if i != k), key=lambda i: (-(x[k] @ x[i]), i))[:4]
+            assert [i for i in rows[k].tolist() if i >= 0] == want
+
+
+def test_long_texts_have_the_features_of_their_pieces(monkeypatch):
+    docs = [b"  " + b"x" * 5000 + b" \n" * 600 + b"y " * 900, b" " * 9000, b"a b c " * 2000]
+    m = quality.Model(np.random.default_rng(1).normal(size=quality.BUCKETS), 0.1)
+    whole, scores = [quality.features(d) for d in docs], m.scores(docs)
+    monkeypatch.setattr(quality, "PIECE", 700)
+    for d, (f, n) in zip(docs, whole, strict=True):
+        g, k = quality.features(d)
+        assert f.tolist() == g.tolist() and n.tolist() == k.tolist()
+    assert np.allclose(m.scores(docs), scores)
+
+
 def test_features_and_scores_agree():
     docs = [b"", b"one", b"one one two", "é ### a".encode(), b"x " * 50]
     m = quality.Model(np.random.default_rng(1).normal(size=quality.BUCKETS), 0.1)
-    want = [1 / (1 + np.exp(-(m.value[f].mean() + m.bias))) for f in quality.features(docs)]
+    want = [1 / (1 + np.exp(-(np.average(m.value[f], weights=n) + m.bias))) for f, n in map(quality.features, docs)]
     assert np.allclose(m.scores(docs), want)
 
 
