@@ -168,7 +168,7 @@ def test_bigrams_of_small_counts_are_held(spark, sf):
     want = {}
     for i, ws in words.items():
         seen = [(min(2 ** (pairs[u, w].bit_length() - 1) if pairs[u, w] else 0, c[u], c[w]), u, w) for u, w in zip(ws, ws[1:], strict=False)]
-        want[i] = sum(math.log10(0.4 * q / max(c[u], 1) + 0.6 * (c[w] + 1) / (n + v + 1)) for q, u, w in seen)
+        want[i] = sum(math.log10(0.4 * max(q - 0.75, 0) / max(c[u], 1) + 0.6 * (c[w] + 1) / (n + v + 1)) for q, u, w in seen)
     assert all(got[i] >= want[i] - 1e-6 for i in words)
     assert sum(got.values()) - sum(want.values()) < -0.01 * sum(want.values())
 
