@@ -190,9 +190,9 @@ def _pairs(rep: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array(np.minimum(rep[at[:, 0]], rep[at[:, 1]])), pa.array(np.maximum(rep[at[:, 0]], rep[at[:, 1]]))], schema=PAIRS)
 
 
-def _dealt(rows: DataFrame, group: str, salt: int, units: int) -> DataFrame:
-    """rows with i, the block of their group that `salt` deals them to, and unit; groups of one block share units."""
-    i = F.pmod(F.xxhash64("rep", group, F.lit(salt)), "blocks").cast("int")
+def _dealt(rows: DataFrame, group: str, units: int) -> DataFrame:
+    """rows with i, the block of their group that they are dealt to, and unit; groups of one block share units."""
+    i = F.pmod(F.xxhash64("rep", group), "blocks").cast("int")
     unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(group), F.lit(max(1, units)))).otherwise(F.xxhash64(group, "i"))
     return rows.withColumn("i", i).withColumn("unit", unit).withColumn("j", F.lit(0)).withColumn("side", F.lit(0))
 
@@ -212,7 +212,7 @@ def _outside(rows: DataFrame, group: str, most: int, scrap: list[DataFrame]) ->
     main = counts.groupBy(group).agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("c")).filter("m > c")
     main = materialize(main.select(group, "main", F.ceil((F.col("m") - F.col("c")) / most).cast("int").alias("parts")))
     scrap.append(main)
-    rows = rows.join(main, group).withColumn("i", F.pmod(F.xxhash64("rep", group, F.lit(0)), "blocks").cast("int"))
+    rows = rows.join(main, group).withColumn("i", F.pmod(F.xxhash64("rep", group), "blocks").cast("int"))
     body = rows.withColumn("side", F.lit(0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     few = rows.filter("comp <> main").withColumn("side", F.lit(1)).withColumn("j", F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int"))
     few = few.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -220,28 +220,38 @@ def _outside(rows: DataFrame, group: str, most: int, scrap: list[DataFrame]) ->
 
 
 def _searched(rows: DataFrame, group: str, units: int, most: int, filled, test, scrap: list[DataFrame]) -> DataFrame:
-    """Edges (a, b) that `test` finds in groups of any size, such that they join all rows of a group that any two can.
+    """(node, component) under the edges (a, b) that `test` finds in groups of any size: all rows meet that any two can join.
 
-    First every block of a group is searched by itself. Groups of several blocks are then dealt anew, so that what lies
-    in one component meets whatever way it fell, and at last their rows outside the largest component meet all others.
-    So the work grows in proportion to a group that is one component, however large; each block's rows travel three
-    times at most, and a group emits less than one edge a row and step and not its pairs. filled(rows) adds to
+    First every block of a group is searched by itself. Of groups of several blocks, one row of each component so far
+    meets those of the others, again and again while that joins components; at last their rows outside the largest
+    component meet all others. So the work grows in proportion to a group that is one component, however large: all of
+    its rows travel once. A group emits less than one edge a row and step and not its pairs. filled(rows) adds to
     (group, rep, blocks) rows what `test` needs to have of them.
     """
-    schema = "a long, b long"
-    first = _dealt(filled(rows), group, 0, units).withColumn("comp", F.col("rep"))
-    edges = materialize(first.groupBy("unit").applyInArrow(test, schema).distinct())
-    scrap.append(edges)
-    large = materialize(rows.filter("blocks > 1"))
-    scrap.append(large)
+
+    def found(dealt: DataFrame) -> DataFrame:
+        return dealt.groupBy("unit").applyInArrow(test, "a long, b long")
+
+    def joined(now: DataFrame, edges: DataFrame) -> DataFrame:
+        return table_of(components(now.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(edges)), scrap)
+
+    now = table_of(components(found(_dealt(filled(rows), group, units).withColumn("comp", F.col("rep")))), scrap)
+    large = table_of(rows.filter("blocks > 1"), scrap)
     if large.isEmpty():
-        return edges
-    again = _dealt(filled(_labelled(large, components(edges))), group, 1, units)
-    edges = edges.unionByName(table_of(again.groupBy("unit").applyInArrow(test, schema).distinct(), scrap))
-    met = table_of(_outside(_labelled(large, components(edges)), group, most, scrap), scrap)
-    if met.isEmpty():
-        return edges
-    return edges.unionByName(table_of(filled(met).groupBy("unit").applyInArrow(test, schema).distinct(), scrap))
+        return now
+    before = math.inf
+    while True:
+        lead = _labelled(large, now).groupBy(group, "comp").agg(F.min("rep").alias("rep"))
+        several = lead.groupBy(group).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        lead = table_of(lead.join(several, group).withColumn("blocks", F.ceil(F.col("m") / most).cast("int")).drop("m"), scrap)
+        n = lead.count()
+        if not n:
+            return now
+        if n > 0.9 * before:
+            break
+        before = n
+        now = joined(now, found(_dealt(filled(lead), group, math.ceil(n / most))))
+    return joined(now, found(filled(_outside(_labelled(large, now), group, most, scrap))))
 
 
 def table_of(df: DataFrame, scrap: list[DataFrame]) -> DataFrame:
@@ -251,7 +261,7 @@ def table_of(df: DataFrame, scrap: list[DataFrame]) -> DataFrame:
 
 
 def strong(shared: DataFrame, sizes: DataFrame, reps: DataFrame, least: int, percent: int, scrap: list[DataFrame]) -> DataFrame:
-    """Edges (a, b) that span, bucket by bucket, the members whose signatures agree in `least` coordinates.
+    """(node, component): families, which join bucket by bucket the members whose signatures agree in `least` coordinates.
 
     shared: (key, rep); sizes: (key, m). A bucket of more than BLOCK members is dealt into blocks.
     """
@@ -274,7 +284,7 @@ def strong(shared: DataFrame, sizes: DataFrame, reps: DataFrame, least: int, per
 
 
 def verified(families: DataFrame, reps: DataFrame, docs: DataFrame, width: int, least: int, percent: int, scrap: list[DataFrame]) -> DataFrame:
-    """Exact links (a, b) that join all of a family which links join. families: (node, component) over strong edges.
+    """(node, component) under exact links, which are looked for in families (node, component).
 
     Each text travels to its block of its family; blocks are bounded by rows and by bytes.
     """
@@ -342,9 +352,9 @@ def near_duplicates(
     shared = keyed.join(sizes.select("key"), "key", "left_semi")
     coordinates, s = bands * rows, percent / 100
     least = math.floor(s * coordinates - 5 * math.sqrt(coordinates * s * (1 - s)))
-    families = table_of(components(strong(shared, sizes, reps, least, percent, scrap)), scrap)
-    found = materialize(components(verified(families, reps, flat, width, least, percent, scrap)))
-    discard(*scrap)
+    families = strong(shared, sizes, reps, least, percent, scrap)
+    found = verified(families, reps, flat, width, least, percent, scrap)
+    discard(*(t for t in scrap if t is not found))
 
     named = every.select("doc_id", "n_shingles").join(copied, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = named.join(found, named["rep"] == found["node"], "left").withColumn("component_id", F.coalesce("component", "rep"))
