@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import WORD_PATTERN, materialize, ship, table
+from tagweave.llm.common import materialize, ship, table
 from tagweave.llm.mixing import mix
 from tagweave.llm.neardup import near_duplicates
 from tagweave.llm.packing import pack
@@ -35,20 +35,32 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored.filter("predicted = 1").select(*as_were)
 
 
+def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and a column without nulls that tells its rows apart: doc_id where it does, else one that is written with them."""
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty():
+        return docs, "doc_id"
+    row = next(c for c in ("row", "_row", "__row") if c not in docs.columns)
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate component, that with the smallest id; shingles of five words, 80 %.
 
     Each row is a document of its own, so that exact repeats go too, whether their ids are alike, unlike or null; a null
-    id counts as the largest. Rows without words are linked with nothing and stay.
+    id counts as the largest. Rows without words are linked with nothing and stay. Columns of any name pass through; an
+    empty table gives an empty one.
     """
     ship(spark)
-    row = next(c for c in ("row", "_row", "__row") if c not in docs.columns)
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = near_duplicates(rows.select(row, "text"), id_col=row, unique=True).select(row, F.col("component_id").alias("component"))
-    named = materialize(found.join(rows.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("order")), row))
-    first = named.groupBy("component").agg(F.min("order").getField(row).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    gone = named.join(first, "component").filter(F.col(row) != F.col("first")).select(row)
-    return rows.join(gone, row, "left_anti").select(*docs.columns)
+    rows, row = _identified(docs)
+    found = near_duplicates(rows.select(row, "text"), id_col=row, unique=True)
+    if row == "doc_id":
+        gone = found.filter("NOT kept").select(row)
+    else:
+        order = rows.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("order"))
+        named = materialize(found.select(row, F.col("component_id").alias("component")).join(order, row))
+        per = named.groupBy("component").agg(F.min("order").getField(row).alias("first"), F.count(F.lit(1)).alias("n"))
+        gone = named.join(materialize(per.filter("n > 1")), "component").filter(F.col(row) != F.col("first")).select(row)
+    return rows.join(gone.hint("merge"), row, "left_anti").select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,20 +78,15 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: 0, 1 or 2 times.
 
-    Rows alike in id, source and size share the copies that the mix gives them, the first of them one more if need be.
-    Null and empty texts, of size 0, are taken at random like others; a null source is one of its own, the last; other
-    columns pass through, whatever their names. An empty table gives an empty one.
+    Each row is a document of its own, whatever its id. Null and empty texts, of size 0, are taken as often as all of their
+    source's documents are at least; a null source is one of its own, the last; other columns pass through, whatever their names. An empty table gives an empty one.
     """
-    key = ["doc_id", "source", "size"]
+    ship(spark)
     docs, as_were = _aside(docs, "doc_id", "text", "source")
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    given = materialize(mix(docs).groupBy(*key).agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("times"))).alias("m")
-    sized = docs.withColumn("size", size).alias("d")
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in key]
-    joined = sized.join(given, same[0] & same[1] & same[2]).select("d.*", "m.total", "m.times")
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("text"))
-    copies = F.floor(F.col("total") / F.col("times")) + (nth <= F.col("total") % F.col("times")).cast("long")
-    return joined.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*as_were)
+    rows, row = _identified(docs)
+    given = mix(rows, id_col=row).filter("copies > 0").select(F.col(row).alias("given"), "copies")
+    taken = rows.join(given.hint("merge"), rows[row] == F.col("given"))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*as_were)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
