@@ -235,6 +235,7 @@ def _searched(rows: DataFrame, group: str, units: int, most: int, filled, test,
     def joined(now: DataFrame, edges: DataFrame) -> DataFrame:
         return table_of(components(now.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(edges)), scrap)
 
+    rows = table_of(rows, scrap)
     now = table_of(components(found(_dealt(filled(rows), group, units).withColumn("comp", F.col("rep")))), scrap)
     large = table_of(rows.filter("blocks > 1"), scrap)
     if large.isEmpty():
