@@ -14,6 +14,8 @@ from tagweave.llm.neardup import OP2_SQL, op2_near_duplicates
 from tagweave.llm.packing import op4_packing
 from tagweave.llm.pii import op1_pii
 from tagweave.llm.quality import op10_quality
+from tagweave.llm.resampling import OP11_SQL, op11_resampling
+from tagweave.llm.spelling import OP13_SQL, op13_spelling_variants
 from tagweave.llm.token_counts import op3_token_counts
 from tagweave.llm.topk import OP8_SQL, op8_topk_search
 
@@ -28,8 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_resampling": op11_resampling,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 SQL: dict[str, str] = {
     "op2_near_duplicates": OP2_SQL,
     "op8_topk_search": OP8_SQL,
+    "op11_resampling": OP11_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
