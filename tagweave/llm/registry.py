@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tagweave.llm.hash_forest import op12_hash_forest
 from tagweave.llm.html_text import op6_html_text
 from tagweave.llm.lm import op5_lm_scoring
 from tagweave.llm.media import op7_media_columns
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
     "op11_resampling": op11_resampling,
+    "op12_hash_forest": op12_hash_forest,
     "op13_spelling_variants": op13_spelling_variants,
 }
 SQL: dict[str, str] = {
