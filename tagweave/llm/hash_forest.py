@@ -34,8 +34,8 @@ STRIDE = 3
 QUERY_BLOCK = 1 << 12
 #: Candidates of a block at most, and at least where there are cores for more blocks.
 CANDIDATE_BLOCK, SMALL_BLOCK = 1 << 16, 1 << 13
-#: Products that are held at once.
-PRODUCTS = 1 << 22
+#: Products that are held at once; pairs that are taken at once, and those of a range below which it is taken so.
+PRODUCTS, PAIRS, SMALL = 1 << 22, 1 << 15, 1 << 11
 
 
 def hyperplanes(dimensions: int, trees: int, bits: int) -> np.ndarray:
@@ -70,6 +70,11 @@ class _Best:
     def __init__(self, q: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> None:
         self.q, self.x, self.x_ids, self.k = q, x, x_ids, k
         self.score, self.row = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64)
+        # single precision for a first look, where it can hold the squares; slack covers its error
+        lengths = [np.sqrt(np.square(a).sum(axis=1)) for a in (q, x)]
+        kind = np.float32 if max((n.max(initial=0) for n in lengths)) < 1e15 else np.float64
+        self.q_low, self.x_low = q.astype(kind), x.astype(kind)
+        self.slack = 1.1 * (q.shape[1] + 4) * np.finfo(np.float32).eps * lengths[0] * lengths[1].max(initial=0) + 1e-30
         self.waiting: list[np.ndarray] = []
         self.held = 0
 
@@ -160,12 +165,19 @@ def forest_top(
 def _products(best: _Best, who: np.ndarray, order: np.ndarray, begin: np.ndarray, end: np.ndarray, seen_begin: np.ndarray, seen_end: np.ndarray, q_ids: np.ndarray) -> int:
     """Takes the products of queries with the rows of one tree's new ranges: those left and right of what they have seen.
 
-    Queries that share a range share one matrix product.
+    Queries that share a range share one matrix product; small ranges are taken pair by pair, many at once. Products are
+    first taken in single precision; pairs that may be among the best, by its error bound, go on.
     """
     fresh = seen_begin == seen_end
     left = np.stack([begin, np.where(fresh, end, seen_begin)])
     right = np.stack([np.where(fresh, end, seen_end), end])
+    least = best.score[who, -1] - best.slack[who]
     tested = 0
+
+    def offer(a: np.ndarray, rows: np.ndarray) -> None:
+        other = q_ids[a] != best.x_ids[rows]
+        best.offer(a[other], rows[other])
+
     for low, high in (left, right):
         at = np.flatnonzero(high > low)
         if not len(at):
@@ -173,17 +185,29 @@ def _products(best: _Best, who: np.ndarray, order: np.ndarray, begin: np.ndarray
         key = low[at].astype(np.int64) * (len(order) + 1) + high[at]
         at = at[np.argsort(key, kind="stable")]
         key.sort()
-        for group in np.split(at, np.flatnonzero(key[1:] != key[:-1]) + 1):
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        queries = np.diff(np.r_[first, len(at)])
+        small = queries * (high - low)[at[first]] < SMALL
+        few = at[np.repeat(small, queries)]
+        lengths = (high - low)[few].astype(np.int64)
+        tested += int(lengths.sum())
+        ends = np.cumsum(lengths)
+        cut = np.r_[0, np.searchsorted(ends, np.arange(PAIRS, ends[-1] + 1, PAIRS)), len(few)] if len(few) else np.zeros(1, np.int64)
+        for b, e in zip(cut[:-1], cut[1:], strict=True):
+            n = lengths[b:e]
+            mine = np.repeat(few[b:e], n)
+            rows = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[few[b:e]], n)]
+            good = np.einsum("ij,ij->i", best.q_low[who[mine]], best.x_low[rows]) >= least[mine]
+            offer(who[mine[good]], rows[good])
+        for g in np.flatnonzero(~small):
+            group = at[first[g] : first[g] + queries[g]]
             rows = order[low[group[0]] : high[group[0]]]
-            some = max(1, PRODUCTS // len(rows))
-            for g in range(0, len(group), some):
-                mine = who[group[g : g + some]]
-                product = best.q[mine] @ best.x[rows].T
-                least = best.score[mine, -1]
-                a, b = np.nonzero(product >= (least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))))[:, None])
-                a, b = mine[a], rows[b]
-                other = q_ids[a] != best.x_ids[b]
-                best.offer(a[other], b[other])
+            some, x = max(1, PRODUCTS // len(rows)), best.x_low[rows].T
+            for c in range(0, len(group), some):
+                mine = group[c : c + some]
+                product = best.q_low[who[mine]] @ x
+                a, r = np.nonzero(product >= least[mine][:, None])
+                offer(who[mine[a]], rows[r])
                 tested += product.size
     return tested
 
