@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import fingerprint as fp
 from tagweave.functions import text as tx
+from tagweave.operators import chunks as ch
 from tagweave.operators import graph
 from tagweave.operators import search as star
 from tagweave.operators import synonyms as syn
@@ -64,11 +65,15 @@ class Engine:
     def _edges(self) -> DataFrame:
         return self.store.table("tags").select("atom_id", "tag")
 
-    def _content(self, atoms: DataFrame) -> DataFrame:
-        """atoms with content: joined late, for rows that a limit has cut."""
-        text = self.store.table("sources").select(F.col("id").alias("source_id"), F.col("content").alias("whole"))
-        cut = F.substring("whole", F.col("char_start").cast("int") + 1, (F.col("char_end") - F.col("char_start")).cast("int"))
-        return atoms.join(text, "source_id").withColumn("content", cut).drop("whole")
+    def _content(self, atoms: DataFrame, limited: bool = False) -> DataFrame:
+        """atoms with content: joined late, for rows that a limit has cut, from the chunks that they lie in.
+
+        limited: they are so few that their sources' names may go through the driver, so that no other chunk is read.
+        """
+        ids = [r[0] for r in atoms.select("source_id").distinct().collect()] if limited else None
+        wanted = atoms.select("atom_id", "source_id", F.col("char_start").alias("start"), F.col("char_end").alias("end"))
+        text = ch.char_ranges(wanted, self.store.chunks(ids), ["atom_id"])
+        return atoms.join(text.withColumnRenamed("piece", "content"), "atom_id")
 
     def found(self, query: str, config: star.SearchConfig = star.SearchConfig(), as_of: datetime | None = None, with_path: bool = False) -> DataFrame:
         """All planets and moons of a query with their gravity; by its tags, or by its words where it has no keywords."""
@@ -84,9 +89,9 @@ class Engine:
         atoms = self.store.table("atoms")
         best = materialize(star.within_results(self.found(query, config, as_of), config.validated().effective()))
         if deduplicate:
-            rows = self._content(atoms.join(best.select("atom_id", "relevance"), "atom_id")).select("atom_id", "relevance", F.col("source_id").alias("source"), "char_start", "char_end", F.col("content").alias("text"), "simhash")
+            rows = self._content(atoms.join(best.select("atom_id", "relevance"), "atom_id"), True).select("atom_id", "relevance", F.col("source_id").alias("source"), "char_start", "char_end", F.col("content").alias("text"), "simhash")
             best = best.join(star.deduplicated(rows).select("atom_id"), "atom_id")
-        full = self._content(atoms.select("atom_id", "source_id", "source_path", "char_start", "char_end", "ts").join(best, "atom_id"))
+        full = self._content(atoms.select("atom_id", "source_id", "source_path", "char_start", "char_end", "ts").join(best, "atom_id"), True)
         return star.ordered(st.atoms_with_tags(full.drop("ts"), self._edges()), atoms, order_by).orderBy("position")
 
     def search_with_budget(self, query: str, config: star.SearchConfig = star.SearchConfig(), as_of: datetime | None = None) -> tuple[DataFrame, dict]:
@@ -110,13 +115,13 @@ class Engine:
         """Nodes around a seed with their content and tags, and how many were explored."""
         out = graph.illuminated(self.seeds(seed), self._edges(), depth, max_nodes)
         atoms = self.store.table("atoms").select("atom_id", "source_id", "source_path", "char_start", "char_end", "simhash")
-        nodes = self._content(atoms.join(out["nodes"], "atom_id")).withColumn("simhash", fp.hex_form(F.col("simhash")))
+        nodes = self._content(atoms.join(out["nodes"], "atom_id"), True).withColumn("simhash", fp.hex_form(F.col("simhash")))
         return st.atoms_with_tags(nodes, self._edges()).orderBy("hop_distance", "atom_id"), out["summary"].first().asDict()
 
     def distill(self, seed: str | None = None, radius: int = 2, max_atoms: int = 1000, write: bool = False, as_of: datetime | None = None) -> dict:
         """Decision records around a seed, as a dictionary; with `write` also as a JSON file below distills, named in `file`."""
-        atoms = self._content(self.store.table("atoms").select("atom_id", "source_id", F.col("source_path").alias("source"), "char_start", "char_end"))
-        out = graph.distill(self.seeds(seed), self._edges(), atoms, radius, max_atoms, hash_mode=self.options.hash_mode)
+        atoms = self.store.table("atoms").select("atom_id", "source_id", F.col("source_path").alias("source"), "char_start", "char_end")
+        out = graph.distill(self.seeds(seed), self._edges(), atoms, radius, max_atoms, hash_mode=self.options.hash_mode, content=lambda met: self._content(materialize(met), True))
         records = [r.asDict() for r in out["records"].orderBy("source").collect()]  # of max_atoms atoms at most
         told = out["summary"].first().asDict()
         result = {"seed": seed, "radius": radius, "total_atoms": told["atoms"], "total_sources": len(records), "compression_ratio": told["compression_ratio"], "records": records}
@@ -155,10 +160,30 @@ class Engine:
 
     def read_file(self, path: str, start_line: int = 0, end_line: int = 1 << 30) -> str:
         """Lines [start_line, end_line) of a source, from 0; KeyError where there is none of that path or id."""
-        row = self.store.table("sources").filter((F.col("path") == path) | (F.col("id") == path)).select(tx.line_range(F.col("content"), start_line, end_line)).first()
-        if row is None:
+        named = self.store.table("sources").filter((F.col("path") == path) | (F.col("id") == path)).select("id").first()
+        if named is None:
+            raise KeyError(path)
+        return self.store.contents([named.id]).select(tx.line_range(F.col("content"), start_line, end_line)).first()[0]
+
+    def read_range(self, path: str, start: int, end: int, unit: str = "char") -> str | bytes:
+        """Characters (or bytes) [start, end) of a source, from 0, read from the chunks that they lie in; KeyError as above."""
+        named = self.store.table("sources").filter((F.col("path") == path) | (F.col("id") == path)).select("id").first()
+        if named is None:
             raise KeyError(path)
-        return row[0]
+        wanted = self.spark.createDataFrame([(named.id, start, end)], "source_id string, start long, end long")
+        chunks = self.store.chunks([named.id])
+        if unit == "char":
+            chunks = chunks.filter(F.col("seq").between(start // ch.SIZE, max(start, end - 1) // ch.SIZE))
+            row = ch.char_ranges(wanted, chunks, ["source_id"]).first()
+            return row.piece if row else ""
+        row = ch.byte_ranges(wanted, chunks.filter((F.col("byte_start") < end) & (F.col("byte_end") > start)), ["source_id"]).first()
+        return bytes(row.piece) if row else b""
+
+    def match(self, query: str, k: int = 100) -> DataFrame:
+        """The k best atoms of a boolean query (words, "phrases", pre*, AND, OR, NOT, NEAR) with their content, best first."""
+        best = materialize(self.store.index().match(query, k))
+        atoms = self.store.table("atoms").select("atom_id", "source_id", "source_path", "char_start", "char_end")
+        return self._content(atoms.join(best, "atom_id"), True).orderBy(F.col("score").desc(), "atom_id")
 
     def list_compounds(self, wanted: str | None = None) -> DataFrame:
         return st.compounds(self.store.table("sources"), self.store.table("atoms"), self.store.table("tags"), wanted)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,17 +71,20 @@ def first_of_class(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFra
     return least.select(key, "r.*").select(*rows.columns)
 
 
-def distill(seeds: DataFrame, edges: DataFrame, atoms: DataFrame, radius: int = 2, max_atoms: int = 1000, gamma: float = 0.85, hash_mode: str = "xxhash64") -> dict[str, DataFrame]:
+def distill(
+    seeds: DataFrame, edges: DataFrame, atoms: DataFrame, radius: int = 2, max_atoms: int = 1000, gamma: float = 0.85, hash_mode: str = "xxhash64", content: Callable[[DataFrame], DataFrame] | None = None
+) -> dict[str, DataFrame]:
     """Blocks around the seeds, without duplicates, gathered into one record for each source.
 
-    atoms: (atom_id, source, char_start, content). Of the atoms that the walk met, at most max_atoms, those with one
+    atoms: (atom_id, source, char_start, content); with `content`, that function adds the column to the atoms that the walk
+    met, and no other content is read. Of the atoms that the walk met, at most max_atoms, those with one
     fingerprint of their bytes are duplicates (texts of less than 8 bytes, which all have the fingerprint 0, if they are
     equal): the one with the smallest hop and id stays; others still lead on. Returns blocks (atom_id, source, hop,
     gravity, chars), records (source, content, blocks, total_hops), and summary (words before and after, ratio = after /
     before, atoms, records).
     """
     near = walk(seeds, edges, radius, max_atoms).orderBy("hop", "atom_id").limit(max_atoms)
-    met = materialize(atoms.select("atom_id", "source", "char_start", "content").join(near, "atom_id"))
+    met = materialize(content(atoms.join(near, "atom_id")) if content else atoms.select("atom_id", "source", "char_start", "content").join(near, "atom_id"))
     short = F.when(F.octet_length("content") < 8, F.md5(F.col("content").cast("binary"))).otherwise("")
     keyed = met.join(simhash_bytes(spread(met), "atom_id", "content", hash_mode), "atom_id").withColumn("dedup_key", F.concat(F.col("simhash").cast("string"), F.lit("/"), short))
     unique = first_of_class(keyed.select("dedup_key", "hop", "atom_id", "source", "char_start", "content"), "dedup_key", ("hop", "atom_id"))

@@ -39,6 +39,7 @@ def _simhash(rows: str) -> str:
         GROUP BY id))"""
 
 
+_PART = f"ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * {K1 + 1} / (n + {K1} * (1 - {B} + {B} * dl / avgdl))"
 _CTE = {
     "tok": f"SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOK}')) AS term FROM documents",
     "tf": "SELECT doc_id, term, count(*) AS n FROM tok GROUP BY doc_id, term",
@@ -71,6 +72,23 @@ _CTE = {
     "bm25": f"""SELECT doc_id AS atom_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * {K1 + 1} / (n + {K1} * (1 - {B} + {B} * dl / avgdl))), 9) AS score
       FROM tf JOIN (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term) USING (term) JOIN (SELECT doc_id, sum(n) AS dl FROM tf GROUP BY doc_id) USING (doc_id)
       CROSS JOIN (SELECT count(*) AS docs, avg(dl) AS avgdl FROM (SELECT doc_id, sum(n) AS dl FROM tf GROUP BY doc_id)) GROUP BY doc_id HAVING count(*) = (SELECT count(*) FROM q)""",
+    "anybm": f"""SELECT doc_id AS atom_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * {K1 + 1} / (n + {K1} * (1 - {B} + {B} * dl / avgdl))), 9) AS score
+      FROM tf JOIN (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term) USING (term) JOIN lens USING (doc_id) CROSS JOIN whole GROUP BY doc_id""",
+    "pos": f"SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS loc FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_TOK}') AS t FROM documents)",
+    "lens": "SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id",
+    "whole": "SELECT count(*) AS docs, avg(dl) AS avgdl FROM lens",
+    "phrases": """SELECT a.doc_id, 0 AS unit, count(*) AS n FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.loc = a.loc + 1 WHERE a.term = 'the' AND b.term = 'and' GROUP BY 1
+      UNION ALL SELECT a.doc_id, 1, count(*) FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.loc = a.loc + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1
+      UNION ALL SELECT doc_id, 2, count(*) FROM pos WHERE starts_with(term, 'tion') GROUP BY 1
+      UNION ALL SELECT doc_id, 3, count(*) FROM (SELECT DISTINCT a.doc_id, a.loc FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.loc BETWEEN a.loc - 4 AND a.loc - 1
+        WHERE (a.term, b.term) IN (('in', 'that'), ('that', 'in'))) GROUP BY 1
+      UNION ALL SELECT a.doc_id, 4, count(*) FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.loc = a.loc + 1 WHERE a.term = 'de' AND b.term = 'de' GROUP BY 1""",
+    "places": """SELECT a.doc_id, 0 AS which, a.loc FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.loc = a.loc + 1 WHERE a.term = 'of' AND b.term = 'the'
+      UNION ALL SELECT doc_id, 1, loc FROM pos WHERE term = 'to' UNION ALL SELECT doc_id, 2, loc FROM pos WHERE starts_with(term, 'i')""",
+    "lasts": "SELECT doc_id, loc, " + ", ".join(f"max(CASE WHEN which = {j} THEN loc END) OVER (PARTITION BY doc_id ORDER BY loc) AS l{j}" for j in range(3)) + " FROM places",
+    "nearby": """SELECT doc_id, 0 AS unit, count(*) AS n FROM lasts WHERE l0 IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL
+        AND loc - (least(l0, l1, l2) + CASE WHEN l0 = least(l0, l1, l2) THEN 2 ELSE 1 END) <= 4 GROUP BY doc_id
+      UNION ALL SELECT doc_id, 1, count(*) FROM pos WHERE term = 'the' AND loc = 0 GROUP BY doc_id""",
     "seeds": "SELECT atom_id FROM bm25 ORDER BY score DESC, atom_id LIMIT 100",
     "h1": "SELECT DISTINCT atom_id FROM edges WHERE tag IN (SELECT tag FROM edges WHERE atom_id IN (SELECT atom_id FROM seeds)) AND atom_id NOT IN (SELECT atom_id FROM seeds)",
     "h2": "SELECT DISTINCT atom_id FROM edges WHERE tag IN (SELECT tag FROM edges WHERE atom_id IN (SELECT atom_id FROM h1)) AND atom_id NOT IN (SELECT atom_id FROM seeds UNION SELECT atom_id FROM h1)",
@@ -90,7 +108,7 @@ _CTE = {
 _NEEDS = {
     "tf": ("tok",), "ktf": ("tf",), "kw": ("ktf",), "edges": ("kw",), "fps": ("tf",), "prints": ("fps",), "pairs": ("edges",), "tagn": ("edges",), "cooc": ("pairs",), "jacc": ("pairs", "tagn"),
     "cls": ("prints",), "close": ("cls",), "ctags": ("edges", "cls"), "fpsyn": ("close", "ctags"), "allsyn": ("cooc", "jacc", "fpsyn"), "rings": ("allsyn",), "qh": ("q",), "qk": ("q",), "planet": ("edges", "qk"),
-    "t1": ("planet",), "moon1": ("t1",), "t2": ("moon1",), "moon2": ("t2",), "t3": ("moon2",), "moon3": ("t3",), "bm25": ("tf", "q"), "seeds": ("bm25",), "h1": ("seeds", "edges"), "h2": ("h1",), "near": ("h2",), "win": ("near",), "wprint": ("win",), "met": ("wprint",), "uni": ("met",),
+    "t1": ("planet",), "moon1": ("t1",), "t2": ("moon1",), "moon2": ("t2",), "t3": ("moon2",), "moon3": ("t3",), "bm25": ("tf", "q"), "anybm": ("tf", "q", "lens", "whole"), "lens": ("tok",), "whole": ("lens",), "phrases": ("pos",), "lasts": ("places",), "places": ("pos",), "nearby": ("lasts",), "seeds": ("bm25",), "h1": ("seeds", "edges"), "h2": ("h1",), "near": ("h2",), "win": ("near",), "wprint": ("win",), "met": ("wprint",), "uni": ("met",),
 }
 
 
@@ -192,6 +210,14 @@ SQL = {
       r AS (SELECT doc_id, term, round(score, 9) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 12) DESC, term) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
     "vocabulary": _with("tf") + "SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS n FROM tf GROUP BY term",
     "synonym_expand": _with("pairs") + "SELECT '#tion' AS term UNION SELECT b FROM pairs WHERE a = '#tion' AND n >= 3 UNION SELECT a FROM pairs WHERE b = '#tion' AND n >= 3",
+    "bm25_any": _with("anybm") + "SELECT * FROM anybm ORDER BY score DESC, atom_id LIMIT 50",
+    "bm25_phrase": _with("phrases", "whole") + f"""SELECT doc_id AS atom_id, round(sum(CASE WHEN unit < 4 THEN {_PART} ELSE 0 END), 9) AS score FROM phrases
+      JOIN (SELECT unit, count(*) AS df FROM phrases GROUP BY unit) USING (unit) JOIN lens USING (doc_id) CROSS JOIN whole GROUP BY doc_id
+      HAVING bool_or(unit IN (0, 1)) AND bool_or(unit IN (2, 3)) AND NOT bool_or(unit = 4) ORDER BY score DESC, atom_id LIMIT 100""",
+    "match_near": _with("nearby", "whole") + f"""SELECT doc_id AS atom_id, round(sum({_PART}), 9) AS score FROM nearby
+      JOIN (SELECT unit, count(*) AS df FROM nearby GROUP BY unit) USING (unit) JOIN lens USING (doc_id) CROSS JOIN whole GROUP BY doc_id""",
+    "chunk_ranges": """SELECT doc_id, substr(text, CAST(floor(length(text) / 3) AS BIGINT) + 1, 150) AS chars, substr(hex(encode(text)), CAST(2 * floor(strlen(text) / 3) AS BIGINT) + 1, 300) AS bytes
+      FROM documents WHERE length(text) > 0""",
     "bm25_topk": _with("bm25") + "SELECT * FROM bm25 ORDER BY score DESC, atom_id LIMIT 50",
     "engine_stats": _with("edges") + "SELECT (SELECT count(*) FROM documents) AS atoms, (SELECT count(DISTINCT source) FROM documents) AS sources, (SELECT count(DISTINCT tag) FROM edges) AS tags",
     "list_sources": "SELECT source AS id, count(*) AS docs FROM documents GROUP BY source",

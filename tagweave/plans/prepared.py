@@ -34,8 +34,8 @@ class Prepared:
 
     @cached_property
     def index(self) -> Index:
-        """Postings by term, and lengths."""
-        return Index.of(self.docs).written()
+        """Blocks of postings by term."""
+        return Index.of(self.docs)
 
     def build(self) -> Prepared:
         """Everything at once."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import fingerprint as fp
 from tagweave.functions import text as tx
+from tagweave.operators import chunks as ch
 from tagweave.operators import graph, keywords, search, synonyms
 from tagweave.operators.index import query_terms
 from tagweave.plans import store
@@ -20,6 +21,8 @@ from tagweave.streaming.watch import windows
 
 #: What the queries ask: a text, a tag, a time, a fingerprint mode that other engines have.
 QUERY, TAG, AS_OF, MODE = "er on th", "#tion", "2024-01-31 00:00:00", "md5"
+#: A boolean query with phrases, a prefix, a distance and what must not be there.
+MATCH = '("the and" OR "of the") (tion* OR NEAR(in that, 3)) NOT "de de"'
 #: A query of stop words alone.
 STOPPED = "the of"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +149,16 @@ def read_range(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", tx.char_range(t, F.lit(5), F.lit(25)).alias("chars"), F.hex(tx.byte_slice(t, 3, 17)).alias("bytes"), tx.snippet(t).alias("snippet"))
 
 
+@query
+def chunk_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """150 characters and 150 bytes from a third of each document on, read from chunks of 64 characters."""
+    docs = _docs(spark, sf).select("doc_id", "text", F.floor(F.length("text") / 3).alias("start"), F.floor(F.octet_length("text") / 3).alias("from"))
+    chunks = ch.cut(docs, "doc_id", "text", 64)
+    chars = ch.char_ranges(docs.select("doc_id", "start", (F.col("start") + 150).alias("end")), chunks, ["doc_id"], 64, "doc_id")
+    held = ch.byte_ranges(docs.select("doc_id", F.col("from").alias("start"), (F.col("from") + 150).alias("end")), chunks, ["doc_id"], 64, "doc_id")
+    return chars.withColumnRenamed("piece", "chars").join(held.select("doc_id", F.hex("piece").alias("bytes")), "doc_id")
+
+
 @query
 def read_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", tx.line_range(F.col("text"), 1, 3).alias("content"))
@@ -244,6 +257,24 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return index_of(spark, sf).index.search(query_terms(spark, QUERY), 50)
 
 
+@query
+def bm25_any(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents that have any of the words."""
+    return index_of(spark, sf).index.search(query_terms(spark, QUERY), 50, any_term=True)
+
+
+@query
+def bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents of a boolean query over positions."""
+    return index_of(spark, sf).index.match(MATCH, 100)
+
+
+@query
+def match_near(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in which two phrases, one with a prefix, are near each other, or that begin with a word."""
+    return index_of(spark, sf).index.match('NEAR("of the" to i*, 4) OR ^the', None)
+
+
 # store
 
 

@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.fingerprint import simhash
 from tagweave.functions.text import STOP_WORDS, atoms, cleaned, hashtags, transient
-from tagweave.operators.index import Index
-from tagweave.operators.keywords import keywords, term_counts
+from tagweave.operators import chunks as ch
+from tagweave.operators import index
+from tagweave.operators.index import BLOCKS, Index, packed, postings, totals, unblocked, weighed
+from tagweave.operators.keywords import keywords
 from tagweave.plans.scratch import discard, hadoop_path, materialize, read_text
 
-SOURCES = "id string, path string, bucket string, created_at timestamp, updated_at timestamp, metadata string, content string"
+SOURCES = "id string, path string, bucket string, created_at timestamp, updated_at timestamp, metadata string"
 ATOMS = "atom_id long, source_id string, source_path string, seq long, char_start long, char_end long, ts timestamp, simhash long, metadata string"
 TAGS = "atom_id long, tag string, bucket string, source_id string"
-POSTINGS = "term string, atom_id long, n long, source_id string"
-TABLES = {"sources": SOURCES, "atoms": ATOMS, "tags": TAGS, "postings": POSTINGS}
+TABLES = {"sources": SOURCES, "atoms": ATOMS, "tags": TAGS, "chunks": ch.CHUNKS, "postings": BLOCKS}
+#: What the rows of a part are in order of, so that a filter on it leaves out most of a file.
+ORDER = {"postings": index.ORDER, "tags": {"tag": True}, "chunks": {"source_id": True, "seq": True}}
 #: Parts of each table, by the hash of the source, of a store that isn't told another number: a change rewrites the parts
 #: that it removes rows from, and no others.
 PARTS = 32
@@ -52,7 +55,7 @@ def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def ingested(docs: DataFrame, options: IngestOptions = IngestOptions()) -> dict[str, DataFrame]:
-    """sources, atoms and tags of (id, path, bucket, ts, content) rows: cleaned, cut, fingerprinted and tagged.
+    """sources, chunks, atoms, tags and postings of (id, path, bucket, ts, content) rows: cleaned, cut, fingerprinted and tagged.
 
     Atom ids are hashes of source and position: the same content gets the same ids on every run. Of rows that repeat an
     id the newest counts. The cut text is written once and read for fingerprints, keywords and offsets.
@@ -63,7 +66,7 @@ def ingested(docs: DataFrame, options: IngestOptions = IngestOptions()) -> dict[
     if options.drop_transient:
         rows = rows.filter(~transient(F.col("content"))["is_transient"])
     rows = materialize(rows)
-    sources = rows.select("id", "path", "bucket", F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), F.lit(None).cast("string").alias("metadata"), "content")
+    sources = rows.select("id", "path", "bucket", F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), F.lit(None).cast("string").alias("metadata"))
     cut = materialize(atoms(rows, "id", "content").withColumn("atom_id", F.xxhash64("id", "seq")))
     prints = simhash(cut, "atom_id", "content", options.hash_mode)
     named = cut.join(rows.select("id", "path", "bucket", "ts"), "id")
@@ -74,8 +77,9 @@ def ingested(docs: DataFrame, options: IngestOptions = IngestOptions()) -> dict[
         tags = every.join(named.select("atom_id", "bucket", F.col("id").alias("source_id")), "atom_id").select("atom_id", "tag", "bucket", "source_id")
     else:
         tags = docs.sparkSession.createDataFrame([], TAGS)
-    postings = term_counts(cut, "atom_id", "content").join(cut.select("atom_id", F.col("id").alias("source_id")), "atom_id").select("term", "atom_id", "n", "source_id")
-    return {"sources": sources, "atoms": found, "tags": tags, "postings": postings}
+    owners = cut.select("atom_id", F.col("id").alias("source_id"))
+    pieces = ch.cut(rows).withColumnRenamed("id", "source_id")
+    return {"sources": sources, "chunks": pieces, "atoms": found, "tags": tags, "postings": postings(cut, "atom_id", "content").join(owners, "atom_id")}
 
 
 _locks: dict[str, threading.RLock] = {}
@@ -92,8 +96,8 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, parts: int = PARTS) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self.lock = _locks.setdefault(self.path, threading.RLock())  # changes by one driver wait for each other
-        held = json.loads(read_text(spark, f"{self.path}/commits/{commits[-1]}")) if (commits := self._commits()) else {}
-        self.parts = held.get("parts", parts)
+        self.parts = self._held().get("parts", parts)
+        self.fresh: dict[str, list[int]] = {}  # texts and tokens of the posting folders that the next commit may name
 
     def part_of(self, source_id: Column) -> Column:
         return F.pmod(F.xxhash64(source_id), F.lit(self.parts)).cast("int")
@@ -105,6 +109,11 @@ class Store:
     def _commits(self) -> list[str]:
         return [n for n in self._names(f"{self.path}/commits") if n.endswith(".json")]
 
+    def _held(self) -> dict:
+        """The newest commit; empty before the first."""
+        commits = self._commits()
+        return json.loads(read_text(self.spark, f"{self.path}/commits/{commits[-1]}")) if commits else {}
+
     def _read(self, commit: str) -> dict[str, dict[str, list[str]]]:
         return json.loads(read_text(self.spark, f"{self.path}/commits/{commit}"))["tables"]
 
@@ -115,9 +124,11 @@ class Store:
 
     def _commit(self, number: int, state: dict[str, dict[str, list[str]]]) -> None:
         there, fs = hadoop_path(self.spark, f"{self.path}/commits/{number:012d}.json")
+        counted, folders = {**self._held().get("totals", {}), **self.fresh}, {f for fs in state.get("postings", {}).values() for f in fs}
         stream = fs.create(there, False)  # an error if another writer was first
-        stream.write(bytearray(json.dumps({"parts": self.parts, "tables": state}).encode()))
+        stream.write(bytearray(json.dumps({"parts": self.parts, "tables": state, "totals": {f: n for f, n in counted.items() if f in folders}}).encode()))
         stream.close()
+        self.fresh = {}
         commits = self._commits()
         old, kept = commits[:-KEPT], commits[-KEPT:]
         if not old:
@@ -128,17 +139,26 @@ class Store:
             fs.delete(gone, True)
 
     def _written(self, name: str, rows: DataFrame) -> dict[str, list[str]]:
-        """Writes rows of one table by part; the folder of each part."""
-        columns = [c.split()[0] for c in TABLES[name].split(", ")]
+        """Writes rows of one table by part; the folder of each part. Postings come as rows with their sources and become blocks."""
         key = F.col("id" if name == "sources" else "source_id")
-        folder = f"{name}/{uuid.uuid4().hex}"
-        order = ["part", *{"postings": ["term"], "tags": ["tag"]}.get(name, [])]
-        dealt = rows.select(*columns, self.part_of(key).alias("part")).hint("rebalance", "part")  # large parts are split
-        dealt.sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{self.path}/{folder}")
+        folder, counted = f"{name}/{uuid.uuid4().hex}", None
+        rows = rows.withColumn("part", self.part_of(key))
+        if name == "postings":
+            rows = materialize(rows)
+            counted = {str(p): [n, t] for p, n, t in totals(rows, "part").collect()}  # self.parts at most
+            n, held = (sum(x) for x in zip(*counted.values(), strict=True)) if counted else (0, 0)
+            rows = weighed(rows, held / n if n else 1.0).drop("source_id")
+        else:
+            rows = rows.select(*self.spark.createDataFrame([], TABLES[name]).columns, "part")
+        order = {"part": True} | ORDER.get(name, {})
+        dealt = rows.hint("rebalance", "part").sortWithinPartitions(*order, ascending=[*order.values()])  # large parts are split
+        (packed(dealt, "part") if name == "postings" else dealt).write.partitionBy("part").parquet(f"{self.path}/{folder}")
         made = {n[5:]: [f"{folder}/{n}"] for n in self._names(f"{self.path}/{folder}") if n.startswith("part=")}
         if not made:
             there, fs = hadoop_path(self.spark, f"{self.path}/{folder}")
             fs.delete(there, True)
+        if counted is not None:
+            self.fresh |= {made[p][0]: n for p, n in counted.items()}
         return made
 
     def _opened(self, name: str, state: dict, parts: list[str] | None = None) -> DataFrame:
@@ -152,9 +172,25 @@ class Store:
         return self._opened(name, self._state()[1])
 
     def index(self) -> Index:
-        """The inverted index, kept with the atoms."""
-        postings = self.table("postings").select("term", "atom_id", "n")
-        return Index(postings, postings.groupBy("atom_id").agg(F.sum("n").alias("dl")))
+        """The inverted index, kept with the atoms; how many atoms and tokens there are stands in the commit."""
+        held = self._held()
+        named = list(held.get("totals", {}).values())
+        blocks = self._opened("postings", held.get("tables", {"postings": {}}))
+        return Index(blocks, sum(n for n, _ in named), sum(t for _, t in named))
+
+    def chunks(self, ids: list[str] | None = None) -> DataFrame:
+        """The chunks of all sources, or of some, for which only their parts are opened and their rows are read."""
+        state = self._state()[1]
+        if ids is None:
+            return self._opened("chunks", state)
+        rows = self.spark.createDataFrame([(i,) for i in ids], "id string").select(self.part_of(F.col("id")).cast("string")).distinct()
+        return self._opened("chunks", state, [r[0] for r in rows.collect()]).filter(F.col("source_id").isin(ids))
+
+    def contents(self, ids: list[str] | None = None) -> DataFrame:
+        """sources with their whole content."""
+        sources = self.table("sources") if ids is None else self.table("sources").filter(F.col("id").isin(ids))
+        text = ch.whole(self.chunks(ids)).withColumnRenamed("source_id", "id")
+        return sources.join(text, "id", "left").withColumn("content", F.coalesce("content", F.lit("")))
 
     def _change(self, new: dict[str, DataFrame], gone: DataFrame | None = None, key: str = "source_id") -> None:
         """One commit: rows whose `key` is in gone (key, part) leave all tables that have it, new rows come."""
@@ -166,12 +202,15 @@ class Store:
         state = {n: dict(state.get(n, {})) for n in TABLES}
         parts = [str(r[0]) for r in gone.select("part").distinct().collect()] if gone is not None else []  # self.parts at most
         touched = {n: set(parts) for n in TABLES}
-        fresh = {n: self._written(n, rows) for n, rows in new.items()}
+        fresh, before = {n: self._written(n, rows) for n, rows in new.items()}, dict(state["atoms"])
         for n, by_part in fresh.items():
             touched[n] |= {p for p in by_part if len(state[n].get(p, ())) >= FOLDERS}
         for n in TABLES:
             if touched[n]:
                 rows, own = self._opened(n, state, list(touched[n])), "id" if n == "sources" and key == "source_id" else key
+                if n == "postings":  # their sources stand with their atoms
+                    owners = self._opened("atoms", {"atoms": before}, list(touched[n])).select("atom_id", "source_id")
+                    rows = unblocked(rows).join(owners, "atom_id")
                 if gone is not None and own in rows.columns:
                     rows = rows.join(gone.select(F.col(key).alias(own)).distinct(), own, "left_anti")
                 kept = self._written(n, rows)
@@ -216,16 +255,17 @@ class Store:
 
     def rebuild_index(self) -> None:
         """Postings anew from the sources' content, in one commit."""
-        number, state = self._state()
-        text = self.table("sources").select(F.col("id").alias("source_id"), "content")
-        rows = self.table("atoms").join(text, "source_id").select("atom_id", "source_id", F.substring("content", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("content"))
-        postings = term_counts(rows, "atom_id", "content").join(rows.select("atom_id", "source_id"), "atom_id").select("term", "atom_id", "n", "source_id")
-        self._commit(number + 1, state | {"postings": self._written("postings", postings)})
+        with self.lock:
+            number, state = self._state()
+            rows = self.table("atoms").select("atom_id", "source_id", F.col("char_start").alias("start"), F.col("char_end").alias("end"))
+            text = ch.char_ranges(rows, self.chunks(), ["atom_id", "source_id"])
+            made = postings(text, "atom_id", "piece").join(text.select("atom_id", "source_id"), "atom_id")
+            self._commit(number + 1, state | {"postings": self._written("postings", made)})
 
     def wipe(self) -> None:
-        """Empties all tables."""
-        there, fs = hadoop_path(self.spark, self.path)
-        fs.delete(there, True)
+        """Empties all tables by one commit: who reads the one before goes on reading it."""
+        with self.lock:
+            self._commit(self._state()[0] + 1, {n: {} for n in TABLES})
 
     def is_empty(self) -> bool:
         return self.table("atoms").isEmpty()

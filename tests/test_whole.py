@@ -60,8 +60,8 @@ def test_engine_sinks(engine, tmp_path):
     engine.use_synonyms(rings)
     assert engine.search("performance", as_of=THEN).filter("kind = 'planet'").count() == 2
     engine.ring = None
-    files.cleaned_copies(engine.store.table("sources"), f"file://{tmp_path}/clean")
-    files.mirrored(engine.store.table("sources"), "inline:", f"file://{tmp_path}/mirror")
+    files.cleaned_copies(engine.store.contents(), f"file://{tmp_path}/clean")
+    files.mirrored(engine.store.contents(), "inline:", f"file://{tmp_path}/mirror")
     assert len(list((tmp_path / "clean").glob("name=*.md/*.txt"))) == 3
 
 
