@@ -98,7 +98,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n_bytes, n_shingles, d1, d2, bands, signature) of (doc_id, text) rows; d1 and d2: digest of the shingle set.
 
-    signature holds the lowest byte of each coordinate. Texts without shingles have nulls.
+    signature holds the lowest four bits of each coordinate. Texts without shingles have nulls.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
 
@@ -109,7 +109,7 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             full = [k for k, s in enumerate(sets) if len(s)]
             sig = signatures([sets[k] for k in full], bands * rows)
             keys = band_keys(sig, bands, rows).tolist()
-            low = sig.astype(np.uint8)
+            low = halves(sig)
             none: list = [None] * len(sets)
             columns = [list(none) for _ in range(4)]
             for at, k in enumerate(full):
@@ -122,6 +122,12 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return map_rows(docs, run, "doc_id long, n_bytes long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary")
 
 
+def halves(sig: np.ndarray) -> np.ndarray:
+    """The lowest four bits of each coordinate, two in a byte; an odd number of coordinates gets one that is 0."""
+    low = (np.pad(sig, ((0, 0), (0, sig.shape[1] % 2))) & 15).astype(np.uint8)
+    return low[:, ::2] | low[:, 1::2] << 4
+
+
 def _merge(labels: np.ndarray, into: int, others: np.ndarray) -> None:
     labels[np.isin(labels, others)] = into
 
@@ -182,7 +188,9 @@ def _segments(t: pa.Table, by: tuple[str, ...]) -> Iterator[np.ndarray]:
 
 
 def _signatures(t: pa.Table) -> np.ndarray:
-    return np.array([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("signature")])
+    """A row of four-bit coordinates for each signature; their order is of no matter."""
+    both = np.array([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("signature")])
+    return np.hstack([both & 15, both >> 4]) if len(both) else both
 
 
 def _pairs(rep: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
@@ -240,7 +248,7 @@ def _searched(rows: DataFrame, group: str, units: int, most: int, filled, test,
     large = table_of(rows.filter("blocks > 1"), scrap)
     if large.isEmpty():
         return now
-    before = math.inf
+    before = large.count()  # a step that would deal the same rows again is left out
     while True:
         lead = _labelled(large, now).groupBy(group, "comp").agg(F.min("rep").alias("rep"))
         several = lead.groupBy(group).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
