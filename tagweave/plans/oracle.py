@@ -216,6 +216,10 @@ SQL = {
       HAVING bool_or(unit IN (0, 1)) AND bool_or(unit IN (2, 3)) AND NOT bool_or(unit = 4) ORDER BY score DESC, atom_id LIMIT 100""",
     "match_near": _with("nearby", "whole") + f"""SELECT doc_id AS atom_id, round(sum({_PART}), 9) AS score FROM nearby
       JOIN (SELECT unit, count(*) AS df FROM nearby GROUP BY unit) USING (unit) JOIN lens USING (doc_id) CROSS JOIN whole GROUP BY doc_id""",
+    "contained_docs": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), c AS (SELECT text, min(doc_id) AS class_id, count(*) AS members FROM d GROUP BY text),
+      p AS (SELECT a.class_id, b.class_id AS container, strlen(b.text) AS n FROM c a JOIN c b ON strlen(b.text) > strlen(a.text) AND contains(b.text, a.text) WHERE strlen(a.text) >= 31),
+      l AS (SELECT class_id, container FROM p QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY n DESC, container) = 1)
+      SELECT doc_id, c.class_id, members, container FROM d JOIN c USING (text) LEFT JOIN l ON c.class_id = l.class_id""",
     "chunk_ranges": """SELECT doc_id, substr(text, CAST(floor(length(text) / 3) AS BIGINT) + 1, 150) AS chars, substr(hex(encode(text)), CAST(2 * floor(strlen(text) / 3) AS BIGINT) + 1, 300) AS bytes
       FROM documents WHERE length(text) > 0""",
     "bm25_topk": _with("bm25") + "SELECT * FROM bm25 ORDER BY score DESC, atom_id LIMIT 50",

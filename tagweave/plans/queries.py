@@ -12,6 +12,7 @@ from tagweave.functions import fingerprint as fp
 from tagweave.functions import text as tx
 from tagweave.operators import chunks as ch
 from tagweave.operators import graph, keywords, search, synonyms
+from tagweave.operators.containment import containment
 from tagweave.operators.index import query_terms
 from tagweave.plans import store
 from tagweave.plans.prepared import Prepared, prepared
@@ -218,6 +219,12 @@ def prefix_classes(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(per, "prefix").select("doc_id", "first_id", "n")
 
 
+@query
+def contained_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by equal texts, and the longest document that each lies in: the containment layer over the whole corpus."""
+    return containment(_docs(spark, sf))
+
+
 # keywords, tags, index
 
 
