@@ -175,30 +175,49 @@ def hamming_pairs(prints: DataFrame, most: int = 5, blocks: int | None = None, i
         blocks = most + 1
         while blocks < most + 4 and n > 1 << (64 * (blocks - most) // blocks + 3):
             blocks += 1
+    keyed = hamming_keys(reps, most, blocks)
+    a = keyed.select(F.col("id").alias("a"), F.col("h").alias("ha"), "choice", "key")
+    b = keyed.select(F.col("id").alias("b"), F.col("h").alias("hb"), "choice", "key")
+    met = first_met(a.join(b, ["choice", "key"]).filter("a < b"), most, blocks)
+    return met.select("a", "b", hamming(F.col("ha"), F.col("hb")).cast("long").alias("distance"))
+
+
+def _parts(h: Column, blocks: int) -> tuple[list[Column], list[int]]:
+    """The blocks of a fingerprint, and the bits of each."""
     size = [64 // blocks + (k < 64 % blocks) for k in range(blocks)]
-    low = [sum(size[:k]) for k in range(blocks)]
-    part = [F.shiftrightunsigned("h", low[k]).bitwiseAND((1 << size[k]) - 1) for k in range(blocks)]
+    return [F.shiftrightunsigned(h, sum(size[:k])).bitwiseAND((1 << size[k]) - 1) for k in range(blocks)], size
+
+
+def hamming_keys(rows: DataFrame, most: int, blocks: int) -> DataFrame:
+    """rows with a fingerprint h, once for each choice of blocks - most blocks: choice, their set as bits, and key, their value.
+
+    Two fingerprints that differ in at most `most` bits have a key in common.
+    """
+    part, size = _parts(F.col("h"), blocks)
     choices = list(itertools.combinations(range(blocks), blocks - most))
     assert len(choices) == math.comb(blocks, most)
 
     def key(c: tuple[int, ...]) -> Column:
-        """The choice as a set of bits, the bits up to its last part, and the value of its parts."""
         value, at = F.lit(0).cast("long"), 0
         for k in c:
             value, at = value.bitwiseOR(F.shiftleft(part[k], at)), at + size[k]
-        return F.struct(F.lit(sum(1 << k for k in c)).alias("choice"), F.lit((2 << c[-1]) - 1).alias("upto"), value.alias("key"))
+        return F.struct(F.lit(sum(1 << k for k in c)).alias("choice"), value.alias("key"))
 
-    keyed = reps.select("id", "h", F.explode(F.array(*map(key, choices))).alias("k")).select("id", "h", "k.*")
-    a = keyed.select(F.col("id").alias("a"), F.col("h").alias("ha"), "choice", "upto", "key")
-    b = keyed.select(F.col("id").alias("b"), F.col("h").alias("hb"), "choice", "key")
-    met = a.join(b, ["choice", "key"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= most))
-    # a pair meets at every choice of parts that it agrees in; it counts at the first, which has no such part before its last
-    apart = F.col("ha").bitwiseXOR(F.col("hb"))
+    return rows.select("*", F.explode(F.array(*map(key, choices))).alias("k")).select(*rows.columns, "k.*")
+
+
+def first_met(pairs: DataFrame, most: int, blocks: int) -> DataFrame:
+    """Of (ha, hb, choice, ...) rows those within `most` bits, each pair once.
+
+    A pair meets at every choice of blocks that it agrees in; it counts at the first, which has no such block before its
+    last.
+    """
+    part, _ = _parts(F.col("ha").bitwiseXOR(F.col("hb")), blocks)
     agrees = F.lit(0)
     for k in range(blocks):
-        agrees = agrees.bitwiseOR(F.when(F.shiftrightunsigned(apart, low[k]).bitwiseAND((1 << size[k]) - 1) == 0, 1 << k).otherwise(0))
-    first = met.filter(agrees.bitwiseAND(F.col("upto")) == F.col("choice"))
-    return first.select("a", "b", hamming(F.col("ha"), F.col("hb")).cast("long").alias("distance"))
+        agrees = agrees.bitwiseOR(F.when(part[k] == 0, 1 << k).otherwise(0))
+    last = F.expr("shiftleft(2, 31 - length(substring_index(lpad(bin(choice), 32, '0'), '1', 1))) - 1")  # all bits up to the highest
+    return pairs.filter((hamming(F.col("ha"), F.col("hb")) <= most) & (agrees.bitwiseAND(last) == F.col("choice")))
 
 
 #: Queries, and candidates, that meet in one task.

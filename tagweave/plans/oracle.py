@@ -220,6 +220,9 @@ SQL = {
       p AS (SELECT a.class_id, b.class_id AS container, strlen(b.text) AS n FROM c a JOIN c b ON strlen(b.text) > strlen(a.text) AND contains(b.text, a.text) WHERE strlen(a.text) >= 31),
       l AS (SELECT class_id, container FROM p QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY n DESC, container) = 1)
       SELECT doc_id, c.class_id, members, container FROM d JOIN c USING (text) LEFT JOIN l ON c.class_id = l.class_id""",
+    "near_classes": _with("close").replace("WITH ", "WITH RECURSIVE ", 1) + """, u AS (SELECT a AS x, b AS y FROM close UNION SELECT b, a FROM close),
+      r(node, reach) AS (SELECT rep, rep FROM cls UNION SELECT r.node, u.y FROM r JOIN u ON r.reach = u.x)
+      SELECT p.doc_id AS atom_id, min(r.reach) AS class_id FROM prints p JOIN cls USING (simhash) JOIN r ON r.node = cls.rep GROUP BY p.doc_id""",
     "chunk_ranges": """SELECT doc_id, substr(text, CAST(floor(length(text) / 3) AS BIGINT) + 1, 150) AS chars, substr(hex(encode(text)), CAST(2 * floor(strlen(text) / 3) AS BIGINT) + 1, 300) AS bytes
       FROM documents WHERE length(text) > 0""",
     "bm25_topk": _with("bm25") + "SELECT * FROM bm25 ORDER BY score DESC, atom_id LIMIT 50",

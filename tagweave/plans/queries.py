@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from tagweave.functions import fingerprint as fp
 from tagweave.functions import text as tx
 from tagweave.operators import chunks as ch
-from tagweave.operators import graph, keywords, search, synonyms
+from tagweave.operators import graph, keywords, near, search, synonyms
 from tagweave.operators.containment import containment
 from tagweave.operators.index import query_terms
 from tagweave.plans import store
 from tagweave.plans.prepared import Prepared, prepared
-from tagweave.plans.scratch import spread
+from tagweave.plans.scratch import materialize, spread
 from tagweave.sources import files
 from tagweave.streaming.watch import windows
 
@@ -198,6 +198,19 @@ def fingerprint_classes(spark: SparkSession, sf: str) -> DataFrame:
     return fp.fingerprint_classes(_prints(spark, sf))
 
 
+@query
+def near_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of near fingerprints of documents that come in ten batches, each compared with what is there."""
+    prints = _prints(spark, sf).select(F.col("doc_id").alias("atom_id"), "simhash")
+    keys, found = spark.createDataFrame([], near.KEYS), spark.createDataFrame([], near.LINKS)
+    for batch in range(10):
+        rows = prints.filter(F.pmod("atom_id", F.lit(10)) == batch).select(F.col("simhash").alias("h"))
+        new = materialize(near.keyed(near.fresh(rows, keys)))
+        found = found.unionByName(materialize(near.links(new, keys)))
+        keys = keys.unionByName(new)
+    return near.classes(prints, found)
+
+
 @query
 def similarity_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 nearest documents of every twentieth one."""

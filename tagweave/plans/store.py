@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tagweave.functions.fingerprint import simhash
 from tagweave.functions.text import STOP_WORDS, atoms, cleaned, hashtags, transient
 from tagweave.operators import chunks as ch
-from tagweave.operators import index
+from tagweave.operators import index, near
 from tagweave.operators.index import BLOCKS, Index, packed, postings, totals, unblocked, weighed
 from tagweave.operators.keywords import keywords
 from tagweave.plans.scratch import discard, hadoop_path, materialize, read_text
@@ -22,9 +22,11 @@ from tagweave.plans.scratch import discard, hadoop_path, materialize, read_text
 SOURCES = "id string, path string, bucket string, created_at timestamp, updated_at timestamp, metadata string"
 ATOMS = "atom_id long, source_id string, source_path string, seq long, char_start long, char_end long, ts timestamp, simhash long, metadata string"
 TAGS = "atom_id long, tag string, bucket string, source_id string"
-TABLES = {"sources": SOURCES, "atoms": ATOMS, "tags": TAGS, "chunks": ch.CHUNKS, "postings": BLOCKS}
+TABLES = {"sources": SOURCES, "atoms": ATOMS, "tags": TAGS, "chunks": ch.CHUNKS, "postings": BLOCKS, "keys": near.KEYS, "links": near.LINKS}
+#: What deals the rows of a table to parts, where it isn't their source.
+DEALT = {"sources": "id", "keys": "key", "links": "a"}
 #: What the rows of a part are in order of, so that a filter on it leaves out most of a file.
-ORDER = {"postings": index.ORDER, "tags": {"tag": True}, "chunks": {"source_id": True, "seq": True}}
+ORDER = {"postings": index.ORDER, "tags": {"tag": True}, "chunks": {"source_id": True, "seq": True}, "keys": {"choice": True, "key": True}}
 #: Parts of each table, by the hash of the source, of a store that isn't told another number: a change rewrites the parts
 #: that it removes rows from, and no others.
 PARTS = 32
@@ -140,7 +142,7 @@ class Store:
 
     def _written(self, name: str, rows: DataFrame) -> dict[str, list[str]]:
         """Writes rows of one table by part; the folder of each part. Postings come as rows with their sources and become blocks."""
-        key = F.col("id" if name == "sources" else "source_id")
+        key = F.col(DEALT.get(name, "source_id")).cast("string")
         folder, counted = f"{name}/{uuid.uuid4().hex}", None
         rows = rows.withColumn("part", self.part_of(key))
         if name == "postings":
@@ -178,6 +180,10 @@ class Store:
         blocks = self._opened("postings", held.get("tables", {"postings": {}}))
         return Index(blocks, sum(n for n, _ in named), sum(t for _, t in named))
 
+    def near_classes(self) -> DataFrame:
+        """(atom_id, class_id): atoms whose fingerprints are linked have one class, its smallest atom."""
+        return near.classes(self.table("atoms").select("atom_id", "simhash"), self.table("links"))
+
     def chunks(self, ids: list[str] | None = None) -> DataFrame:
         """The chunks of all sources, or of some, for which only their parts are opened and their rows are read."""
         state = self._state()[1]
@@ -201,7 +207,7 @@ class Store:
         number, state = self._state()
         state = {n: dict(state.get(n, {})) for n in TABLES}
         parts = [str(r[0]) for r in gone.select("part").distinct().collect()] if gone is not None else []  # self.parts at most
-        touched = {n: set(parts) for n in TABLES}
+        touched = {n: set() if n in ("keys", "links") else set(parts) for n in TABLES}  # fingerprints stay known
         fresh, before = {n: self._written(n, rows) for n, rows in new.items()}, dict(state["atoms"])
         for n, by_part in fresh.items():
             touched[n] |= {p for p in by_part if len(state[n].get(p, ())) >= FOLDERS}
@@ -222,15 +228,19 @@ class Store:
     def ingest(self, docs: DataFrame, options: IngestOptions = IngestOptions()) -> dict[str, int]:
         """Adds (id, path, bucket, ts, content) rows; a source that is there already is replaced with its atoms and tags.
 
-        Returns the numbers of sources, atoms, tags and postings of these documents.
+        New fingerprints are linked to near ones, in the store and among themselves. Returns the numbers of sources, chunks,
+        atoms, tags and postings of these documents.
         """
         new = {k: materialize(v) for k, v in ingested(docs, options).items()}
+        counts = {k: v.count() for k, v in new.items()}
         ids = docs.select(F.col("id").alias("source_id")).distinct()
         with self.lock:
             here = self.table("sources").select(F.col("id").alias("source_id"))
             gone = materialize(here.join(ids, "source_id", "left_semi").withColumn("part", self.part_of(F.col("source_id"))))
+            keys = self.table("keys")
+            new["keys"] = materialize(near.keyed(near.fresh(new["atoms"].select(F.col("simhash").alias("h")), keys)))
+            new["links"] = materialize(near.links(new["keys"], keys))
             self._change(new, None if gone.isEmpty() else gone)
-        counts = {k: v.count() for k, v in new.items()}
         discard(gone, *new.values())
         return counts
 
