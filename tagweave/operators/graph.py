@@ -2,30 +2,66 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.fingerprint import damping, simhash_bytes
 from tagweave.functions.text import words
-from tagweave.plans.scratch import materialize, spread
+from tagweave.plans.scratch import materialize, scratch, spread
 
 
-def neighbours(frontier: DataFrame, edges: DataFrame, most_degree: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Edges:
+    """(atom_id, tag) in two forms: dealt by tag and dealt by atom, so that either side of a hop finds its own."""
+
+    by_tag: DataFrame
+    by_atom: DataFrame
+
+
+def sides(edges: DataFrame | Edges) -> Edges:
+    return edges if isinstance(edges, Edges) else Edges(edges, edges)
+
+
+#: Edges of a bucket, about.
+BUCKET = 1 << 22
+
+
+def bucketed(edges: DataFrame) -> Edges:
+    """The edges as two tables in the scratch folder, in buckets by tag and by atom.
+
+    A join on the one or the other then deals its other side alone, the frontier of a walk, and no edge. There are as
+    many buckets as a shuffle has parts at least, or Spark would deal the edges anew, and more for large tables.
+    """
+    spark = edges.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 14, edges.count() // BUCKET))
+    made = []
+    for key in ("tag", "atom_id"):
+        name = f"tagweave_{uuid.uuid4().hex}"
+        rows = edges.select("atom_id", "tag").repartition(n, key)  # one file a bucket
+        rows.write.bucketBy(n, key).sortBy(key).option("path", scratch(spark)).saveAsTable(name)
+        made.append(spark.table(name))
+    return Edges(*made)
+
+
+def neighbours(frontier: DataFrame, edges: DataFrame | Edges, most_degree: int | None = None) -> DataFrame:
     """(atom_id): atoms that share a tag with the frontier, itself included.
 
     The frontier's distinct tags stand between the two joins, so that a tag's atoms are listed once and not once for
     each atom that leads to it. most_degree leaves out tags with more atoms; none by default.
     """
-    tags = edges.join(frontier.select("atom_id"), "atom_id", "left_semi").select("tag").distinct()
+    edges = sides(edges)
+    tags = edges.by_atom.join(frontier.select("atom_id"), "atom_id", "left_semi").select("tag").distinct()
     if most_degree:
-        small = edges.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most_degree)
+        small = edges.by_tag.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most_degree)
         tags = tags.join(small, "tag", "left_semi")
-    return edges.join(tags, "tag", "left_semi").select("atom_id").distinct()
+    return edges.by_tag.join(tags, "tag", "left_semi").select("atom_id").distinct()
 
 
-def walk(seeds: DataFrame, edges: DataFrame, depth: int, most: int | None = None, most_degree: int | None = None) -> DataFrame:
+def walk(seeds: DataFrame, edges: DataFrame | Edges, depth: int, most: int | None = None, most_degree: int | None = None) -> DataFrame:
     """(atom_id, hop): breadth-first distances of at most `depth` from the seeds, which have hop 0.
 
     Each hop is written to the shared scratch folder: lineage stays short and a lost executor repeats one hop at most.
@@ -46,12 +82,12 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int, most: int | None = None
     return seen
 
 
-def illuminate(seeds: DataFrame, edges: DataFrame, depth: int = 2, max_nodes: int = 50, gamma: float = 0.85, mode: str = "compound") -> DataFrame:
+def illuminate(seeds: DataFrame, edges: DataFrame | Edges, depth: int = 2, max_nodes: int = 50, gamma: float = 0.85, mode: str = "compound") -> DataFrame:
     """(atom_id, hop_distance, gravity_score): the first max_nodes atoms around the seeds by hop and id."""
     return illuminated(seeds, edges, depth, max_nodes, gamma, mode)["nodes"]
 
 
-def illuminated(seeds: DataFrame, edges: DataFrame, depth: int = 2, max_nodes: int = 50, gamma: float = 0.85, mode: str = "compound") -> dict[str, DataFrame]:
+def illuminated(seeds: DataFrame, edges: DataFrame | Edges, depth: int = 2, max_nodes: int = 50, gamma: float = 0.85, mode: str = "compound") -> dict[str, DataFrame]:
     """nodes as `illuminate` has them, and summary: (total, nodes_explored, deepest), with the atoms that the walk met.
 
     The walk ends with the hop that brings max_nodes atoms together.
@@ -72,7 +108,7 @@ def first_of_class(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFra
 
 
 def distill(
-    seeds: DataFrame, edges: DataFrame, atoms: DataFrame, radius: int = 2, max_atoms: int = 1000, gamma: float = 0.85, hash_mode: str = "xxhash64", content: Callable[[DataFrame], DataFrame] | None = None
+    seeds: DataFrame, edges: DataFrame | Edges, atoms: DataFrame, radius: int = 2, max_atoms: int = 1000, gamma: float = 0.85, hash_mode: str = "xxhash64", content: Callable[[DataFrame], DataFrame] | None = None
 ) -> dict[str, DataFrame]:
     """Blocks around the seeds, without duplicates, gathered into one record for each source.
 

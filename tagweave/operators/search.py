@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.fingerprint import gravity, hamming
 from tagweave.functions.text import STOP_WORDS, tag, tokens
+from tagweave.operators.graph import Edges, sides
 from tagweave.operators.keywords import expanded
 from tagweave.plans.scratch import materialize
 
@@ -60,7 +61,7 @@ def query_tags(spark: SparkSession, query: str, k: int = 20, least: float = 0.2)
 
 
 def scored(
-    atoms: DataFrame, edges: DataFrame, query_tags: list[str], query_hash: int, as_of: Column, config: SearchConfig, synonyms: DataFrame | None = None, planets: DataFrame | None = None, with_path: bool = False
+    atoms: DataFrame, edges: DataFrame | Edges, query_tags: list[str], query_hash: int, as_of: Column, config: SearchConfig, synonyms: DataFrame | None = None, planets: DataFrame | None = None, with_path: bool = False
 ) -> DataFrame:
     """(atom_id, kind, hop, shared_tags, relevance): planets (hop 0) and moons (hops 1 to config.hops) with their gravity.
 
@@ -70,7 +71,7 @@ def scored(
     next reads it. planets: (atom_id, shared_tags) of a query that has no tags, found by its text. with_path adds path,
     the tags that lead from the query to the atom, the least of them by order where several do.
     """
-    spark = atoms.sparkSession
+    spark, edges = atoms.sparkSession, sides(edges)
     tags = spark.createDataFrame([(t,) for t in query_tags], "term string")
     if synonyms is not None:
         tags = materialize(expanded(tags, synonyms))
@@ -83,12 +84,12 @@ def scored(
         if hop == 0 and planets is not None:
             new = planets.select("atom_id", "shared_tags", *([F.array().cast("array<string>").alias("path")] if with_path else []))
         else:
-            met = edges.filter(F.col("tag").isin(query_tags)) if hop == 0 and synonyms is None and not with_path else edges.join(step, "tag")
+            met = edges.by_tag.filter(F.col("tag").isin(query_tags)) if hop == 0 and synonyms is None and not with_path else edges.by_tag.join(step, "tag")
             new = met.groupBy("atom_id").agg(F.count(F.lit(1)).alias("shared_tags"), *path)
         new = (new if found is None else new.join(found, "atom_id", "left_anti")).withColumn("hop", F.lit(hop).cast("long"))
         if hop < config.hops:
             new = materialize(new)
-            reached = edges.join(new.select("atom_id", *(["path"] if with_path else [])), "atom_id").join(used, "tag", "left_anti")
+            reached = edges.by_atom.join(new.select("atom_id", *(["path"] if with_path else [])), "atom_id").join(used, "tag", "left_anti")
             step = reached.groupBy("tag").agg(F.min(F.array_append("path", F.col("tag"))).alias("path")) if with_path else reached.select("tag").distinct()
             step = materialize(step)
             used = used.unionByName(step.select("tag"))

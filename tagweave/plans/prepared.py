@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.functions import fingerprint as fp
+from tagweave.operators.graph import Edges, bucketed
 from tagweave.operators.index import Index
 from tagweave.operators.keywords import tag_edges
 from tagweave.plans.scratch import hadoop_path, materialize, spread
@@ -27,6 +28,11 @@ class Prepared:
         """(atom_id, tag), by tag."""
         return materialize(tag_edges(self.docs).sort("tag", "atom_id"))
 
+    @cached_property
+    def sides(self) -> Edges:
+        """The edges in buckets by tag and by atom, for walks."""
+        return bucketed(self.edges)
+
     @cached_property
     def prints(self) -> DataFrame:
         """(doc_id, simhash)."""
@@ -39,7 +45,7 @@ class Prepared:
 
     def build(self) -> Prepared:
         """Everything at once."""
-        assert self.edges and self.prints and self.index
+        assert self.sides and self.prints and self.index
         return self
 
 

@@ -69,6 +69,10 @@ def _edges(spark: SparkSession, sf: str) -> DataFrame:
     return index_of(spark, sf).edges
 
 
+def _sides(spark: SparkSession, sf: str) -> graph.Edges:
+    return index_of(spark, sf).sides
+
+
 def _prints(spark: SparkSession, sf: str) -> DataFrame:
     return index_of(spark, sf).prints
 
@@ -387,7 +391,7 @@ def _search(spark: SparkSession, sf: str, config: search.SearchConfig, query: st
     config = config.validated().effective()
     tags = search.query_tags(spark, query)
     atoms = _atoms(spark, sf).join(_prints(spark, sf).withColumnRenamed("doc_id", "atom_id"), "atom_id")
-    return search.scored(atoms.select("atom_id", "ts", "simhash"), _edges(spark, sf), tags, fp.simhash_of(query_terms(spark, query), spark, MODE), _as_of(), config, **more)
+    return search.scored(atoms.select("atom_id", "ts", "simhash"), _sides(spark, sf), tags, fp.simhash_of(query_terms(spark, query), spark, MODE), _as_of(), config, **more)
 
 
 def _star(mode: str, spark: SparkSession, sf: str) -> DataFrame:
@@ -464,7 +468,7 @@ def _seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _illuminate(depth: int, spark: SparkSession, sf: str) -> DataFrame:
-    return graph.illuminate(_seeds(spark, sf), _edges(spark, sf), depth, 300)
+    return graph.illuminate(_seeds(spark, sf), _sides(spark, sf), depth, 300)
 
 
 QUERIES |= {"illuminate_d1": partial(_illuminate, 1), "illuminate_d2": partial(_illuminate, 2)}
@@ -472,11 +476,11 @@ QUERIES |= {"illuminate_d1": partial(_illuminate, 1), "illuminate_d2": partial(_
 
 @query
 def illuminate_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.illuminated(_seeds(spark, sf), _edges(spark, sf), 2, 300)["summary"]
+    return graph.illuminated(_seeds(spark, sf), _sides(spark, sf), 2, 300)["summary"]
 
 
 def _distilled(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return graph.distill(_seeds(spark, sf), _edges(spark, sf), _atoms(spark, sf).withColumnRenamed("text", "content"), hash_mode=MODE)
+    return graph.distill(_seeds(spark, sf), _sides(spark, sf), _atoms(spark, sf).withColumnRenamed("text", "content"), hash_mode=MODE)
 
 
 @query

@@ -120,3 +120,27 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "star_search" in e.queries()
+
+
+def test_hops_deal_no_edges(spark):
+    e = edges(spark, {k: [f"#t{k % 7}", f"#u{k % 11}"] for k in range(200)})
+    both = graph.bucketed(e)
+    seeds = spark.createDataFrame([(3,), (9,)], "atom_id long")
+    assert sorted(map(tuple, graph.walk(seeds, both, 2).collect())) == sorted(map(tuple, graph.walk(seeds, e, 2).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = graph.neighbours(seeds, both)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for k, line in enumerate(plan):
+        if "Scan parquet" in line and "tagweave_" in line:  # up from the edges to their join there is no exchange
+            d = depth(line)
+            for above in reversed(plan[:k]):
+                if depth(above) < d:
+                    assert "Exchange" not in above
+                    d = depth(above)
+                    if "Join" in above:
+                        break
+    assert sum("tagweave_" in line and "Scan parquet" in line for line in plan) == 2
