@@ -1,9 +1,18 @@
-"""The functions of this package under names for SQL: temporary functions that are SQL themselves and run in the JVM."""
+"""The functions of this package under names for SQL: temporary functions that are SQL themselves and run in the JVM, and
+table functions whose rows come from Python in Arrow batches.
+
+Table functions are called beside a table, `FROM docs, LATERAL tw_atoms(docs.text)`.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from tagweave.functions.code import SCHEMA, atoms
 from tagweave.functions.text import TOKEN, _transient_lines
 
 
@@ -28,9 +37,53 @@ def definitions() -> dict[str, str]:
     }
 
 
+class Atoms:
+    """Paragraphs of a text with their offsets in characters, as text.atoms() has them."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        for seq, m in enumerate(re.finditer(r"(?s)(.+?)(?:\n\n+|\Z)", text or "")):
+            content = re.sub(r"\n\n+\Z", "", m.group())
+            if content:
+                yield seq, m.start(), m.start() + len(content), content
+
+
+class Molecules:
+    """Sections that a header of up to three # opens, as text.molecules() has them, with their offsets."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        text = text or ""
+        begins = [m.start() for m in re.finditer(r"(?m)^#{1,3} ", text)]
+        cuts = [0, *(b for b in begins if b), len(text)]
+        for seq, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if a < b:
+                header = re.match(r"#{1,3} ([^\n]*)", text[a:b])
+                yield seq, a, b, header.group(1) if header else None, text[a:b]
+
+
+class CodeAtoms:
+    """Definitions of a program text and what lies between them; the second argument is a file's ending."""
+
+    def eval(self, text: str, extension: str) -> Iterator[tuple]:
+        for seq, a in enumerate(atoms(text or "", extension or "")):
+            yield seq, a.parent, a.level, a.kind, a.name, a.start, a.end, text[a.start : a.end]
+
+
+#: Table functions: their classes and columns.
+TABLES = {
+    "tw_atoms": (Atoms, "seq int, char_start int, char_end int, content string"),
+    "tw_molecules": (Molecules, "seq int, char_start int, char_end int, header string, content string"),
+    "tw_code_atoms": (CodeAtoms, SCHEMA),
+}
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Makes the functions of `definitions` known to the session; returns their names."""
+    """Makes the functions of `definitions` and `TABLES` known to the session; returns their names.
+
+    Executors need this package for the table functions.
+    """
     found = definitions()
     for name, body in found.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
-    return list(found)
+    for name, (made, schema) in TABLES.items():
+        spark.udtf.register(name, F.udtf(made, returnType=schema, useArrow=True))
+    return [*found, *TABLES]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import threading
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +22,8 @@ from tagweave.plans.scratch import discard, hadoop_path, materialize, read_text
 SOURCES = "id string, path string, bucket string, created_at timestamp, updated_at timestamp, metadata string"
 ATOMS = "atom_id long, source_id string, source_path string, seq long, char_start long, char_end long, ts timestamp, simhash long, metadata string"
 TAGS = "atom_id long, tag string, bucket string, source_id string"
-TABLES = {"sources": SOURCES, "atoms": ATOMS, "tags": TAGS, "chunks": ch.CHUNKS, "postings": BLOCKS, "keys": near.KEYS, "links": near.LINKS}
+QUARANTINED = "source_id string, path string, bucket string, ts timestamp, reason string, content string"
+TABLES = {"sources": SOURCES, "atoms": ATOMS, "tags": TAGS, "chunks": ch.CHUNKS, "postings": BLOCKS, "keys": near.KEYS, "links": near.LINKS, "quarantined": QUARANTINED}
 #: What deals the rows of a table to parts, where it isn't their source.
 DEALT = {"sources": "id", "keys": "key", "links": "a"}
 #: What the rows of a part are in order of, so that a filter on it leaves out most of a file.
@@ -235,7 +236,7 @@ class Store:
         counts = {k: v.count() for k, v in new.items()}
         ids = docs.select(F.col("id").alias("source_id")).distinct()
         with self.lock:
-            here = self.table("sources").select(F.col("id").alias("source_id"))
+            here = self.table("sources").select(F.col("id").alias("source_id")).unionByName(self.table("quarantined").select("source_id"))
             gone = materialize(here.join(ids, "source_id", "left_semi").withColumn("part", self.part_of(F.col("source_id"))))
             keys = self.table("keys")
             new["keys"] = materialize(near.keyed(near.fresh(new["atoms"].select(F.col("simhash").alias("h")), keys)))
@@ -244,6 +245,21 @@ class Store:
         discard(gone, *new.values())
         return counts
 
+    def quarantine(self, source_id: str, reason: str) -> None:
+        """Takes a source out of all tables and keeps its content aside, in one commit; KeyError where there is none."""
+        kept = self.contents([source_id]).select(F.col("id").alias("source_id"), "path", "bucket", F.col("updated_at").alias("ts"), F.lit(reason).alias("reason"), "content")
+        gone = self.table("sources").filter(F.col("id") == source_id).select(F.col("id").alias("source_id"), self.part_of(F.col("id")).alias("part"))
+        if gone.isEmpty():
+            raise KeyError(source_id)
+        self._change({"quarantined": materialize(kept)}, gone)
+
+    def restore(self, source_id: str, options: IngestOptions = IngestOptions()) -> None:
+        """Brings a source back from quarantine, in one commit; its content was cleaned before. KeyError where it isn't there."""
+        held = self.table("quarantined").filter(F.col("source_id") == source_id)
+        if held.isEmpty():
+            raise KeyError(source_id)
+        self.ingest(held.select(F.col("source_id").alias("id"), "path", "bucket", "ts", "content"), replace(options, sanitize=False))
+
     def delete_source(self, source_id: str) -> None:
         """Removes a source with its atoms and tags; KeyError where there is none."""
         gone = self.table("sources").filter(F.col("id") == source_id).select(F.col("id").alias("source_id"), self.part_of(F.col("id")).alias("part"))

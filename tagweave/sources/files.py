@@ -6,16 +6,18 @@ import io
 import json
 import re
 import tarfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.text import squeezed
-from tagweave.plans.scratch import read_text
+from tagweave.plans.scratch import hadoop_path, read_text
 
 #: Patterns that a walk ignores: *x is the end of a file name, others a part of a name or folder.
 IGNORED = (".git", "node_modules", "target", "*.swp", "*.bak", "*.log")
@@ -111,8 +113,13 @@ def due(tracked: DataFrame, as_of: Column) -> DataFrame:
 
 
 def gitignored(path: Column, rules: str) -> Column:
-    """Whether the rules of a .gitignore file, of which the last that meets a path decides, ignore a path below its folder."""
-    out = F.lit(False)
+    """Whether the rules of a .gitignore file ignore a path below its folder: of the rules that meet it the last decides."""
+    return F.coalesce(_decision(path, rules), F.lit(False))
+
+
+def _decision(path: Column, rules: str) -> Column:
+    """The same; null where no rule meets the path."""
+    out = F.lit(None).cast("boolean")
     for line in rules.splitlines():
         line = line.rstrip()
         if line and not line.startswith("#"):
@@ -130,12 +137,27 @@ def _glob(pattern: str) -> str:
     return "".join(signs.get(x) or (x.replace("[!", "[^") if x[0] == "[" and len(x) > 1 else re.escape(x)) for x in parts)
 
 
+def _rule_files(spark: SparkSession, root: str) -> list[str]:
+    """The .gitignore files below a folder, those nearer to it first; a level of folders at a time, listed by the JVM."""
+    out, level = [], root.rstrip("/")
+    while True:
+        there, fs = hadoop_path(spark, f"{level}/.gitignore")
+        out += [f.getPath().toString() for f in fs.globStatus(there) or ()]
+        level += "/*"
+        if not len(fs.globStatus(hadoop_path(spark, level)[0]) or ()):
+            return out
+
+
 def walk(spark: SparkSession, path: str, patterns: tuple[str, ...] = IGNORED, rules: str = "") -> DataFrame:
-    """`scan` of a folder with the rules of its .gitignore file (and of a global one, which come first)."""
+    """`scan` of a folder with the rules of its .gitignore files, of which the one nearest to a path decides, after global ones."""
     rows = scan(spark, path, True, patterns)
-    own = read_text(spark, f"{path.rstrip('/')}/.gitignore") or ""
-    root = "/" + path.removeprefix("file:").strip("/") + "/"
-    return rows.filter(~gitignored(F.regexp_replace("path", "^" + re.escape(root), ""), f"{rules}\n{own}"))
+    plain = lambda p: "/" + re.sub("^file:", "", p).strip("/")
+    below = lambda folder: F.regexp_replace("path", "^" + re.escape(folder + "/"), "")
+    out = _decision(below(plain(path)), rules)
+    for file in _rule_files(spark, path):
+        folder = plain(file.removesuffix("/.gitignore"))
+        out = F.coalesce(F.when(F.col("path").startswith(folder + "/"), _decision(below(folder), read_text(spark, file))), out)
+    return rows.filter(~F.coalesce(out, F.lit(False)))
 
 
 def repository_info(answer: Column) -> Column:
@@ -155,8 +177,26 @@ def size_text(size: Column) -> Column:
 
 
 def write_copies(rows: DataFrame, path: str) -> None:
-    """Copies of (name, content) rows below a path, a folder for each name; a copy that is there already is replaced."""
-    rows.select("content", "name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(path)
+    """A file for each of (name, content) rows, at its name below a path; one that is there already is replaced.
+
+    Tasks write through Arrow's file systems (local, HDFS, S3 and others), each file under another name first, so that a
+    task that is run again, or lost, leaves no half of a file. Steps like .. are left out of names.
+    """
+    root = path if "://" in path else f"file://{path}"
+
+    def write(part: Iterator[Row]) -> None:
+        system, base = pafs.FileSystem.from_uri(root)
+        for row in part:
+            steps = [s for s in row.name.replace("\\", "/").split("/") if s not in ("", ".", "..")]
+            if steps:
+                folder = "/".join([base.rstrip("/"), *steps[:-1]])
+                system.create_dir(folder, recursive=True)
+                unfinished = f"{folder}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(unfinished) as out:
+                    out.write((row.content or "").encode())
+                system.move(unfinished, f"{folder}/{steps[-1]}")
+
+    rows.select("name", "content").foreachPartition(write)
 
 
 def cleaned_copies(sources: DataFrame, path: str) -> None:

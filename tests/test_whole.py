@@ -62,7 +62,7 @@ def test_engine_sinks(engine, tmp_path):
     engine.ring = None
     files.cleaned_copies(engine.store.contents(), f"file://{tmp_path}/clean")
     files.mirrored(engine.store.contents(), "inline:", f"file://{tmp_path}/mirror")
-    assert len(list((tmp_path / "clean").glob("name=*.md/*.txt"))) == 3
+    assert len(list((tmp_path / "clean").glob("*.md"))) == 3 and {p.name for p in (tmp_path / "mirror").iterdir()} == {"rust.md", "programming.md", "systems.md"}
 
 
 def test_a_commit_touches_only_its_parts(spark, tmp_path, monkeypatch):
@@ -122,6 +122,12 @@ def test_walk_of_a_folder_with_rules(spark, tmp_path):
     got = {r.content for r in files.walk(spark, f"{tmp_path}").collect()}
     assert got == {"a.md", "keep.tmp", "docs/c.md", "x/out/g.md"}
     assert {r.content for r in files.scan(spark, f"file://{tmp_path}").collect()} == got | {"b.tmp", "docs/build/d.md", "out/f.md"}
+    (tmp_path / "docs/deep").mkdir()
+    for name in ("docs/deep/h.md", "docs/deep/i.tmp", "docs/deep/j.txt"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "docs/.gitignore").write_text("deep/h.md\n!i.tmp\n")  # nearer than the rule that leaves out all .tmp
+    (tmp_path / "docs/deep/.gitignore").write_text("/*.txt\n")
+    assert {r.content for r in files.walk(spark, f"{tmp_path}").collect()} == got | {"docs/deep/i.tmp"}
     assert {r.bucket for r in files.walk(spark, f"{tmp_path}").filter("path like '%c.md'").collect()} == {"docs"}
 
 
