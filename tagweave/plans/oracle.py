@@ -223,6 +223,11 @@ SQL = {
     "near_classes": _with("close").replace("WITH ", "WITH RECURSIVE ", 1) + """, u AS (SELECT a AS x, b AS y FROM close UNION SELECT b, a FROM close),
       r(node, reach) AS (SELECT rep, rep FROM cls UNION SELECT r.node, u.y FROM r JOIN u ON r.reach = u.x)
       SELECT p.doc_id AS atom_id, min(r.reach) AS class_id FROM prints p JOIN cls USING (simhash) JOIN r ON r.node = cls.rep GROUP BY p.doc_id""",
+    "event_sessions": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, coalesce(value, 0) AS v, epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL),
+      b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY key ORDER BY us) <= 21600000000 THEN 0 ELSE 1 END AS new FROM e),
+      s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY us) AS session FROM b),
+      l AS (SELECT *, max(us) OVER (PARTITION BY key, session) AS last FROM s)
+      SELECT key, min(ts) AS start, max(ts) AS "end", count(*) AS n, round(sum(v), 4) AS total, round(sum(v * exp(-0.1::DOUBLE * (last - us) / 3.6e9::DOUBLE)), 4) AS score FROM l GROUP BY key, session""",
     "chunk_ranges": """SELECT doc_id, substr(text, CAST(floor(length(text) / 3) AS BIGINT) + 1, 150) AS chars, substr(hex(encode(text)), CAST(2 * floor(strlen(text) / 3) AS BIGINT) + 1, 300) AS bytes
       FROM documents WHERE length(text) > 0""",
     "bm25_topk": _with("bm25") + "SELECT * FROM bm25 ORDER BY score DESC, atom_id LIMIT 50",

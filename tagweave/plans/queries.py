@@ -18,6 +18,7 @@ from tagweave.plans import store
 from tagweave.plans.prepared import Prepared, prepared
 from tagweave.plans.scratch import materialize, spread
 from tagweave.sources import files
+from tagweave.streaming.sessions import sessions
 from tagweave.streaming.watch import windows
 
 #: What the queries ask: a text, a tag, a time, a fingerprint mode that other engines have.
@@ -583,6 +584,13 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return windows(_t(spark, sf, "events")).withColumn("total", F.round("total", 4))
 
 
+@query
+def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's sessions, six hours apart, with their faded scores: what the stateful stream gives, over the table."""
+    rows = sessions(_t(spark, sf, "events"), "user_id", gap=21600)
+    return rows.select("key", "start", "end", "n", F.round("total", 4).alias("total"), F.round("score", 4).alias("score"))
+
+
 @query
 def ingest_talks(spark: SparkSession, sf: str) -> DataFrame:
     rows = _talks(spark, sf).select(F.col("conv_id").cast("string").alias("id"), F.lit("p").alias("path"), F.lit("b").alias("bucket"), _as_of().alias("ts"), F.col("text").alias("content"))
