@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import discard, map_rows, materialize, table, texts
-from tagweave.llm.components import components
+from tagweave.operators.components import components
 
 BANDS, ROWS = 32, 5
 #: Elements of which signatures are computed at once: they stay in a core's cache.
@@ -295,16 +295,18 @@ def strong(shared: DataFrame, sizes: DataFrame, reps: DataFrame, least: int, per
 def verified(families: DataFrame, reps: DataFrame, docs: DataFrame, width: int, least: int, percent: int, scrap: list[DataFrame]) -> DataFrame:
     """(node, component) under exact links, which are looked for in families (node, component).
 
-    Each text travels to its block of its family; blocks are bounded by rows and by bytes.
+    Texts of families are taken out once, so that no step moves the others again; each travels to its block of its family.
+    Blocks are bounded by rows and by bytes.
     """
     named = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(reps.select("rep", "n_bytes"), "rep")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / FAMILY, F.sum("n_bytes") / FAMILY_BYTES)).cast("int")
     sizes = table_of(named.groupBy("family").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("m"), F.sum("n_bytes").alias("bytes")), scrap)
     rows, size = sizes.agg(F.sum("m"), F.sum("bytes")).first()
-    texts_of = docs.select(F.col("doc_id").alias("rep"), "text").filter("rep IS NOT NULL")
+    every = docs.select(F.col("doc_id").alias("rep"), "text").filter("rep IS NOT NULL")
+    members = table_of(every.join(named.select("rep").hint("merge"), "rep").join(reps.select("rep", "signature"), "rep"), scrap)
 
     def filled(rows: DataFrame) -> DataFrame:
-        return rows.join(texts_of, "rep").join(reps.select("rep", "signature"), "rep")
+        return rows.join(members, "rep")
 
     def test(t: pa.Table) -> pa.Table:
         rep, sig = t.column("rep").to_numpy(), _signatures(t)
