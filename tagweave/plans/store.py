@@ -22,10 +22,14 @@ from tagweave.plans.scratch import discard, hadoop_path, materialize, read_text
 SOURCES = "id string, path string, bucket string, created_at timestamp, updated_at timestamp, metadata string"
 ATOMS = "atom_id long, source_id string, source_path string, seq long, char_start long, char_end long, ts timestamp, simhash long, metadata string"
 TAGS = "atom_id long, tag string, bucket string, source_id string"
+#: A sketch of the distinct tags in a folder of the tags; folders that no commit names any more count for nothing.
+SKETCHES = "folder string, tags binary"
+#: Bits of a sketch's number of registers: 4096, a relative error of about 1.6 %.
+REGISTERS = 12
 QUARANTINED = "source_id string, path string, bucket string, ts timestamp, reason string, content string"
-TABLES = {"sources": SOURCES, "atoms": ATOMS, "tags": TAGS, "chunks": ch.CHUNKS, "postings": BLOCKS, "keys": near.KEYS, "links": near.LINKS, "quarantined": QUARANTINED}
+TABLES = {"sources": SOURCES, "atoms": ATOMS, "tags": TAGS, "chunks": ch.CHUNKS, "postings": BLOCKS, "keys": near.KEYS, "links": near.LINKS, "quarantined": QUARANTINED, "sketches": SKETCHES}
 #: What deals the rows of a table to parts, where it isn't their source.
-DEALT = {"sources": "id", "keys": "key", "links": "a"}
+DEALT = {"sources": "id", "keys": "key", "links": "a", "sketches": "folder"}
 #: What the rows of a part are in order of, so that a filter on it leaves out most of a file.
 ORDER = {"postings": index.ORDER, "tags": {"tag": True}, "chunks": {"source_id": True, "seq": True}, "keys": {"choice": True, "key": True}}
 #: Parts of each table, by the hash of the source, of a store that isn't told another number: a change rewrites the parts
@@ -208,7 +212,7 @@ class Store:
         number, state = self._state()
         state = {n: dict(state.get(n, {})) for n in TABLES}
         parts = [str(r[0]) for r in gone.select("part").distinct().collect()] if gone is not None else []  # self.parts at most
-        touched = {n: set() if n in ("keys", "links") else set(parts) for n in TABLES}  # fingerprints stay known
+        touched = {n: set() if n in ("keys", "links", "sketches") else set(parts) for n in TABLES}  # fingerprints stay known
         fresh, before = {n: self._written(n, rows) for n, rows in new.items()}, dict(state["atoms"])
         for n, by_part in fresh.items():
             touched[n] |= {p for p in by_part if len(state[n].get(p, ())) >= FOLDERS}
@@ -224,8 +228,20 @@ class Store:
                 state[n] = {p: f for p, f in state[n].items() if p not in touched[n]} | kept
             for p, folders in fresh.get(n, {}).items():
                 state[n][p] = [*state[n].get(p, []), *folders]
+        known = {f for fs in self._state()[1].get("tags", {}).values() for f in fs}
+        made = self._sketched([f for fs in state["tags"].values() for f in fs if f not in known])
+        for p, folders in (self._written("sketches", made) if made is not None else {}).items():
+            state["sketches"][p] = [*state["sketches"].get(p, []), *folders]
         self._commit(number + 1, state)
 
+    def _sketched(self, folders: list[str]) -> DataFrame | None:
+        """SKETCHES rows of new folders of the tags, a change's; none for none."""
+        if not folders:
+            return None
+        rows = self.spark.read.schema(TABLES["tags"]).parquet(*(f"{self.path}/{f}" for f in folders))
+        folder = F.regexp_extract(F.col("_metadata.file_path"), "(tags/[^/]+/part=[0-9]+)/[^/]*$", 1)
+        return materialize(rows.groupBy(folder.alias("folder")).agg(F.hll_sketch_agg("tag", REGISTERS).alias("tags")))
+
     def ingest(self, docs: DataFrame, options: IngestOptions = IngestOptions()) -> dict[str, int]:
         """Adds (id, path, bucket, ts, content) rows; a source that is there already is replaced with its atoms and tags.
 
@@ -296,8 +312,17 @@ class Store:
     def is_empty(self) -> bool:
         return self.table("atoms").isEmpty()
 
-    def stats(self) -> DataFrame:
-        return stats(self.table("atoms"), self.table("sources"), self.table("tags"))
+    def stats(self, exact: bool = True) -> DataFrame:
+        """(atoms, sources, tags). Not exact: the number of distinct tags is estimated from a sketch for each part and commit,
+        which their union gives within some per cent, and no tag is read; the others are the files' own numbers of rows."""
+        if exact:
+            return stats(self.table("atoms"), self.table("sources"), self.table("tags"))
+        state = self._state()[1]
+        named = [f for fs in state["tags"].values() for f in fs]
+        held = self._opened("sketches", state).filter(F.col("folder").isin(named)).groupBy("folder").agg(F.first("tags").alias("tags"))
+        tags = held.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("tags")), F.lit(0).cast("long")).alias("tags"))
+        count = lambda n: self.table(n).agg(F.count(F.lit(1)).alias(n))
+        return count("atoms").crossJoin(count("sources")).crossJoin(tags)
 
 
 def stats(self) -> DataFrame:
