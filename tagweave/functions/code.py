@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tagweave.plans.scratch import ship
+
 #: Languages whose single quotes hold one character; elsewhere they are strings.
 ONE_QUOTED = ("rs", "c", "h", "cc", "cpp", "hpp", "java", "go", "cs", "kt", "scala", "swift")
 _STRINGS = r'"""(?:[^\\]|\\.)*?"""|' + r"'''(?:[^\\]|\\.)*?'''|" + r'"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`'
@@ -153,4 +155,5 @@ def code_atoms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     arrays = [b.column(0).take(pa.array([k] * len(made))), pa.array(range(len(made)), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array([text[a.start : a.end] for a in made])]
                     yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "seq", "parent", "level", "kind", "name", "char_start", "char_end", "content"])
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.code import SCHEMA, atoms
 from tagweave.functions.text import TOKEN, _transient_lines
+from tagweave.plans.scratch import ship
 
 
 def _quoted(text: str) -> str:
@@ -77,10 +78,8 @@ TABLES = {
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Makes the functions of `definitions` and `TABLES` known to the session; returns their names.
-
-    Executors need this package for the table functions.
-    """
+    """Makes the functions of `definitions` and `TABLES` known to the session; returns their names."""
+    ship(spark)
     found = definitions()
     for name, body in found.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")

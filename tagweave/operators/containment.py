@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.plans.scratch import discard, materialize, spread
+from tagweave.plans.scratch import discard, materialize, ship, spread
 
 GRAM, WINDOW = 16, 16
 #: Bytes of the shortest text that is looked for: one window.
@@ -56,6 +56,7 @@ def _prints(rows: DataFrame) -> DataFrame:
                     same = np.zeros(len(found), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(same + b.column(0)[k].as_py()), pa.array(same + text.size), pa.array(found)], names=["id", "n_bytes", "print"])
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, "id long, n_bytes long, print long")
 
 

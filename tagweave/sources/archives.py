@@ -11,6 +11,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from tagweave.plans.scratch import ship
+
 SCHEMA = "archive string, path string, size long, modified timestamp, content string"
 #: Endings of archives.
 ENDINGS = (".tar.gz", ".tgz", ".tar")
@@ -135,4 +137,5 @@ class Archives(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Makes the format known to the session."""
+    ship(spark)
     spark.dataSource.register(Archives)

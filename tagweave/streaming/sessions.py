@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tagweave.plans.scratch import ship
+
 #: Seconds between events that end a session; share of a score that an hour takes is 1 - e^-DECAY.
 GAP, DECAY = 1800, 0.1
 OUT = "key string, start timestamp, end timestamp, n long, total double, score double"
@@ -94,6 +96,7 @@ def stream_sessions(events: DataFrame, key: str, ts: str = "ts", value: str = "v
     score is the sum of the values, each faded by e^-decay for every hour to the session's end. Events later than the
     watermark are left out. State is one row for each open session. The session needs PROVIDER among its settings.
     """
+    ship(events.sparkSession)
     rows = _rows(events, key, ts, value).withWatermark("ts", late)
     return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=_Sessions(gap, decay), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
