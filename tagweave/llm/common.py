@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import shutil
-import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.plans.scratch import discard, materialize
+from tagweave.plans.scratch import discard, materialize, ship
 
 __all__ = ["WORD_PATTERN", "crc_mod", "discard", "id_crc", "map_rows", "materialize", "partitions", "release", "ship", "slices", "table", "texts"]
 
@@ -22,19 +19,6 @@ __all__ = ["WORD_PATTERN", "crc_mod", "discard", "id_crc", "map_rows", "material
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once an application, so that they needn't have it installed."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        _shipped.add(context.applicationId)
-        package = Path(__file__).resolve().parents[1]
-        made = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
-        context.addPyFile(made)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; the package goes to the executors as well."""
     ship(spark)
