@@ -115,10 +115,20 @@ def simhash_of(terms: list[str], spark, mode: str = "xxhash64") -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+#: Bytes of a text whose windows are in memory at once.
+PIECE = 1 << 16
+
+
 def simhash_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "xxhash64") -> DataFrame:
-    """(id, simhash) over all 8-byte windows of the UTF-8 form; texts of less than 8 bytes, and null: 0."""
-    windows = F.regexp_extract_all(F.hex(F.encode(text_col, "UTF-8")), F.lit("(?=(.{16}))(?:..)"), F.lit(1))
-    return simhash_tokens(docs.select(id_col, windows.alias("windows")), id_col, "windows", mode)
+    """(id, simhash) over all 8-byte windows of the UTF-8 form; texts of less than 8 bytes, and null: 0.
+
+    A text goes in pieces, each with the 7 bytes that follow it, so that no row has all windows of a long one.
+    """
+    digits, cut = F.hex(F.encode(text_col, "UTF-8")), F.lit(f"(.{{1,{2 * PIECE}}})(?=(.{{0,14}}))")
+    pieces = F.arrays_zip(F.regexp_extract_all(digits, cut, F.lit(1)).alias("piece"), F.regexp_extract_all(digits, cut, F.lit(2)).alias("next"))
+    rows = docs.select(id_col, F.explode_outer(pieces).alias("p"))
+    windows = F.regexp_extract_all(F.concat("p.piece", "p.next"), F.lit("(?=(.{16}))(?:..)"), F.lit(1))
+    return simhash_tokens(rows.select(id_col, windows.alias("windows")), id_col, "windows", mode)
 
 
 def hex_form(fingerprint: Column) -> Column:

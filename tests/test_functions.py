@@ -90,3 +90,14 @@ def test_paths(spark):
 def test_settings():
     s = files.Settings()
     assert s.add_path("x") and not s.add_path("x") and files.Settings.load(s.dump()) == s and s.remove_path("x") and not s.remove_path("x")
+
+
+def test_simhash_bytes_of_pieces(spark, monkeypatch):
+    texts = [None, "", "short", "12345678", "é" * 4, "abcdefghi" * 40, "x" * 37, "0123456789abcdef" * 5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    whole = dict(map(tuple, fp.simhash_bytes(df).collect()))
+    monkeypatch.setattr(fp, "PIECE", 16)
+    assert dict(map(tuple, fp.simhash_bytes(df).collect())) == whole
+    windows = [texts[5].encode()[k : k + 8].decode() for k in range(len(texts[5]) - 7)]
+    hexed = spark.createDataFrame([(5, [w.encode().hex().upper() for w in windows])], "doc_id int, t array<string>")
+    assert fp.simhash_tokens(hexed, "doc_id", "t").first()["simhash"] == whole[5] and whole[0] == whole[2] == 0
