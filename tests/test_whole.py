@@ -62,7 +62,7 @@ def test_engine_sinks(engine, tmp_path):
     engine.ring = None
     files.cleaned_copies(engine.store.contents(), f"file://{tmp_path}/clean")
     files.mirrored(engine.store.contents(), "inline:", f"file://{tmp_path}/mirror")
-    assert len(list((tmp_path / "clean").glob("*.md"))) == 3 and {p.name for p in (tmp_path / "mirror").iterdir()} == {"rust.md", "programming.md", "systems.md"}
+    assert len(list((tmp_path / "clean").glob("*.md"))) == 3 and {p.name for p in (tmp_path / "mirror").iterdir()} == {"inline:rust.md", "inline:programming.md", "inline:systems.md"}
 
 
 def test_a_commit_touches_only_its_parts(spark, tmp_path, monkeypatch):
