@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tagweave.plans.scratch import discard, materialize, ship
 
-__all__ = ["WORD_PATTERN", "crc_mod", "discard", "id_crc", "map_rows", "materialize", "partitions", "release", "ship", "slices", "table", "texts"]
+__all__ = ["WORD_PATTERN", "crc_mod", "discard", "id_crc", "map_rows", "materialize", "own_names", "partitions", "release", "ship", "slices", "table", "texts"]
 
 #: What separates words: the ASCII white space bytes 0x20 and 0x09 to 0x0D, as bytes.split() has them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def own_names(keep: Iterable[str], results: Iterable[str]) -> list[str]:
+    """Names of kept columns in a result: one that is called like the result's own columns gets underscores at its end."""
+    taken, out = {r.lower() for r in results}, []
+    for c in keep:
+        while c.lower() in taken:
+            c += "_"
+        taken.add(c.lower())
+        out.append(c)
+    return out
+
+
 def id_crc(doc_id: int | None) -> int:
     """crc32 of an id as text; a null id counts as empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())

@@ -2,8 +2,8 @@
 
 A tree builder applies the rules by which tags imply others (a paragraph ends where a block begins, a list item where
 the next begins, cells and rows likewise) and by which elements are hidden (elements that are never shown, the hidden
-attribute, inline styles, closed details, and style sheets' rules for a tag, a class or an id that hold on every
-screen). A renderer walks the tree and emits all that is visible: blocks on lines of their own, with a blank line around
+attribute, closed details, inline styles and style sheets' rules that hold on every screen, by the cascade of
+tagweave/llm/styles.py). A renderer walks the tree and emits all that is visible: blocks on lines of their own, with a blank line around
 those that have margins, lists with their marks and indents, and tables with aligned cells, captions above them. No part
 of a page is judged to be boilerplate and dropped.
 
@@ -14,15 +14,16 @@ line and cell (INDENT, COLUMN, LINE, NESTED), so that time and output grow in pr
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm.common import map_rows, table
+from tagweave.llm.common import map_rows, own_names, table
 from tagweave.llm.markup import Markup
+from tagweave.llm.styles import Styles, on_screens, rules
 
 #: Elements by how they are shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,81 +50,35 @@ WORDLESS = frozenset("hidden password checkbox radio file range color image".spl
 #: Largest indent; widest column that others are aligned to; where a line of cells ends; tables in tables that are laid
 #: out; columns that a cell takes at most, and that cells of rows above can take.
 INDENT, COLUMN, LINE, NESTED, COLUMNS = 40, 80, 400, 8, 100
-_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
-_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
-_ASIDE = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?""", re.S)
-_SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)|not\s+(?:print|speech)", re.I)
-_SIMPLE = re.compile(r"([A-Za-z][\w-]*)?(?:\.([\w-]+)|#([\w-]+))?")
-
-
-def on_screens(media: str) -> bool:
-    """Whether a media list holds on every screen."""
-    return not media.strip() or any(_SCREEN.fullmatch(q.strip()) for q in media.split(","))
-
-
-def seen(style: str) -> tuple[bool, bool | None]:
-    """Whether declarations take an element out of the page; whether they show its own text (None: as its parent's)."""
-    told = _VISIBILITY.findall(style)
-    return bool(_NONE.search(style)), told[-1].lower() == "visible" if told else None
-
-
-def hiding(css: str) -> Iterator[tuple[str, bool, bool | None]]:
-    """(selector, *seen) of the rules that hide or show elements on every screen, in one pass over the style sheet.
-
-    Rules count at the top and in @layer or @media blocks without conditions; those in other at-blocks (print, widths,
-    @supports, @keyframes) and those nested in rules do not, nor do their declarations count for what is around them.
-    """
-    css = _ASIDE.sub(lambda m: " " if m[0][0] == "/" else "''", css)
-    css += "}" * css.count("{")  # the end closes what is open
-    blocks: list[tuple[bool, str | None, list[str]]] = []  # what is open: whether it counts, selectors of a rule, declarations
-    at = 0
-    for m in re.finditer("[{};]", css):
-        part, at = css[at : m.start()].strip(), m.end()
-        if m[0] == "{":
-            counts = not blocks or (blocks[-1][0] and blocks[-1][1] is None)
-            if part.startswith("@"):
-                name, rest = re.match(r"@([\w-]*)(.*)", part, re.S).groups()
-                blocks.append((counts and (name.lower() == "layer" or (name.lower() == "media" and on_screens(rest))), None, []))
-            else:
-                blocks.append((counts, part, []))
-        elif blocks:
-            blocks[-1][2].append(part)
-            if m[0] == "}":
-                counts, selectors, body = blocks.pop()
-                gone, visible = seen(";".join(body)) if counts and selectors else (False, None)
-                if gone or visible is not None:
-                    yield from ((x, gone, visible) for x in selectors.split(","))
 
 
 class Node:
     """An element or (tag None) a run of text."""
 
-    __slots__ = ("attrs", "children", "tag", "text")
+    __slots__ = ("attrs", "children", "drawn", "tag", "text")
 
     def __init__(self, tag: str | None, attrs: dict[str, str] | None = None, text: str = "") -> None:
-        self.tag, self.attrs, self.text, self.children = tag, attrs or {}, text, []
+        self.tag, self.attrs, self.text, self.children, self.drawn = tag, attrs or {}, text, [], True
 
 
 class Builder(Markup):
-    """Builds the tree; `rules` has what style rules say of simple selectors."""
+    """Builds the tree and reads the style sheets."""
 
     def __init__(self) -> None:
         self.root = Node("html")
         self.open = [self.root]
-        self.count: Counter[str] = Counter()  # of open elements by tag: most searches end here
-        self.rules: dict[tuple[str, str, str], list[tuple[bool, bool | None]]] = {}
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # where elements of a tag are open
+        self.styles = Styles()
+
+    def _pop(self) -> None:
+        self.at[self.open.pop().tag].pop()
 
     def _close(self, tags: frozenset[str], stops: frozenset[str]) -> None:
         """Ends the innermost open element of `tags`, and all inside it, if no stop is nearer."""
-        if not any(self.count[t] for t in tags):
-            return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                self.count.subtract(n.tag for n in self.open[k:])
-                del self.open[k:]
-                return
-            if self.open[k].tag in stops:
-                return
+        k = max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+        if k and k >= max((self.at[t][-1] for t in stops if self.at[t]), default=0):
+            while len(self.open) > k:
+                self._pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
@@ -137,20 +92,22 @@ class Builder(Markup):
         if tag in ENDS_P:
             self._close(frozenset(("p",)), P_STOPS)
         if self.open[-1].tag == "head" and tag not in NEVER:
-            self.count[self.open.pop().tag] -= 1
+            self._pop()
         node = Node(tag, {k: v or "" for k, v in attrs})
-        if (self.count["svg"] or self.count["math"]) and (tag in UNDRAWN or node.attrs.get("display") == "none"):
-            node.attrs["hidden"] = ""
+        if self.at["svg"] or self.at["math"]:
+            node.drawn = tag not in UNDRAWN
+            if node.attrs.get("display") == "none":
+                node.attrs["hidden"] = ""
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.at[tag].append(len(self.open))
             self.open.append(node)
-            self.count[tag] += 1
 
     def handle_empty(self, tag: str) -> bool:
         """In drawings and formulas a slash ends an element; elsewhere it means nothing."""
-        if not (self.count["svg"] or self.count["math"]) or self.open[-1].tag != tag:
+        if not (self.at["svg"] or self.at["math"]) or self.open[-1].tag != tag:
             return False
-        self.count[self.open.pop().tag] -= 1
+        self._pop()
         return True
 
     def handle_endtag(self, tag: str) -> None:
@@ -165,30 +122,12 @@ class Builder(Markup):
     def handle_data(self, data: str) -> None:
         top = self.open[-1]
         if top.tag == "style":
-            for s, gone, visible in hiding(data) if on_screens(top.attrs.get("media", "")) else ():
-                m = _SIMPLE.fullmatch(s.strip())
-                if m and m.group():
-                    key = tuple((g or "").lower() if k == 0 else g or "" for k, g in enumerate(m.groups()))
-                    self.rules.setdefault(key, []).append((gone, visible))
-        else:
-            top.children.append(Node(None, text=data))
-
-    def seen(self, node: Node) -> tuple[bool, bool | None]:
-        """Whether the element is in the page at all; whether its own text shows (None: as its parent's)."""
-        a = node.attrs
-        gone, visible = seen(a.get("style", "")) if "style" in a else (False, None)
-        if node.tag in NEVER or "hidden" in a or (node.tag in ("input", "textarea") and a.get("type") == "hidden") or gone:
-            return False, None
-        if node.tag == "dialog" and "open" not in a:
-            return False, None
-        if self.rules:
-            names = [("", ""), *((c, "") for c in a.get("class", "").split()), ("", a.get("id", ""))]
-            told = [r for t in (node.tag, "") for c, i in names for r in self.rules.get((t, c, i), ())]
-            if any(g for g, _ in told):
-                return False, None
-            if visible is None:
-                visible = next((v for _, v in reversed(told) if v is not None), None)
-        return True, visible
+            for selector, says in rules(data) if on_screens(top.attrs.get("media", "")) else ():
+                self.styles.add(selector, says)
+            return
+        if top.tag in ("pre", "textarea") and not top.children:  # a line end right after the tag doesn't count
+            data = data.removeprefix("\r").removeprefix("\n")
+        top.children.append(Node(None, text=data))
 
 
 class Writer:
@@ -329,10 +268,22 @@ def _number(value: str, least: int, most: int, instead: int) -> int:
     return min(most, max(least, int(value))) if re.fullmatch(r"-?\d{1,9}", value.strip()) else instead
 
 
+def there(node: Node, gone: bool | None) -> bool:
+    """Whether an element is in the page; gone: what its styles say of it, which the hidden attribute is weaker than."""
+    if node.tag == "html":
+        return True
+    if node.tag in NEVER or not node.drawn or (node.tag in ("input", "textarea") and node.attrs.get("type") == "hidden"):
+        return False
+    if gone is None:
+        return "hidden" not in node.attrs and (node.tag != "dialog" or "open" in node.attrs)
+    return not gone
+
+
 def rendered(page: str) -> str:
     """The visible text of a page."""
     b = Builder()
     b.feed(page)
+    styles = b.styles
     writers = [Writer()]
     tables: list[_Table] = []
     lists: list[list] = []  # [ordered, next number, step]
@@ -348,9 +299,10 @@ def rendered(page: str) -> str:
                 w.text(node.text, keep > 0)
             continue
         if not leaving:
-            there, own = b.seen(node)
-            if not there:
+            told, steps = styles.told(tag, node.attrs)
+            if not there(node, told.get("display")):
                 continue
+            own = told.get("visibility")
             visible = visible if own is None else own
             if tag == "br":
                 w.newline(True) if w.now or w.lines else None
@@ -408,11 +360,13 @@ def rendered(page: str) -> str:
             elif tag == "q" and visible:
                 w.text('"', True)
             stack.append((node, True, visible))
+            styles.enter(steps)
             children = node.children
             if tag == "details" and "open" not in node.attrs:  # closed: its first summary alone is there
                 children = [c for c in children if c.tag == "summary"][:1]
             stack.extend((c, False, visible) for c in reversed(children))
             continue
+        styles.leave()
         if tag in ("td", "th") and laid:
             size = [_number(node.attrs.get(k, ""), 1, most, 1) for k, most in (("colspan", COLUMNS), ("rowspan", 10 * COLUMNS))]
             tables[-1].rows[-1].append(Cell(writers.pop().done(), *size))
@@ -457,18 +411,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
 
     A null or empty page has the text "", 0 characters and 0 lines. Broken markup is read as far as the rules above go:
     text is never lost to a tag that isn't closed, but inside elements that are never shown. Pages of any length are read
-    whole, in time and with output in proportion to it. Repeated rows give repeated results; other columns are ignored.
+    whole, in time and with output in proportion to it. Repeated rows give repeated results, an empty table none; other
+    columns are ignored. Kept columns that are called like a result get an underscore at the end of their names.
     """
     types = dict(pages.dtypes)
     keep = tuple(c for c in keep if c not in (id_col, html_col))
+    names = own_names(keep, (id_col, "text", "n_chars", "n_lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = [rendered(p or "") for p in b.column(1).to_pylist()]
             counts = [pa.array(map(len, text), pa.int64()), pa.array([t.count("\n") + 1 if t else 0 for t in text], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(text, pa.string()), *counts], [id_col, *keep, "text", "n_chars", "n_lines"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(text, pa.string()), *counts], [id_col, *names, "text", "n_chars", "n_lines"])
 
-    ddl = f"`{id_col}` {types[id_col]}" + "".join(f", `{c}` {types[c]}" for c in keep) + ", text string, n_chars long, n_lines long"
+    ddl = f"`{id_col}` {types[id_col]}" + "".join(f", `{n}` {types[c]}" for n, c in zip(names, keep, strict=True)) + ", text string, n_chars long, n_lines long"
     return map_rows(pages.select(id_col, html_col, *keep), run, ddl)
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -325,3 +326,46 @@ def test_features_and_scores_agree():
 
 def test_weights_repeat():
     assert mixing.WEIGHTS == (3.0, 1.0, 2.0)
+
+
+@pytest.mark.parametrize(
+    ("css", "body", "want"),
+    [
+        (".a{display:none}.a{display:block}", "<p class=a>x", "x"),
+        (".a{display:none}", "<p class=a style='display:block'>x", "x"),
+        (".a{display:none}#b{display:block}", "<p id=b class=a>x", "x"),
+        ("#b{display:block}.a{display:none}", "<p id=b class=a>x", "x"),
+        ("p{display:none} .a{display:block}", "<p class=a>x<p>y", "x"),
+        ("", "<p style='display:none;display:block'>x", "x"),
+        (".a{display:none!important}", "<p class=a style='display:block'>x", ""),
+        (".a.b{display:none}", "<p class='a'>x<p class='b a'>y", "x"),
+        ("nav .c{display:none}", "<div class=c>x</div><nav><i><b class=c>y</b></i></nav><b class=c>z</b>", "x\nz"),
+        ("div>p{display:none}", "<div><p>x</p><span><p>y</p></span></div>", "y"),
+        ("[data-x]{display:none} [type='a b;}']{display:none}", "<b data-x>x</b><b type='a b;}'>y</b>z", "z"),
+        ("a[href^='#']{display:none} a[rel~=me]{display:none}", "<a href='#x'>x</a><a href=y rel='no me'>y</a><a href=z>z</a>", "z"),
+        ("*.z{display:none}", "<b class=z>x</b>y", "y"),
+        ("p:not(.k, #m){display:none}", "<p class=k>x<p id=m>y<p>z", "x\n\ny"),
+        (":is(.a,.b){display:none} .a:hover{display:none}", "<p class=a>x<p class=b>y", "x\n\ny"),
+        (r".md\:hidden{display:none}", "<p class=md:hidden>x</p>y", "y"),
+        ("html body > div.q .r{display:none} body{display:none}", "<body><div class=q><b class=r>x</b>y</div></body>", "y"),
+        (".f{display:flex}", "<p hidden>x<p hidden class=f>y", "y"),
+        (".v{visibility:hidden}.w{visibility:visible}", "<div class=v>x<b class=w>y</b></div>", "y"),
+        ("", "<pre>\n a\n b</pre>", " a\n b"),
+    ],
+)
+def test_cascade(css, body, want):
+    assert html_text.rendered(f"<head><style>{css}</style></head>{body}") == want
+
+
+def test_end_tags_and_rules_cost_what_they_touch():
+    for n, page in (
+        (8000, lambda n: "<i><table><td>" + "<div>" * n + "</i>" * n),
+        (4000, lambda n: "<style>" + ".x .y .z{display:none}" * n + "</style>" + "<p class=x>" * n),
+        (4000, lambda n: "<style>" + "".join(f".x{k} p{{display:none}}" for k in range(n)) + "</style>" + "<p class=x>" * n),
+    ):
+        took = []
+        for m in (n, 4 * n):
+            begin = time.process_time()
+            html_text.rendered(page(m))
+            took.append(time.process_time() - begin)
+        assert took[1] < 10 * took[0] + 0.5, took
