@@ -14,8 +14,9 @@ Counts are exact where the base score needs them and sketched where pairs of tok
 
 The probability of token w after u is a * max(q(u, w) - D, 0) / c(u) + (1 - a) * p(w), with q from the filter, an
 absolute discount D (what occurs once in the corpus tells little of what comes next), the exact count c(u), p(w) =
-(c(w) + 1) / (N + V + 1), and a weight a: sums over w never exceed 1 but for false positives, and a bigram that the
-filter doesn't hold costs a text no more than log10(1 - a).
+(c(w) + 1) / (N + V + 1), and a weight a, which is 0 after a token u that no training text has: there all weight is
+p's, whose sum over the vocabulary and one unknown token is 1. After other tokens the sum is below 1 by what the discount
+and the quantised counts take, and a bigram that the filter doesn't hold costs a text no more than log10(1 - a).
 """
 
 from __future__ import annotations
@@ -107,53 +108,35 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]
 
 
-class Filter:
-    """Bloom filter of (key, level) pairs in segments by the key's bucket."""
-
-    def __init__(self, segments: list[np.ndarray], floors: list[int]) -> None:
-        self.buckets, self.floors = len(segments), np.array(floors)
-        self.bits = np.array([8 * len(s) for s in segments], np.uint64)
-        self.begin = np.cumsum(np.r_[0, [8 * len(s) for s in segments]])[:-1].astype(np.uint64)
-        self.bytes = np.concatenate([*segments, np.zeros(1, np.uint8)])
-
-    @staticmethod
-    def places(keys: np.ndarray, level: int, bits: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
-        """The bits of (key, level) in a segment, one array for each probe."""
-        a, b = mixed(keys, 2 * level), mixed(keys, 2 * level + 1) | np.uint64(1)
-        for k in range(PROBES):
-            yield (a + np.uint64(k) * b) % bits
-
-    @staticmethod
-    def segment(keys: np.ndarray, q: np.ndarray, size: int) -> np.ndarray:
-        """The bytes of one bucket's segment; q: the levels of the keys, of which those above 0 are held."""
-        bits = np.zeros(8 * size, np.uint8)
-        for level in range(1, int(q.max(initial=0)) + 1):
-            for at in Filter.places(keys[q >= level], level, np.uint64(8 * size)):
-                bits[at.astype(np.int64)] = 1
-        return np.packbits(bits, bitorder="little")
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts of the keys: probes level by level while they hit; 0: not even the first level."""
-        out = np.zeros(len(keys))
-        edges = bucket_of(keys, self.buckets)
-        live = np.flatnonzero(self.bits[edges] > 0)
-        level = 1
-        while len(live) and level <= 62:
-            k, e = keys[live], edges[live]
-            hit = np.ones(len(live), bool)
-            for at in self.places(k, level, self.bits[e]):
-                at = (at + self.begin[e]).astype(np.int64)
-                hit &= (self.bytes[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            live = live[hit]
-            out[live] = 2.0 ** (level - 1 + self.floors[edges[live]])
-            level += 1
-        return out
-
-
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each key."""
-    cuts = np.array([(j << BITS) // buckets for j in range(1, buckets)], np.uint64)
-    return np.searchsorted(cuts, keys, "right")
+def places(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
+    """The bits of (key, level) in a segment of the filter, one array for each probe."""
+    a, b = mixed(keys, 2 * level), mixed(keys, 2 * level + 1) | np.uint64(1)
+    for k in range(PROBES):
+        yield ((a + np.uint64(k) * b) % np.uint64(bits)).astype(np.int64)
+
+
+def segment(keys: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The bytes of one bucket's segment, sized by what it holds; q: the levels of the keys, of which those above 0 are held."""
+    size = max(8, math.ceil(int(q.sum()) * BITS_PER_KEY / 8))
+    bits = np.zeros(8 * size, np.uint8)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        for at in places(keys[q >= level], level, 8 * size):
+            bits[at] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def probed(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Levels of the keys by a segment: probes level by level while they hit; 0: not even the first."""
+    out = np.zeros(len(keys), np.int64)
+    live, level = np.arange(len(keys)), 1
+    while len(live) and level <= 62:
+        hit = np.ones(len(live), bool)
+        for at in places(keys[live], level, 8 * len(held)):
+            hit &= (held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        live = live[hit]
+        out[live] = level
+        level += 1
+    return out
 
 
 def _texts(t: pa.Table) -> tuple[list, list[bytes], np.ndarray]:
@@ -234,9 +217,7 @@ def score(
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, np.concatenate([unpack_counts(b.as_buffer()) for b in t.column("counts")]), len(every)).astype(np.int64)
         if kind:
-            q = levels(total)
-            size = max(8, math.ceil(int(q.sum()) * BITS_PER_KEY / 8))
-            total = levels(Filter([Filter.segment(every, q, size)], [0]).counts(every))
+            total = probed(segment(every, levels(total)), every)
         cut = np.cumsum(np.r_[0, [len(k) for k in keys]])
         out = [(kind, bucket, b, pack(every[:0], total[at[x:y]])[1], 0, 0) for b, x, y in zip(from_blocks, cut, cut[1:], strict=False)]
         if kind == 0:
@@ -258,7 +239,8 @@ def score(
         own = c[k.run]
         at = np.unique(k.bigrams(), return_inverse=True)[1]
         seen = np.minimum(np.where(level > 0, 2.0 ** (level - 1), 0)[at], np.minimum(own, c[k.before]))  # no pair is more frequent than its tokens
-        p = weight * np.maximum(seen - discount, 0) / np.maximum(c[k.before], 1) + (1 - weight) * (own + 1) / (n + v + 1)
+        w = np.where(c[k.before] > 0, weight, 0)
+        p = w * np.maximum(seen - discount, 0) / np.maximum(c[k.before], 1) + (1 - w) * (own + 1) / (n + v + 1)
         d = len(ids)
         total = np.bincount(k.doc, np.log10(p), d)
         columns = [
