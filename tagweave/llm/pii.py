@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.llm.boosting import Boosted, calibrate, fit
-from tagweave.llm.common import map_rows, table
+from tagweave.llm.common import map_rows, own_names, table
 
 BASE = ("email", "ip", "card", "phone")
 OTHERS = ("iban", "ssn", "secret")
@@ -88,7 +88,11 @@ GENERATORS = {
     "phone": re.compile(r"(?<![0-9])(?:00 ?|0|\()[0-9]{1,5}\)?(?:[ ./-]?[0-9]{2,5}){2,4}(?![0-9])|(?<![0-9])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+={0,2}(?![A-Za-z0-9_/+=-])"),
+    # runs, also several that dots join (signed tokens), and short words after the name of a password and a sign
+    "secret": re.compile(
+        r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+(?:\.[A-Za-z0-9_/+-]{8,}+)*+={0,2}(?![A-Za-z0-9_/+=-])"
+        r"|(?i:password|passwd|passphrase|pwd)[\"']? ?(?:[:=]|=>) ?[\"']?(?P<short>[^\s\"'<>;,]{6,64})(?![^\s\"'<>;,])"
+    ),
 }
 #: What a text must have for these generators to find anything; for the others, a digit.
 NEEDS = {"email": re.compile(r"@|\(at\)|\[at\]"), "ip": re.compile(":")}
@@ -100,7 +104,7 @@ TELLING = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "appel", "llame", "anruf"),
     "iban": ("iban", "account", "konto", "compte", "cuenta", "bank"),
     "ssn": ("ssn", "social", "security", "tax id", "insurance"),
-    "secret": ("token", "key", "secret", "password", "passwd", "bearer", "auth", "api"),
+    "secret": ("token", "key", "secret", "password", "passwd", "pwd", "passphrase", "bearer", "auth", "api"),
 }
 OTHER = ("version", "order", "isbn", "invoice", "build", "commit", "page", "time", "serial", "part", "ref", "uuid", "sha", "checksum", "total")
 
@@ -128,7 +132,7 @@ def candidate_features(kind: str, text: str, begin: int, end: int) -> list[float
         before.rstrip()[-1:] in ('"', "'") and text[end : end + 1] in ('"', "'"), any(c in before[-4:] for c in "=:"),
         before[-1:].isalnum(), after[:1].isalnum(), len(set(re.findall("[0-9]+", s))) / max(1, len(re.findall("[0-9]+", s))),
         max(map(len, re.findall("[0-9]+", s)), default=0), float(s[:3] in ("000", "666") or s[:1] == "9"),
-        sum(any(f(c) for c in s) for f in (str.isupper, str.islower, str.isdigit)), float(bool(_PREFIX.match(s))), s.count("-"),
+        sum(any(f(c) for c in s) for f in (str.isupper, str.islower, str.isdigit)), float(bool(_PREFIX.match(s))), s.count("-"), float(s.startswith("eyJ") and s.count(".") > 1),
     ]
 
 
@@ -138,8 +142,9 @@ def candidates(text: str) -> Iterator[Span]:
     for kind, pattern in GENERATORS.items():
         if NEEDS[kind].search(text) if kind in NEEDS else digit:
             for m in pattern.finditer(text):
-                if kind != "secret" or _DIGIT.search(text, *m.span()):
-                    yield kind, m.start(), m.end()
+                begin, end = m.span("short") if m.lastgroup else m.span()
+                if kind != "secret" or _DIGIT.search(text, begin, end):
+                    yield kind, begin, end
 
 
 def _made_up(rng: random.Random) -> tuple[str, str, int, int, int]:
@@ -161,7 +166,7 @@ def _made_up(rng: random.Random) -> tuple[str, str, int, int, int]:
 
     if kind == "email":
         at, dot = rng.choice(((" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "."))) if label else rng.choice(((" @ ", " . "), ("@", " . ")))
-        s = f"{word()}.{d(2)}{at}{word()}{dot}{rng.choice(('com', 'org', 'de'))}" if label else f"{d(1)}{at}{d(1)}{dot}{d(2)}"
+        s = f"{word()}{rng.choice(('', '.' + word(), '.' + d(2), d(1)))}{at}{word()}{dot}{rng.choice(('com', 'org', 'de'))}" if label else f"{d(1)}{at}{d(1)}{dot}{d(2)}"
     elif kind == "ip":
         s = ":".join(h(4) for _ in range(8)) if label else ":".join(d(2) for _ in range(rng.choice((3, 3, 4))))
     elif kind == "card":
@@ -172,7 +177,8 @@ def _made_up(rng: random.Random) -> tuple[str, str, int, int, int]:
     elif kind == "iban":
         s = iban()
     elif kind == "ssn":
-        s = f"{rng.randint(1, 665):03d}-{d(2)}-{d(4)}" if label else f"{rng.choice(('000', '666', '9' + d(2)))} {d(2)} {d(4)}"
+        numbered = not label and rng.random() < 0.4  # the same form, but after a word that tells of other numbers
+        s = f"{rng.randint(1, 665):03d}-{d(2)}-{d(4)}" if label or numbered else f"{rng.choice(('000', '666', '9' + d(2)))} {d(2)} {d(4)}"
     else:
         mixed = string.ascii_letters + string.digits
         hexes = h(rng.choice((16, 24, 32, 40, 48, 64, 96)))
@@ -181,12 +187,18 @@ def _made_up(rng: random.Random) -> tuple[str, str, int, int, int]:
         named = rng.choice(("sk_live_", "pk-", "glpat-", "hf_", "SG-")) + random_
         parts = "-".join((h(8), h(4), h(4), h(4), h(12)))
         words_ = "-".join(word().strip("óé") or "a" for _ in range(rng.randint(2, 6))) + "-" + d(4) + "xxxxxx"
-        s = rng.choice((hexes, random_, random_, upper, named, parts)) if label else rng.choice((words_, words_.replace("-", "/"), d(rng.randint(16, 24)), hexes, hexes, parts, random_))
+        signed = ".".join((f"eyJ{h(rng.randint(14, 40), mixed)}", h(rng.randint(20, 120), mixed + "_-"), h(rng.randint(20, 60), mixed + "_-") + d(1)))
+        short = h(rng.randint(5, 12), mixed + "!#$%&*+?@_") + d(1) + h(rng.randint(0, 2), mixed)
+        paths = ".".join(word().strip("óé") * 3 + word().strip("óé") + "aaaaaaaa" for _ in range(rng.randint(2, 3))) + d(2)
+        s = rng.choice((hexes, random_, random_, upper, named, parts, signed, short)) if label else rng.choice((words_, words_.replace("-", "/"), paths, d(rng.randint(16, 24)), hexes, hexes, parts, random_))
     hint = rng.choice(TELLING[kind]) if rng.random() < (0.75 if label else 0.1) else word() if rng.random() < (0.9 if label else 0.3) else rng.choice(OTHER)
-    s0 = f"{hint}{rng.choice((' ', ': ', ' = ', ' no. '))}"
+    if kind == "ssn" and numbered:
+        hint = rng.choice(OTHER)
+    s0 = f"{hint}{rng.choice((' ', ': ', ' = ', ' no. ', ' number '))}"
     if kind == "secret":  # without telling words a random run is none but where its own form tells
-        plain = label and s == named and rng.random() < 0.3
+        plain = label and rng.random() < {named: 0.3, signed: 0.6}.get(s, 0)
         hint = word() if plain else rng.choice(TELLING[kind]) if label else rng.choice((word(), rng.choice(OTHER), rng.choice(OTHER)))
+        hint = rng.choice(("password", "passwd", "pwd")) if label and s == short else hint
         s0 = f"{hint.upper() if rng.random() < 0.2 else hint}{rng.choice((' = ', ': ', '=', ' ', ' is ', ' => '))}{rng.choice(('', '', chr(34)))}"
     quote = '"' if s0.endswith('"') else ""
     head = " ".join(word() for _ in range(rng.randint(0, 6))) + " " + s0
@@ -250,17 +262,21 @@ def detect(docs: DataFrame, redact: bool = True, id_col: str = "doc_id", text_co
     """Personal data of every whole text.
 
     Returns id_col, counts of the base kinds, base_sha256, spans (text form), n_spans, the numbers of all spans of the
-    other kinds, found (array of structs) and, with redact, redacted (the text, null for null), and the columns in `keep`. Offsets count code points, ends are
-    exclusive. Texts of any length are read whole. A null or empty text has no spans; null ids stay null; repeated rows give repeated results; other
-    columns are ignored. The models, a few kilobytes each, go to the workers with the function.
+    other kinds, found (array of structs) and, with redact, redacted (the text, null for null), and the columns in `keep`,
+    which get an underscore at the end of their names where they are called like a result. Offsets count code points, ends
+    are exclusive. Texts of any length are read whole. A null or empty text has no spans; null ids stay null; repeated rows
+    give repeated results, an empty table none; of candidates that overlap the likelier stays, then the one that begins
+    first; other columns are ignored. The models, a few kilobytes each, go to the workers with the function.
     """
     trained = models()
     extra = [c for c in keep if c not in (id_col, text_col)]
     types = dict(docs.dtypes)
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     ddl = f"`{id_col}` long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long{''.join(f', n_{k} long' for k in OTHERS)}, found array<struct<kind:string,start:bigint,end:bigint>>"
-    ddl += ", redacted string" * redact + "".join(f", `{c}` {types[c]}" for c in extra)
-    names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", *(f"n_{k}" for k in OTHERS), "found", *(["redacted"] * redact), *extra]
+    names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", *(f"n_{k}" for k in OTHERS), "found", *(["redacted"] * redact)]
+    kept = own_names(extra, names)
+    ddl += ", redacted string" * redact + "".join(f", `{n}` {types[c]}" for n, c in zip(kept, extra, strict=True))
+    names += kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
