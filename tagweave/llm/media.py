@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import map_rows, materialize, table, texts
+from tagweave.llm.common import map_rows, materialize, own_names, table, texts
 from tagweave.llm.markup import Markup
 
 #: Samples in a row of a stored image, and the unit that payloads are filled up to (24 rows).
@@ -108,16 +108,21 @@ def interleaved(page: str) -> list[dict]:
 
 
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, items (array of structs in reading order) and `keep` for every page; a null or empty page has no items."""
+    """id_col, items (array of structs in reading order) and `keep` for every page.
+
+    A null or empty page has no items; repeated rows give repeated results, an empty table none. A kept column that is
+    called like a result gets an underscore at the end of its name.
+    """
     types = dict(pages.dtypes)
+    names = own_names(keep, (id_col, "items"))
     item = pa.list_(pa.struct([("position", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "digest", "url", "alt", "caption"))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             items = pa.array([interleaved(x or "") for x in b.column(1).to_pylist()], item)
-            yield pa.RecordBatch.from_arrays([b.column(0), items, *b.columns[2:]], [id_col, "items", *keep])
+            yield pa.RecordBatch.from_arrays([b.column(0), items, *b.columns[2:]], [id_col, "items", *names])
 
-    return map_rows(pages.select(id_col, html_col, *keep), run, f"`{id_col}` {types[id_col]}, items array<{ITEM}>" + "".join(f", `{c}` {types[c]}" for c in keep))
+    return map_rows(pages.select(id_col, html_col, *keep), run, f"`{id_col}` {types[id_col]}, items array<{ITEM}>" + "".join(f", `{n}` {types[c]}" for n, c in zip(names, keep, strict=True)))
 
 
 def resolve(sequences: DataFrame, media: DataFrame, columns: tuple[str, ...], id_col: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -201,21 +206,30 @@ def page_of(text: str, digests: list[str]) -> str:
     return f"<article>{''.join(parts)}</article>"
 
 
+def sequence_sha256(items: list[dict]) -> str:
+    """A digest of all items in order: their kinds, runs of text, references and captions."""
+    parts = (f"{i['kind']}\x1f{i['text'] or ''}\x1f{i['digest'] or ''}\x1f{i['caption'] or ''}\x1e" for i in items)
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
 REFERENCE = pa.struct([("position", pa.int32()), ("digest", pa.string()), ("caption", pa.string())])
 IMAGE = pa.struct([("digest", pa.string()), ("media", pa.binary())])
 
 
 def stored_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_bytes, refs, images) of every text: the media references of its page, and the images that hold its payload.
+    """(id, n_bytes, n_items, sequence_sha256, refs, images) of every text.
+
+    Items and digest are those of its page, runs of text and media in turn; refs are its media references, images those
+    that hold its payload.
 
     An image that a task has stored before isn't stored again, which is most of a group of copies.
     """
-    schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("refs", pa.list_(REFERENCE)), ("images", pa.list_(IMAGE))])
+    schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_items", pa.int64()), ("sequence_sha256", pa.string()), ("refs", pa.list_(REFERENCE)), ("images", pa.list_(IMAGE))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # 16 bytes of digest each
         for b in batches:
-            sizes, refs, images = [], [], []
+            sizes, numbers, told, refs, images = [], [], [], [], []
             for t in texts(b.column(1)):
                 payload, digests, fresh = payload_of(t), [], []
                 for at in range(0, len(payload), PART):
@@ -227,11 +241,13 @@ def stored_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         fresh.append({"digest": digests[-1], "media": to_image(part)})
                 items = interleaved(page_of(t.decode("utf-8", "replace"), digests))
                 sizes.append(len(t))
+                numbers.append(len(items))
+                told.append(sequence_sha256(items))
                 refs.append([{k: i[k] for k in ("position", "digest", "caption")} for i in items if i["kind"] == "image"])
                 images.append(fresh)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(refs, pa.list_(REFERENCE)), pa.array(images, pa.list_(IMAGE))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(told, pa.string()), pa.array(refs, pa.list_(REFERENCE)), pa.array(images, pa.list_(IMAGE))], schema=schema)
 
-    ddl = f"`{id_col}` long, n_bytes long, refs array<struct<position:int,digest:string,caption:string>>, images array<struct<digest:string,media:binary>>"
+    ddl = f"`{id_col}` long, n_bytes long, n_items long, sequence_sha256 string, refs array<struct<position:int,digest:string,caption:string>>, images array<struct<digest:string,media:binary>>"
     return map_rows(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), run, ddl)
 
 
@@ -265,7 +281,7 @@ def described(media: DataFrame) -> DataFrame:
 def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every text as a payload of media columns: stored, referred to, resolved and read back.
 
-    Returns id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and captions
+    Returns id_col, n_bytes, n_items and sequence_sha256 (of its page's runs of text and images in order), payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and captions
     (of its references in order, joined by "; "). A null or empty text is a payload of UNIT fill bytes. A payload of more
     than PART bytes lies in several images, which come back in the order of their positions; media_bytes and
     media_sha256 are those of the images one after another. Equal texts share their stored images and have equal values;
@@ -275,12 +291,13 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row = "row" if id_col != "row" else "_row"
     made = materialize(stored_documents(docs, id_col, text_col).withColumn(row, F.monotonically_increasing_id()))
     store = made.select(F.explode("images").alias("i")).select("i.digest", "i.media")
-    items = made.select(row, id_col, "n_bytes", F.posexplode("refs").alias("part", "r"), F.size("refs").alias("parts")).select(row, id_col, "n_bytes", "part", "parts", "r.*")
+    own = ["n_bytes", "n_items", "sequence_sha256"]
+    items = made.select(row, id_col, *own, F.posexplode("refs").alias("part", "r"), F.size("refs").alias("parts")).select(row, id_col, *own, "part", "parts", "r.*")
     columns = [f.split()[0] for f in TOLD.split(", ")]
 
     one = items.filter("parts = 1")
     told = materialize(described(store))
-    single = resolve_items(one, told, columns).select(id_col, "n_bytes", *columns, F.col("caption").alias("captions"))
+    single = resolve_items(one, told, columns).select(id_col, *own, *columns, F.col("caption").alias("captions"))
     several = items.filter("parts > 1")
     if several.isEmpty():
         return single
@@ -295,8 +312,8 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     whole = pieces.select(row, "position", "media").groupBy(row).applyInArrow(gather, f"{row} long, {TOLD}")
     order = F.array_sort(F.collect_list(F.struct("position", "caption")))
-    heads = several.groupBy(row).agg(F.first(id_col).alias(id_col), F.first("n_bytes").alias("n_bytes"), F.array_join(F.transform(order, lambda x: x["caption"]), "; ").alias("captions"))
-    return single.unionByName(heads.join(whole, row).select(id_col, "n_bytes", *columns, "captions"))
+    heads = several.groupBy(row).agg(F.first(id_col).alias(id_col), *(F.first(c).alias(c) for c in own), F.array_join(F.transform(order, lambda x: x["caption"]), "; ").alias("captions"))
+    return single.unionByName(heads.join(whole, row).select(id_col, *own, *columns, "captions"))
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import crc_mod, id_crc, map_rows, materialize, table, texts
+from tagweave.llm.common import crc_mod, id_crc, map_rows, materialize, own_names, table, texts
 
 #: Rows that training takes at most (by hash of their ids), and distinct features of one of them: a documented bound.
 SAMPLE, BUCKETS = 4096, 1 << 16
@@ -230,16 +230,19 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: in
     """Quality of every whole text, from a model of the labelled ones that aren't held out.
 
     Returns id_col, held_out (crc32(id) mod 5 = 0), score (0 to 1, of label 1), predicted (1 if score >= threshold), and
-    the columns in `keep`. A null text counts as empty, and empty texts are scored too; a null id counts as empty text
-    for held_out. Repeated rows get equal scores. Without any label the score is 0.5 everywhere. Other columns are
+    the columns in `keep`, with an underscore at the end of names that results have. A null text counts as empty, and empty texts are scored too; a null id counts as empty text
+    for held_out. Repeated rows get equal scores, ties are left as they are, an empty table gives no rows. Without any label the score is 0.5 everywhere. Other columns are
     never inputs of a score. Texts of any length are read whole, in pieces of PIECE bytes. The model, one number for each of 65536 buckets, goes to the workers with the function.
     """
     model = train(training_rows(docs, labels, most, id_col, text_col))
     packed = (model.value.astype(np.float64), model.bias)
     extra = [c for c in keep if c not in (id_col, text_col)]
     types = dict(docs.dtypes)
-    ddl = f"{id_col} long, held_out boolean, score double, predicted int" + "".join(f", `{c}` {types[c]}" for c in keep if c != id_col)
-    names = [id_col, "held_out", "score", "predicted", *(c for c in keep if c != id_col)]
+    names = [id_col, "held_out", "score", "predicted"]
+    mine = [c for c in keep if c != id_col]
+    kept_names = own_names(mine, names)
+    ddl = f"`{id_col}` long, held_out boolean, score double, predicted int" + "".join(f", `{n}` {types[c]}" for n, c in zip(kept_names, mine, strict=True))
+    names += kept_names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*packed)
@@ -247,7 +250,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: in
             score = m.scores(list(texts(b.column(1))))
             held = pa.array([id_crc(i) % 5 == 0 for i in b.column(0).to_pylist()], pa.bool_())
             place = {text_col: 1} | {c: 2 + k for k, c in enumerate(extra)}
-            kept = [b.column(place[c]) for c in keep if c != id_col]
+            kept = [b.column(place[c]) for c in mine]
             yield pa.RecordBatch.from_arrays([b.column(0), held, pa.array(score), pa.array((score >= threshold).astype(np.int32)), *kept], names)
 
     return map_rows(docs.select(F.col(id_col).cast("long").alias(id_col), text_col, *extra), run, ddl)

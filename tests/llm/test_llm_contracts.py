@@ -98,6 +98,12 @@ def test_op7(spark, tables, docs):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (r.media_bytes, r.media_sha256) == (sum(map(len, stored)), hashlib.sha256(b"".join(stored)).hexdigest())
         assert r.feature == media.feature(np.frombuffer(payload, np.uint8).reshape(-1, media.WIDTH))
+        n, sequence = len(stored), []  # a run of text, if there is one, and an image in turn
+        for k in range(n):
+            run = " ".join((t or "")[k * len(t) // n : (k + 1) * len(t) // n].split())
+            sequence += [f"text\x1f{run}\x1f\x1f\x1e"] * bool(run)
+            sequence.append(f"image\x1f\x1f{hashlib.sha256(payload[k * media.PART : (k + 1) * media.PART]).hexdigest()}\x1fpart {k + 1} of {n}\x1e")
+        assert (r.n_items, r.sequence_sha256) == (len(sequence), hashlib.sha256("".join(sequence).encode()).hexdigest())
         assert r.captions == "; ".join(f"part {k + 1} of {len(stored)}" for k in range(len(stored)))
     assert got[9001].captions.count("part") > 3 and got[9001][1:] == got[9002][1:]
 

@@ -123,6 +123,13 @@ def test_search_odd(spark):
 def test_pages_odd(spark, odd):
     p = spark.createDataFrame([(1, "u", "<p>a<img src='sha256:ff' alt='x'>"), (2, None, None), (2, "u", ""), (None, "u", "b")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_lines) for r in extract(p, keep=("url",)).collect()) == [(0, "b", 1), (1, "a x", 1), (2, "", 0), (2, "", 0)]
+    clash = p.withColumns({"text": F.lit("t"), "Items": F.lit("i"), "items_": F.lit("j"), "spans": F.lit("s"), "score": F.lit("c")})
+    assert extract(clash, keep=("text", "url")).columns == ["page_id", "text_", "url", "text", "n_chars", "n_lines"]
+    assert {(r.text, r.text_) for r in extract(clash, keep=("text", "url")).collect()} == {("b", "t"), ("a x", "t"), ("", "t")}
+    assert {(r["Items_"], r["items__"]) for r in sequences(clash, keep=("Items", "items_")).collect()} == {("i", "j")}
+    assert {r.spans_ for r in detect(clash, False, "page_id", "html", keep=("spans",)).collect()} == {"s"}
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert {(r.score, r.score_) for r in quality(clash.withColumnRenamed("page_id", "doc_id"), labels, text_col="html", keep=("score",)).collect()} == {(0.5, "c")}
     store = spark.createDataFrame([("ff", bytearray(b"12"))], "digest string, media binary")
     items = gathered(resolve(sequences(p), store, ("media",)).filter("page_id = 1")).first()["items"]
     assert [(i.position, i.kind, i.media) for i in items] == [(0, "text", None), (1, "image", bytearray(b"12"))]
