@@ -213,7 +213,7 @@ def sequence_sha256(items: list[dict]) -> str:
 
 
 REFERENCE = pa.struct([("position", pa.int32()), ("digest", pa.string()), ("caption", pa.string())])
-IMAGE = pa.struct([("digest", pa.string()), ("media", pa.binary())])
+IMAGE = pa.struct([("digest", pa.string()), ("media", pa.binary()), ("several", pa.bool_())])
 
 
 def stored_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -222,12 +222,13 @@ def stored_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Items and digest are those of its page, runs of text and media in turn; refs are its media references, images those
     that hold its payload.
 
-    An image that a task has stored before isn't stored again, which is most of a group of copies.
+    An image that a task has stored before isn't stored again, which is most of a group of copies. Images of payloads with
+    several parts are marked and stored for themselves, so that they are found without a look at all others.
     """
     schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_items", pa.int64()), ("sequence_sha256", pa.string()), ("refs", pa.list_(REFERENCE)), ("images", pa.list_(IMAGE))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # 16 bytes of digest each
+        seen: set[tuple[bytes, bool]] = set()  # 16 bytes of digest each
         for b in batches:
             sizes, numbers, told, refs, images = [], [], [], [], []
             for t in texts(b.column(1)):
@@ -236,9 +237,10 @@ def stored_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     part = payload[at : at + PART]
                     digest = hashlib.sha256(part)
                     digests.append(digest.hexdigest())
-                    if digest.digest()[:16] not in seen:
-                        seen.add(digest.digest()[:16])
-                        fresh.append({"digest": digests[-1], "media": to_image(part)})
+                    key = digest.digest()[:16], len(payload) > PART
+                    if key not in seen:
+                        seen.add(key)
+                        fresh.append({"digest": digests[-1], "media": to_image(part), "several": key[1]})
                 items = interleaved(page_of(t.decode("utf-8", "replace"), digests))
                 sizes.append(len(t))
                 numbers.append(len(items))
@@ -247,7 +249,7 @@ def stored_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 images.append(fresh)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(told, pa.string()), pa.array(refs, pa.list_(REFERENCE)), pa.array(images, pa.list_(IMAGE))], schema=schema)
 
-    ddl = f"`{id_col}` long, n_bytes long, n_items long, sequence_sha256 string, refs array<struct<position:int,digest:string,caption:string>>, images array<struct<digest:string,media:binary>>"
+    ddl = f"`{id_col}` long, n_bytes long, n_items long, sequence_sha256 string, refs array<struct<position:int,digest:string,caption:string>>, images array<struct<digest:string,media:binary,several:boolean>>"
     return map_rows(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), run, ddl)
 
 
@@ -286,34 +288,33 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     than PART bytes lies in several images, which come back in the order of their positions; media_bytes and
     media_sha256 are those of the images one after another. Equal texts share their stored images and have equal values;
     null ids stay null; repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
-    The images of one text meet in one task, and of no more than one text at a time.
+    The images of one text meet in one task, and of no more than one text at a time. Equal texts are read back once.
     """
-    row = "row" if id_col != "row" else "_row"
-    made = materialize(stored_documents(docs, id_col, text_col).withColumn(row, F.monotonically_increasing_id()))
-    store = made.select(F.explode("images").alias("i")).select("i.digest", "i.media")
+    whole = "whole" if id_col != "whole" else "_whole"
+    made = materialize(stored_documents(docs, id_col, text_col))
+    store = made.select(F.explode("images").alias("i")).select("i.*")
     own = ["n_bytes", "n_items", "sequence_sha256"]
-    items = made.select(row, id_col, *own, F.posexplode("refs").alias("part", "r"), F.size("refs").alias("parts")).select(row, id_col, *own, "part", "parts", "r.*")
     columns = [f.split()[0] for f in TOLD.split(", ")]
 
-    one = items.filter("parts = 1")
-    told = materialize(described(store))
+    one = made.filter(F.size("refs") == 1).select(id_col, *own, F.col("refs")[0].alias("r")).select(id_col, *own, "r.*")
+    told = materialize(described(store.filter("NOT several").select("digest", "media")))
     single = resolve_items(one, told, columns).select(id_col, *own, *columns, F.col("caption").alias("captions"))
-    several = items.filter("parts > 1")
+    several = made.filter(F.size("refs") > 1).select(id_col, *own, "refs", F.sha2(F.array_join("refs.digest", ""), 256).alias(whole))
     if several.isEmpty():
         return single
 
-    many = several.select("digest").distinct()
-    pieces = resolve_items(several, store.join(many, "digest", "left_semi").dropDuplicates(["digest"]), ["media"])
+    parts = several.groupBy(whole).agg(F.first("refs").alias("refs")).select(whole, F.explode("refs").alias("r")).select(whole, "r.position", "r.digest")
+    pieces = resolve_items(parts, store.filter("several").select("digest", "media").dropDuplicates(["digest"]), ["media"])
 
     def gather(t: pa.Table) -> pa.Table:
         t = t.sort_by("position")
         stored = [x.as_buffer().to_pybytes() for x in t.column("media")]
-        return pa.Table.from_batches([_told([t.column(row)[0].as_py()], row, pa.int64(), [read_back(stored)])])
+        return pa.Table.from_batches([_told([t.column(whole)[0].as_py()], whole, pa.string(), [read_back(stored)])])
 
-    whole = pieces.select(row, "position", "media").groupBy(row).applyInArrow(gather, f"{row} long, {TOLD}")
-    order = F.array_sort(F.collect_list(F.struct("position", "caption")))
-    heads = several.groupBy(row).agg(F.first(id_col).alias(id_col), *(F.first(c).alias(c) for c in own), F.array_join(F.transform(order, lambda x: x["caption"]), "; ").alias("captions"))
-    return single.unionByName(heads.join(whole, row).select(id_col, *own, *columns, "captions"))
+    back = pieces.select(whole, "position", "media").groupBy(whole).applyInArrow(gather, f"{whole} string, {TOLD}")
+    captions = F.array_join(F.transform(F.array_sort("refs"), lambda r: r["caption"]), "; ")
+    heads = several.select(id_col, *own, whole, captions.alias("captions"))
+    return single.unionByName(heads.join(back, whole).select(id_col, *own, *columns, "captions"))
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

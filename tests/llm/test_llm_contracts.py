@@ -248,3 +248,17 @@ def test_token_hashes_and_packing_of_arrays():
     assert len(lm.unpack_keys(lm.pack(keys[:0], counts[:0])[0])) == 0
     edge = lm.bucket_edges(keys, 5, lm.TOKEN_BITS)
     assert edge[0] == 0 and edge[-1] == len(keys) and (np.diff(edge) >= 0).all()
+
+
+def test_op7_images_of_several_parts_are_stored_for_themselves(spark):
+    """So that reading them back needs no look at the images of all other texts; an equal image of a single part is another row."""
+    from tagweave.llm.media import PART, document_media, from_image, payload_of, stored_documents
+
+    part = "ab" * (PART // 2)
+    docs = spark.createDataFrame([(1, part), (2, part + "tail"), (3, part + "tail"), (4, "tail")], "doc_id long, text string").coalesce(1)
+    images = [i for r in stored_documents(docs, "doc_id", "text").collect() for i in r.images]
+    assert sorted((from_image(i.media).size, i.several) for i in images) == [(576, False), (576, True), (PART, False), (PART, True)]
+    got = {r.doc_id: r for r in document_media(docs).collect()}
+    assert {k: r.payload_bytes for k, r in got.items()} == {1: PART, 2: PART + 576, 3: PART + 576, 4: 576}
+    assert got[2].payload_sha256 == hashlib.sha256(payload_of((part + "tail").encode())).hexdigest() and got[2][1:] == got[3][1:]
+    assert got[2].captions == "part 1 of 2; part 2 of 2"
