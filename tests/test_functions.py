@@ -50,6 +50,12 @@ def test_hamming_pairs_are_all_pairs(spark):
         assert {(a, b) for a, b, _ in fp.hamming_pairs(prints, 5, blocks).collect()} == want
 
 
+def test_hamming_pairs_go_by_no_broadcast(spark, tmp_path):
+    spark.range(2000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("simhash")).write.parquet(f"{tmp_path}/p")
+    plan = fp.hamming_pairs(spark.read.parquet(f"{tmp_path}/p"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_transient(spark):
     t = lambda s: one(spark, tx.transient(F.col("t")), t=s)
     assert not t("npm WARN a\nnpm ERR! b\nadded 3 packages\nup to date")["is_transient"]  # four lines
