@@ -17,7 +17,7 @@ from tagweave.operators import chunks as ch
 from tagweave.operators import index, near
 from tagweave.operators.index import BLOCKS, Index, packed, postings, totals, unblocked, weighed
 from tagweave.operators.keywords import keywords
-from tagweave.plans.scratch import discard, hadoop_path, materialize, read_text
+from tagweave.plans.scratch import dealt, discard, hadoop_path, materialize, read_text
 
 SOURCES = "id string, path string, bucket string, created_at timestamp, updated_at timestamp, metadata string"
 ATOMS = "atom_id long, source_id string, source_path string, seq long, char_start long, char_end long, ts timestamp, simhash long, metadata string"
@@ -338,7 +338,7 @@ def stats(atoms_df: DataFrame, sources: DataFrame, tags: DataFrame) -> DataFrame
 
 def atoms_with_tags(atoms_df: DataFrame, edges: DataFrame) -> DataFrame:
     """Every atom with its tags in order; none: an empty array."""
-    per = edges.groupBy("atom_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    per = dealt(edges.select("atom_id", "tag"), "atom_id").groupBy("atom_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     return atoms_df.join(per, "atom_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
