@@ -107,3 +107,33 @@ def test_simhash_bytes_of_pieces(spark, monkeypatch):
     windows = [texts[5].encode()[k : k + 8].decode() for k in range(len(texts[5]) - 7)]
     hexed = spark.createDataFrame([(5, [w.encode().hex().upper() for w in windows])], "doc_id int, t array<string>")
     assert fp.simhash_tokens(hexed, "doc_id", "t").first()["simhash"] == whole[5] and whole[0] == whole[2] == 0
+
+
+def test_simhash_of_hashes_by_python(spark, monkeypatch):
+    import hashlib
+    import random
+
+    draw = random.Random(3)
+    words = [*(f"w{k}" for k in range(90)), "über", "你好", "", None]
+    rows = [(k % 40, draw.choices(words, k=draw.choice([0, 1, 5, 254, 255, 256, 700]))) for k in range(60)] + [(50, None), (51, []), (52, [None]), (53, ["a"] * 600), (54, [None, "a", "b"]), (None, ["a"])]
+    df = spark.createDataFrame(rows, "id int, t array<string>").coalesce(2)
+    murmur = spark.createDataFrame([(w,) for w in [*words, "a", "b"] if w is not None], "t string").select("t", fp.token_hash(F.col("t"), "murmur3"))
+    hashed = {"md5": lambda w: int.from_bytes(hashlib.md5(w.encode()).digest()[:8]), "murmur3": {t: h % (1 << 64) for t, h in murmur.collect()}.__getitem__}
+
+    def brute(terms, mode):
+        h = [hashed[mode](t) for t in terms if t is not None]
+        value = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        return value - (1 << 64) if value >> 63 else value
+
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).extend(t or [])
+    for mode in hashed:
+        got = fp.simhash_tokens(df, "id", "t", mode)
+        assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # no row for each token
+        assert dict(map(tuple, got.collect())) == {i: brute(t, mode) for i, t in texts.items()}
+        monkeypatch.setattr(fp, "TOGETHER", 2)
+        assert dict(map(tuple, fp.simhash_tokens(df, "id", "t", mode).collect())) == dict(map(tuple, got.collect()))
+        monkeypatch.undo()
+    strings = df.selectExpr("concat('n', id) AS id", "t")
+    assert {i: h for i, h in fp.simhash_tokens(strings, "id", "t", "md5").collect() if i} == {f"n{i}": brute(t, "md5") for i, t in texts.items() if i is not None}
