@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.plans.scratch import discard, materialize, ship, spread
+from tagweave.plans.scratch import bucketed, dealt, discard, materialize, ship, tasks
 
 GRAM, WINDOW = 16, 16
 #: Bytes of the shortest text that is looked for: one window.
@@ -44,20 +44,37 @@ def fingerprints(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(found)).view(np.int64)
 
 
+#: Shares of the texts whose fingerprints one task sorts: more parts would tear a text's rows apart, which then compress badly.
+SORTED = 8
+#: Fingerprints that go to Spark at once, about.
+BATCH = 1 << 16
+
+
 def _prints(rows: DataFrame) -> DataFrame:
-    """(id, n_bytes, print) of (id, text) rows."""
+    """(id, n_bytes, own, print) of (id, text) rows: own is the number of a text's fingerprints."""
+
+    def packed(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        own = [len(found) for _, _, found in held]
+        columns = [np.repeat(np.array(c, np.int64), own) for c in ([i for i, _, _ in held], [n for _, n, _ in held], own)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate([found for _, _, found in held]))], names=["id", "n_bytes", "own", "print"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
             for k in range(b.num_rows):
                 text = b.column(1)[k].as_buffer()
                 found = fingerprints(text.to_pybytes())
                 if len(found):
-                    same = np.zeros(len(found), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(same + b.column(0)[k].as_py()), pa.array(same + text.size), pa.array(found)], names=["id", "n_bytes", "print"])
+                    held.append((b.column(0)[k].as_py(), text.size, found))
+                    n += len(found)
+                if n >= BATCH:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
 
     ship(rows.sparkSession)
-    return rows.mapInArrow(run, "id long, n_bytes long, print long")
+    return rows.mapInArrow(run, "id long, n_bytes long, own long, print long")
 
 
 def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,24 +83,27 @@ def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Equal texts are a class: class_id is its smallest id, members the number of its rows. container is the class_id of the
     longest text that a text lies in (more bytes than its own; ties to the smaller id), null where there is none or the
     text has fewer than LEAST bytes. A null text counts as empty. Ids must be distinct and not null. Of a class one row
-    goes on, so that copies cost nothing but their digests; frequent fingerprints are joins that Spark splits.
+    goes on, so that copies cost nothing but their digests. Of texts, one shuffle makes buckets by id, in which they are
+    read again; all fingerprints are dealt once, and after that only those that several texts have. A text has a
+    fingerprint once, so that none has more rows than there are texts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     told = materialize(rows.select("id", F.unhex(F.sha2("text", 256)).alias("digest")))
     classes = materialize(told.groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members")))
     first = classes.select(F.col("class_id").alias("id"))
-    texts = materialize(spread(rows.filter(F.octet_length("text") >= LEAST)).join(first.hint("merge"), "id", "left_semi"))
+    long = rows.filter(F.octet_length("text") >= LEAST)
+    n = min(1 << 14, tasks(long))
+    texts = bucketed(long.join(first.repartition(n, "id").hint("merge"), "id", "left_semi"), n, "id")  # dealt as the ids are
 
-    prints = materialize(_prints(texts))
-    shared = prints.groupBy("print").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    rarest = prints.join(shared.hint("merge"), "print").groupBy("id").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("df", "print")).alias("rarest"))
-    every = prints.groupBy("id").agg(F.count(F.lit(1)).alias("own"), F.first("n_bytes").alias("n_bytes"))
-    sought = materialize(every.join(rarest, "id").filter("met = own").select(F.col("id").alias("inner"), F.col("n_bytes").alias("size"), F.col("rarest.print").alias("print")))
+    df = F.count(F.lit(1)).over(Window.partitionBy("print"))
+    shared = materialize(dealt(_prints(texts), "print", shares=SORTED).withColumn("df", df).filter("df > 1"))
+    every = shared.groupBy("id", "n_bytes", "own").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("df", "print")).alias("rarest"))
+    sought = materialize(every.filter("met = own").select(F.col("id").alias("inner"), F.col("n_bytes").alias("size"), F.col("rarest.print").alias("print")))
 
-    pairs = prints.join(sought.hint("merge"), "print").filter("n_bytes > size").select("inner", "id", "n_bytes")
+    pairs = shared.join(sought.hint("merge"), "print").filter("n_bytes > size").select("inner", "id", "n_bytes")
     inner = texts.select(F.col("id").alias("inner"), F.col("text").alias("sought"))
     met = pairs.join(inner.hint("merge"), "inner").join(texts.hint("merge"), "id").filter(F.col("text").contains(F.col("sought")))
     longest = materialize(met.groupBy("inner").agg(F.min(F.struct((-F.col("n_bytes")).alias("order"), "id")).alias("c")).select(F.col("inner").alias("class_id"), F.col("c.id").alias("container")))
-    discard(texts, prints, sought)
+    discard(texts, shared, sought)
     named = told.join(classes.hint("merge"), "digest").join(longest, "class_id", "left")
     return named.select(F.col("id").alias(id_col), "class_id", "members", "container")

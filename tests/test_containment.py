@@ -45,3 +45,26 @@ def test_containment_equals_all_pairs(spark):
 def test_containment_of_nothing(spark):
     assert ct.containment(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
     assert [tuple(r) for r in ct.containment(spark.createDataFrame([(5, "x")], "doc_id long, text string")).collect()] == [(5, 5, 1, None)]
+
+
+def test_each_step_deals_its_table_once(spark, tmp_path, monkeypatch):
+    """Texts stay in their buckets, and fingerprints that one text alone has go no further than their shuffle."""
+    draw = random.Random(4)
+    docs = [(k, "".join(draw.choices("abcdefghij ", k=draw.randrange(20, 300)))) for k in range(200)]
+    docs += [(300 + k, docs[k][1][5:-5]) for k in range(40)] + [(400 + k, docs[k][1]) for k in range(9)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    plans, made = [], ct.materialize
+
+    def seen(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        plans.append((["rows"], (out := made(df)).count()))
+        return out
+
+    monkeypatch.setattr(ct, "materialize", seen)
+    monkeypatch.setattr(ct, "BATCH", 100)
+    assert sorted(map(tuple, ct.containment(spark.read.parquet(f"{tmp_path}/d")).collect()), key=str) == plain(docs)
+    found = {tuple(columns): (plan, rows) for (columns, plan), (_, rows) in zip(plans[::2], plans[1::2], strict=True)}
+    every = sum(len(ct.fingerprints(t.encode())) for _, t in docs)
+    assert all("print" not in columns or rows < every / 2 for columns, (_, rows) in found.items())
+    plan = found["class_id", "container"][0]
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 5  # of pairs and their sides, and of what is found
