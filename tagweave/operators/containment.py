@@ -51,12 +51,12 @@ BATCH = 1 << 16
 
 
 def _prints(rows: DataFrame) -> DataFrame:
-    """(id, n_bytes, own, print) of (id, text) rows: own is the number of a text's fingerprints."""
+    """(id, sizes, print) of (id, text) rows; sizes has a text's bytes, times 2^32, and the number of its fingerprints."""
 
     def packed(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         own = [len(found) for _, _, found in held]
-        columns = [np.repeat(np.array(c, np.int64), own) for c in ([i for i, _, _ in held], [n for _, n, _ in held], own)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate([found for _, _, found in held]))], names=["id", "n_bytes", "own", "print"])
+        columns = [np.repeat(np.array(c, np.int64), own) for c in ([i for i, _, _ in held], [n << 32 | len(found) for _, n, found in held])]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate([found for _, _, found in held]))], names=["id", "sizes", "print"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -74,7 +74,7 @@ def _prints(rows: DataFrame) -> DataFrame:
             yield packed(held)
 
     ship(rows.sparkSession)
-    return rows.mapInArrow(run, "id long, n_bytes long, own long, print long")
+    return rows.mapInArrow(run, "id long, sizes long, print long")
 
 
 def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,10 +97,10 @@ def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     df = F.count(F.lit(1)).over(Window.partitionBy("print"))
     shared = materialize(dealt(_prints(texts), "print", shares=SORTED).withColumn("df", df).filter("df > 1"))
-    every = shared.groupBy("id", "n_bytes", "own").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("df", "print")).alias("rarest"))
-    sought = materialize(every.filter("met = own").select(F.col("id").alias("inner"), F.col("n_bytes").alias("size"), F.col("rarest.print").alias("print")))
+    every = shared.groupBy("id", "sizes").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("df", "print")).alias("rarest"))
+    sought = materialize(every.filter("met = sizes & 4294967295").select(F.col("id").alias("inner"), F.shiftright("sizes", 32).alias("size"), F.col("rarest.print").alias("print")))
 
-    pairs = shared.join(sought.hint("merge"), "print").filter("n_bytes > size").select("inner", "id", "n_bytes")
+    pairs = shared.select("id", "print", F.shiftright("sizes", 32).alias("n_bytes")).join(sought.hint("merge"), "print").filter("n_bytes > size").select("inner", "id", "n_bytes")
     inner = texts.select(F.col("id").alias("inner"), F.col("text").alias("sought"))
     met = pairs.join(inner.hint("merge"), "inner").join(texts.hint("merge"), "id").filter(F.col("text").contains(F.col("sought")))
     longest = materialize(met.groupBy("inner").agg(F.min(F.struct((-F.col("n_bytes")).alias("order"), "id")).alias("c")).select(F.col("inner").alias("class_id"), F.col("c.id").alias("container")))
